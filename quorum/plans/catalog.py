@@ -38,7 +38,7 @@ def register(name: str, sql: str | None = None):
 
 def _long_sql(src: str) -> str:
     """(row_index, i, x) — i is the 0-based dimension."""
-    return (f"SELECT row_index, unnest(sensors) AS x, unnest(generate_series(0, len(sensors) - 1)) AS i "
+    return (f"SELECT row_index, unnest(sensors) AS x, unnest(generate_series(0, len(sensors) - 1)::INTEGER[]) AS i "
             f"FROM ({src})")
 
 
@@ -193,4 +193,278 @@ def q_reject_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload_rejects(_payloads(spark, sf_dir), width=si.N_SENSORS)
 
 
+
+
+
+# Phase 2: neighbours ---------------------------------------------------------------------
+
+def _features(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("sensors", "features")
+
+
+_NB_CTE = f"""
+    b AS ({si.blobs_sql()}),
+    l AS (SELECT * FROM b WHERE label IS NOT NULL),
+    d AS (SELECT q.row_index, r.row_index AS nbr_index, r.label AS nbr_class,
+                 list_distance(q.sensors, r.sensors) AS distance FROM b q, l r),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY distance, nbr_index) AS rank FROM d)"""
+
+
+@register("labeled_neighbors", f"""
+    WITH {_NB_CTE}
+    SELECT row_index, CAST(rank AS INTEGER) AS rank, nbr_index, 'CLASS_' || CAST(CAST(nbr_class AS INTEGER) AS VARCHAR) AS label,
+           {sql_r6('distance')} AS distance
+    FROM rk WHERE rank <= 3""")
+def q_labeled_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.neighbors import labeled_neighbors
+
+    b = _features(si.blobs(spark, sf_dir))
+    return round_doubles(labeled_neighbors(b, b, 3))
+
+
+@register("knn_classify", f"""
+    WITH {_NB_CTE},
+    v AS (SELECT row_index, nbr_class, count(*) AS votes FROM rk WHERE rank <= 5 GROUP BY row_index, nbr_class)
+    SELECT row_index, arg_max(nbr_class, votes * 1000 - nbr_class) AS predicted FROM v GROUP BY row_index""")
+def q_knn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.neighbors import knn_classify
+
+    b = _features(si.blobs(spark, sf_dir))
+    return knn_classify(b, b, 5)
+
+
+@register("knn_proba", f"""
+    WITH {_NB_CTE},
+    c AS (SELECT unnest([1.0, 2.0, 3.0]) AS class)
+    SELECT row_index, class, {sql_r6('count_if(nbr_class = class) / 5.0')} AS proba
+    FROM rk, c WHERE rank <= 5 GROUP BY row_index, class""")
+def q_knn_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.knn import knn
+    from quorum.operators.neighbors import knn_proba, labelled
+
+    b = _features(si.blobs(spark, sf_dir))
+    refs = labelled(b).select("row_index", "features", F.col("label").alias("nbr_class"))
+    nb = knn(b, refs, 5, payload=["nbr_class"])
+    return round_doubles(knn_proba(nb, [1.0, 2.0, 3.0]))
+
+
+def _ari_sql(src: str, a: str, b: str) -> str:
+    """ARI of columns a, b of a relation (SQL text), NULLs dropped."""
+    return f"""(
+    WITH s AS (SELECT {a} AS a, {b} AS b FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
+    c AS (SELECT a, b, count(*) AS n FROM s GROUP BY a, b),
+    t AS (SELECT sum(n * (n - 1) / 2.0) AS sc, sum(n) AS n FROM c),
+    ra AS (SELECT sum(n * (n - 1) / 2.0) AS sa FROM (SELECT a, sum(n) AS n FROM c GROUP BY a)),
+    rb AS (SELECT sum(n * (n - 1) / 2.0) AS sb FROM (SELECT b, sum(n) AS n FROM c GROUP BY b))
+    SELECT CASE WHEN t.n IS NULL OR t.n = 0 THEN NULL
+                WHEN (ra.sa + rb.sb) / 2.0 - ra.sa * rb.sb / (t.n * (t.n - 1) / 2.0) = 0 THEN 1.0
+                ELSE (t.sc - ra.sa * rb.sb / (t.n * (t.n - 1) / 2.0))
+                     / ((ra.sa + rb.sb) / 2.0 - ra.sa * rb.sb / (t.n * (t.n - 1) / 2.0)) END AS ari
+    FROM t, ra, rb)"""
+
+
+_LOO_SQL = " UNION ALL ".join(f"""
+    SELECT {k} AS k, (SELECT {sql_r6('avg(CAST(predicted = label AS DOUBLE))')} FROM p{k}) AS accuracy,
+           (SELECT {sql_r6('ari')} FROM {_ari_sql(f'p{k}', 'predicted', 'label')}) AS ari""" for k in (1, 3, 5))
+_LOO_CTES = ",\n".join(f"""
+    v{k} AS (SELECT row_index, nbr_class, count(*) AS votes FROM rk WHERE rank <= {k} GROUP BY row_index, nbr_class),
+    p{k} AS (SELECT v.row_index, arg_max(v.nbr_class, v.votes * 1000 - v.nbr_class) AS predicted, any_value(l.label) AS label
+             FROM v{k} v JOIN l USING (row_index) GROUP BY v.row_index)""" for k in (1, 3, 5))
+
+
+@register("knn_loo", f"""
+    WITH b AS ({si.blobs_sql()}),
+    l AS (SELECT * FROM b WHERE label IS NOT NULL),
+    d AS (SELECT q.row_index, r.row_index AS nbr_index, r.label AS nbr_class,
+                 list_distance(q.sensors, r.sensors) AS distance FROM l q, l r WHERE q.row_index <> r.row_index),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY distance, nbr_index) AS rank FROM d),
+    {_LOO_CTES}
+    {_LOO_SQL}""")
+def q_knn_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.metrics import accuracy, ari
+    from quorum.operators.neighbors import knn_loo
+
+    b = _features(si.blobs(spark, sf_dir))
+    rows = []
+    for k in (1, 3, 5):
+        p = knn_loo(b, k)
+        acc = accuracy(p, "predicted", "label").head()["accuracy"]
+        a = ari(p, "predicted", "label").head()["ari"]
+        rows.append((k, acc, a))
+    return round_doubles(spark.createDataFrame(rows, "k int, accuracy double, ari double"))
+
+
+@register("ari", f"SELECT {sql_r6('ari')} AS ari FROM {_ari_sql('lineitem', 'l_returnflag', 'l_linestatus')}")
+def q_ari(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.metrics import ari
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return round_doubles(ari(li, "l_returnflag", "l_linestatus").select("ari"))
+
+
+@register("score_correlation", f"""
+    SELECT {sql_r6('corr(l_quantity, l_extendedprice)')} AS corr_qty_price,
+           {sql_r6('corr(l_discount, l_tax)')} AS corr_discount_tax FROM lineitem""")
+def q_score_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return round_doubles(li.agg(F.corr("l_quantity", "l_extendedprice").alias("corr_qty_price"),
+                                F.corr("l_discount", "l_tax").alias("corr_discount_tax")))
+
+
+# Phase 3: label maps on a reproducible clustering --------------------------------------------
+
+_LC_SQL = f"SELECT vec_id AS row_index, CAST(label - 1 AS INTEGER) AS cluster_id, {si._sql_label()} AS label FROM embeddings"
+
+
+def _label_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return si.label_clusters(spark, sf_dir)
+
+
+_LM_SQL = f"""
+    WITH s AS ({_LC_SQL}),
+    tot AS (SELECT cluster_id, count(*) AS n_total FROM s GROUP BY cluster_id),
+    cc AS (SELECT label, count(*) AS class_n FROM s WHERE label IS NOT NULL GROUP BY label),
+    per AS (SELECT cluster_id, label, count(*) AS n FROM s WHERE label IS NOT NULL GROUP BY cluster_id, label),
+    sc AS (SELECT per.*, n / class_n AS score FROM per JOIN cc USING (label)),
+    st AS (SELECT cluster_id, arg_max(label, score * 1e6 - label) AS winner_approx,
+                  max(n) / sum(n) AS purity, sum(n) AS n_labeled,
+                  string_agg(CAST(label AS VARCHAR) || ': ' || CAST(n AS VARCHAR), ', ' ORDER BY label) AS distribution
+           FROM sc GROUP BY cluster_id),
+    win AS (SELECT cluster_id, label AS winner FROM (
+              SELECT cluster_id, label, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, label ASC) AS r FROM sc)
+            WHERE r = 1)
+    SELECT t.cluster_id,
+           CASE WHEN t.cluster_id = -1 THEN 'NOISE'
+                WHEN coalesce(st.n_labeled, 0) = 0 THEN 'UNKNOWN_' || CAST(t.cluster_id AS VARCHAR)
+                ELSE 'CLASS_' || CAST(CAST(win.winner AS INTEGER) AS VARCHAR) END AS name,
+           (t.cluster_id <> -1 AND coalesce(st.n_labeled, 0) > 0) AS is_known,
+           (t.cluster_id = -1) AS is_noise,
+           CASE WHEN t.cluster_id <> -1 AND coalesce(st.n_labeled, 0) > 0 THEN {sql_r6('st.purity')} END AS purity,
+           CAST(coalesce(st.n_labeled, 0) AS INTEGER) AS n_labeled, CAST(t.n_total AS INTEGER) AS n_total,
+           coalesce(st.distribution, '-') AS distribution
+    FROM tot t LEFT JOIN st USING (cluster_id) LEFT JOIN win USING (cluster_id)"""
+
+
+@register("label_map", _LM_SQL)
+def q_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.functions.names import map_text
+    from quorum.operators.labelmap import build_label_map
+
+    lm = build_label_map(_label_clusters(spark, sf_dir))
+    return round_doubles(lm.select(*[c for c in lm.columns if c != "label_distribution"],
+                                   map_text(F.col("label_distribution")).alias("distribution")))
+
+
+@register("cluster_purity", f"""
+    WITH s AS ({_LC_SQL}),
+    per AS (SELECT cluster_id, label, count(*) AS n FROM s WHERE label IS NOT NULL GROUP BY cluster_id, label)
+    SELECT cluster_id, {sql_r6('max(n) / sum(n)')} AS purity, sum(n) AS n_labeled FROM per GROUP BY cluster_id""")
+def q_cluster_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.metrics import cluster_purity
+
+    return round_doubles(cluster_purity(_label_clusters(spark, sf_dir)))
+
+
+@register("low_purity_warnings", f"SELECT cluster_id, name, purity FROM ({_LM_SQL}) WHERE is_known AND purity < 0.6")
+def q_low_purity_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.labelmap import build_label_map, low_purity_warnings
+
+    return round_doubles(low_purity_warnings(build_label_map(_label_clusters(spark, sf_dir))).select("cluster_id", "name", "purity"))
+
+
+@register("cluster_counts", f"""
+    SELECT count_if(is_known) AS n_known, count_if(NOT is_known AND NOT is_noise) AS n_unknown,
+           count_if(is_noise) AS n_noise FROM ({_LM_SQL})""")
+def q_cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.labelmap import build_label_map, cluster_counts
+
+    return cluster_counts(build_label_map(_label_clusters(spark, sf_dir)))
+
+
+@register("name_codes", f"""
+    SELECT cluster_id, name, CAST(CASE WHEN name = 'NOISE' THEN -1
+                                       WHEN name LIKE 'CLASS_%' THEN CAST(substr(name, 7) AS INTEGER)
+                                       ELSE 1000 + CAST(substr(name, 9) AS INTEGER) END AS INTEGER) AS label_code
+    FROM ({_LM_SQL})""")
+def q_name_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.labelmap import build_label_map, encode_names
+
+    lm = build_label_map(_label_clusters(spark, sf_dir))
+    return encode_names(lm.select("cluster_id", "name"), "name")
+
+
+# Phase 4: internal metrics, splits, samples -------------------------------------------------
+
+_BC_SQL = f"""
+    SELECT b.row_index, b.sensors, c.cluster_id FROM ({si.blobs_sql()}) b JOIN ({_LC_SQL}) c USING (row_index)"""
+
+
+def _blob_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _features(si.blobs(spark, sf_dir))
+    return b.join(_label_clusters(spark, sf_dir).select("row_index", "cluster_id"), "row_index")
+
+
+@register("silhouette", f"""
+    WITH p AS (SELECT * FROM ({_BC_SQL}) WHERE cluster_id <> -1),
+    sz AS (SELECT cluster_id, count(*) AS n FROM p GROUP BY cluster_id),
+    d AS (SELECT a.row_index, a.cluster_id AS own, b.cluster_id AS other, sum(list_distance(a.sensors, b.sensors)) AS s
+          FROM p a, p b GROUP BY ALL),
+    m AS (SELECT d.row_index, d.own, d.other, sz.n, d.s FROM d JOIN sz ON sz.cluster_id = d.other),
+    ab AS (SELECT row_index, max(CASE WHEN own = other THEN n END) AS n_own,
+                  max(CASE WHEN own = other THEN s / nullif(n - 1, 0) END) AS a,
+                  min(CASE WHEN own <> other THEN s / n END) AS b FROM m GROUP BY row_index)
+    SELECT row_index, {sql_r6('CASE WHEN n_own > 1 THEN (b - a) / greatest(a, b) ELSE 0 END')} AS s FROM ab""")
+def q_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.metrics import silhouette_rows
+
+    return round_doubles(silhouette_rows(_blob_clusters(spark, sf_dir)))
+
+
+@register("davies_bouldin", f"""
+    WITH p AS (SELECT * FROM ({_BC_SQL}) WHERE cluster_id <> -1),
+    long AS (SELECT row_index, cluster_id, unnest(sensors) AS x, unnest(generate_series(1, len(sensors))) AS i FROM p),
+    cen AS (SELECT cluster_id, list(mx ORDER BY i) AS c FROM (SELECT cluster_id, i, avg(x) AS mx FROM long GROUP BY ALL) GROUP BY cluster_id),
+    sc AS (SELECT p.cluster_id, avg(list_distance(p.sensors, cen.c)) AS s FROM p JOIN cen USING (cluster_id) GROUP BY p.cluster_id),
+    cs AS (SELECT cen.cluster_id, cen.c, sc.s FROM cen JOIN sc USING (cluster_id)),
+    r AS (SELECT a.cluster_id, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM cs a, cs b
+          WHERE a.cluster_id <> b.cluster_id GROUP BY a.cluster_id)
+    SELECT {sql_r6('avg(r)')} AS davies_bouldin FROM r""")
+def q_davies_bouldin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.metrics import davies_bouldin
+
+    v = davies_bouldin(_blob_clusters(spark, sf_dir))
+    return round_doubles(spark.createDataFrame([(v,)], "davies_bouldin double"))
+
+
+@register("noise_fraction", f"""
+    SELECT {sql_r6('avg(CAST(cluster_id = -1 AS DOUBLE))')} AS noise_fraction,
+           CAST(count(DISTINCT CASE WHEN cluster_id <> -1 THEN cluster_id END) AS INTEGER) AS n_clusters,
+           CAST(count(*) AS INTEGER) AS n_points FROM ({_LC_SQL})""")
+def q_noise_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.metrics import noise_summary
+
+    return round_doubles(noise_summary(_label_clusters(spark, sf_dir)))
+
+
+@register("kfold_assignment", f"""
+    SELECT row_index, label,
+           CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', row_index, 42)), row_index) - 1) % 5 AS INTEGER) AS fold
+    FROM ({si.readings_sql()}) WHERE label IS NOT NULL""")
+def q_kfold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.splits import labeled_stratified_kfold
+
+    return labeled_stratified_kfold(si.readings(spark, sf_dir), n_splits=5, seed=42)
+
+
+@register("bootstrap_sample", " UNION ALL ".join(f"""
+    SELECT * FROM (SELECT row_index, {run} AS run FROM ({si.readings_sql()})
+                   QUALIFY row_number() OVER (ORDER BY md5(concat_ws(':', row_index, {run}, 42)), row_index)
+                           <= greatest(2, CAST(floor(0.8 * count(*) OVER ()) AS BIGINT)))""" for run in range(5)))
+def q_bootstrap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.splits import subsample_runs
+
+    s = subsample_runs(si.readings(spark, sf_dir), frac=0.8, n_runs=5, seed=42)
+    return s.select("row_index", "run")
+
+
 FLAGSHIP = "row_aggregates"

@@ -114,3 +114,14 @@ def amplified_wide_sql() -> str:
 def readings_wide_sql() -> str:
     cols = ", ".join(f'sensors[{i + 1}] AS "Sensor {i}"' for i in range(N_SENSORS))
     return f'SELECT row_index, {cols}, label AS "Label" FROM ({readings_sql()})'
+
+
+def label_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reproducible clustering for label-map checks: cluster_id = label - 1
+    (label 0 becomes the noise group -1), with the sparse ``readings`` labels."""
+    e = embeddings(spark, sf_dir)
+    return e.select(
+        F.col("vec_id").alias("row_index"),
+        (F.col("label") - 1).cast("int").alias("cluster_id"),
+        _sparse_label(F.col("vec_id"), F.col("label")).alias("label"),
+    )
