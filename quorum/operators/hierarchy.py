@@ -1,0 +1,262 @@
+"""Density hierarchy over a bounded set of weighted items (I3-I8 core).
+
+Items are either training rows (exact HDBSCAN*) or data bubbles that
+summarise many rows (Breunig et al. 2001; Santos et al. 2019).  Their number
+is bounded by the caller (``max_items``), so this code runs in one Spark task
+with memory O(items * width) — it never sees the raw table.
+
+Definitions follow Campello, Moulavi, Zimek, Sander (TKDD 2015) and McInnes &
+Healy (2017): mutual reachability max(core_a, core_b, d(a, b)); minimum
+spanning tree; single-linkage hierarchy; condensation by min_cluster_size
+(weighted by item size); excess-of-mass selection without the root; GLOSH.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+
+def bubble_distance(rep: np.ndarray, ext: np.ndarray, nn1: np.ndarray, i: int) -> np.ndarray:
+    """Distance of item i to all items (plain Euclidean for singleton items)."""
+    d = np.sqrt(((rep - rep[i]) ** 2).sum(axis=1))
+    gap = d - (ext + ext[i])
+    out = np.where(gap >= 0, gap + nn1 + nn1[i], np.maximum(nn1, nn1[i]))
+    single = (ext == 0) & (ext[i] == 0)
+    return np.where(single, d, out)
+
+
+def bubble_core(rep: np.ndarray, weight: np.ndarray, ext: np.ndarray, nn1: np.ndarray, min_samples: int) -> np.ndarray:
+    """Core distance of each bubble: distance to its min_samples-th other point."""
+    n, dim = rep.shape
+    core = np.zeros(n)
+    for i in range(n):
+        own = weight[i] - 1
+        if own >= min_samples and weight[i] > 0:
+            core[i] = (min_samples / weight[i]) ** (1.0 / dim) * ext[i]
+            continue
+        d = bubble_distance(rep, ext, nn1, i)
+        d[i] = np.inf
+        order = np.argsort(d, kind="stable")
+        cum = own + np.cumsum(weight[order])
+        j = min(int(np.searchsorted(cum, min_samples)), n - 1)
+        core[i] = d[order[j]] if n > 1 else 0.0
+    return core
+
+
+def prim_mst(rep: np.ndarray, core: np.ndarray, ext: np.ndarray, nn1: np.ndarray) -> np.ndarray:
+    """MST of the mutual-reachability graph: rows (a, b, weight), O(n^2) time, O(n) memory."""
+    n = rep.shape[0]
+    in_tree = np.zeros(n, dtype=bool)
+    best = np.full(n, np.inf)
+    src = np.zeros(n, dtype=np.int64)
+    edges = np.zeros((max(n - 1, 0), 3))
+    cur = 0
+    in_tree[0] = True
+    for e in range(n - 1):
+        d = bubble_distance(rep, ext, nn1, cur)
+        mr = np.maximum(np.maximum(d, core), core[cur])
+        upd = (~in_tree) & (mr < best)
+        best[upd] = mr[upd]
+        src[upd] = cur
+        cand = np.where(in_tree, np.inf, best)
+        nxt = int(np.argmin(cand))
+        edges[e] = (src[nxt], nxt, best[nxt])
+        in_tree[nxt] = True
+        cur = nxt
+    return edges
+
+
+def single_linkage(edges: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Merge rows (left, right, distance, size) from MST edges sorted by (weight, a, b)."""
+    n = len(weight)
+    order = np.lexsort((edges[:, 1], edges[:, 0], edges[:, 2])) if len(edges) else np.zeros(0, int)
+    parent = np.arange(2 * n - 1)
+    size = np.concatenate([weight.astype(float), np.zeros(n - 1)])
+
+    def find(x):
+        root = x
+        while parent[root] != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    out = np.zeros((n - 1, 4))
+    nxt = n
+    for k, e in enumerate(order):
+        a, b, w = int(edges[e, 0]), int(edges[e, 1]), edges[e, 2]
+        ra, rb = find(a), find(b)
+        out[k] = (ra, rb, w, size[ra] + size[rb])
+        size[nxt] = size[ra] + size[rb]
+        parent[ra] = parent[rb] = nxt
+        nxt += 1
+    return out
+
+
+@dataclass
+class CondensedTree:
+    parent: np.ndarray
+    child: np.ndarray
+    lam: np.ndarray
+    child_size: np.ndarray
+    n_items: int
+
+    @property
+    def root(self) -> int:
+        return self.n_items
+
+
+def condense(hier: np.ndarray, weight: np.ndarray, min_cluster_size: float) -> CondensedTree:
+    n = len(weight)
+    if n == 1:
+        return CondensedTree(np.array([1]), np.array([0]), np.array([np.inf]), np.array([weight[0]]), 1)
+    root = 2 * n - 2
+    size = np.concatenate([weight.astype(float), hier[:, 3]])
+    relabel = {root: n}
+    next_label = n + 1
+    rows: list[tuple[int, int, float, float]] = []
+
+    def leaves(node: int) -> list[int]:
+        out, stack = [], [node]
+        while stack:
+            x = stack.pop()
+            if x < n:
+                out.append(x)
+            else:
+                l, r = int(hier[x - n, 0]), int(hier[x - n, 1])
+                stack += [r, l]
+        return out
+
+    queue = [root]
+    head = 0
+    while head < len(queue):
+        node = queue[head]
+        head += 1
+        if node < n:
+            continue
+        left, right, dist = int(hier[node - n, 0]), int(hier[node - n, 1]), hier[node - n, 2]
+        lam = 1.0 / dist if dist > 0 else np.inf
+        lc, rc = size[left], size[right]
+        me = relabel[node]
+        if lc >= min_cluster_size and rc >= min_cluster_size:
+            for ch, cs in ((left, lc), (right, rc)):
+                relabel[ch] = next_label
+                next_label += 1
+                rows.append((me, relabel[ch], lam, cs))
+                queue.append(ch)
+        elif lc < min_cluster_size and rc < min_cluster_size:
+            for ch in (left, right):
+                for leaf in leaves(ch):
+                    rows.append((me, leaf, lam, weight[leaf]))
+        else:
+            small, big = (left, right) if lc < min_cluster_size else (right, left)
+            for leaf in leaves(small):
+                rows.append((me, leaf, lam, weight[leaf]))
+            if big < n:
+                rows.append((me, big, lam, weight[big]))
+            else:
+                relabel[big] = me
+                queue.append(big)
+    a = np.array(rows, dtype=float)
+    return CondensedTree(a[:, 0].astype(np.int64), a[:, 1].astype(np.int64), a[:, 2], a[:, 3], n)
+
+
+@dataclass
+class Selection:
+    selected: list[int]
+    birth: dict[int, float]
+    cluster_parent: dict[int, int]
+    item_node: np.ndarray          # condensed parent of each item
+    item_lambda: np.ndarray        # fall-out lambda of each item
+    item_cluster_node: np.ndarray  # selected node containing each item, or -1
+    deaths_direct: dict[int, float]
+    deaths_subtree: dict[int, float]
+
+
+def select_eom(tree: CondensedTree, *, allow_single_cluster: bool = False, method: str = "eom") -> Selection:
+    n = tree.n_items
+    is_cl_row = tree.child >= n
+    nodes = sorted(set(tree.parent.tolist()) | set(tree.child[is_cl_row].tolist()))
+    birth = {tree.root: 0.0}
+    cluster_parent: dict[int, int] = {}
+    for p, c, l in zip(tree.parent[is_cl_row], tree.child[is_cl_row], tree.lam[is_cl_row]):
+        birth[int(c)] = float(l)
+        cluster_parent[int(c)] = int(p)
+    stability = {c: 0.0 for c in nodes}
+    deaths_direct = {c: 0.0 for c in nodes}
+    for p, l, s in zip(tree.parent, tree.lam, tree.child_size):
+        lam = l if np.isfinite(l) else 0.0
+        stability[int(p)] += (lam - birth[int(p)]) * s
+        deaths_direct[int(p)] = max(deaths_direct[int(p)], l)
+    children: dict[int, list[int]] = {c: [] for c in nodes}
+    for c, p in cluster_parent.items():
+        children[p].append(c)
+    order = sorted(nodes, reverse=True)
+    if not allow_single_cluster:
+        order = [c for c in order if c != tree.root]
+    is_cluster = {c: True for c in order}
+    if method == "leaf":
+        for c in order:
+            is_cluster[c] = not children[c]
+    else:
+        for c in order:
+            sub = sum(stability[ch] for ch in children[c])
+            if sub > stability[c]:
+                is_cluster[c] = False
+                stability[c] = sub
+            else:
+                stack = list(children[c])
+                while stack:
+                    x = stack.pop()
+                    is_cluster[x] = False
+                    stack += children[x]
+    selected = sorted(c for c, v in is_cluster.items() if v)
+    sel = set(selected)
+    deaths_subtree = dict(deaths_direct)
+    for c in sorted(nodes, reverse=True):
+        if c in cluster_parent:
+            p = cluster_parent[c]
+            deaths_subtree[p] = max(deaths_subtree[p], deaths_subtree[c])
+    # nearest selected ancestor (or self) of every node
+    anc: dict[int, int] = {}
+    for c in sorted(nodes):
+        if c in sel:
+            anc[c] = c
+        elif c in cluster_parent:
+            anc[c] = anc.get(cluster_parent[c], -1)
+        else:
+            anc[c] = -1
+    pts = tree.child < n
+    item_node = np.full(n, tree.root, dtype=np.int64)
+    item_lambda = np.zeros(n)
+    item_node[tree.child[pts]] = tree.parent[pts]
+    item_lambda[tree.child[pts]] = tree.lam[pts]
+    item_cluster = np.array([anc.get(int(x), -1) for x in item_node], dtype=np.int64)
+    return Selection(selected, birth, cluster_parent, item_node, item_lambda, item_cluster, deaths_direct, deaths_subtree)
+
+
+def item_scores(sel: Selection) -> tuple[np.ndarray, np.ndarray]:
+    """Training membership probability (I7) and GLOSH outlier score (I8) per item."""
+    n = len(sel.item_node)
+    prob = np.zeros(n)
+    glosh = np.zeros(n)
+    for i in range(n):
+        lam = sel.item_lambda[i]
+        c = sel.item_cluster_node[i]
+        if c >= 0:
+            mx = sel.deaths_direct[c]
+            prob[i] = 1.0 if (mx == 0 or not np.isfinite(lam)) else min(lam, mx) / mx
+        mxs = sel.deaths_subtree[int(sel.item_node[i])]
+        glosh[i] = 0.0 if (mxs == 0 or not np.isfinite(lam) or not np.isfinite(mxs)) else (mxs - lam) / mxs
+    return prob, glosh
+
+
+def fit_items(rep: np.ndarray, weight: np.ndarray, ext: np.ndarray, nn1: np.ndarray, core: np.ndarray,
+              min_cluster_size: float, *, method: str = "eom", allow_single_cluster: bool = False
+              ) -> tuple[CondensedTree, Selection]:
+    edges = prim_mst(rep, core, ext, nn1)
+    hier = single_linkage(edges, weight)
+    tree = condense(hier, weight, min_cluster_size)
+    return tree, select_eom(tree, allow_single_cluster=allow_single_cluster, method=method)
