@@ -467,4 +467,70 @@ def q_bootstrap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("row_index", "run")
 
 
+# Phase 5-6: density building blocks and the density model ------------------------------
+
+_SELF_CTE = f"""
+    b AS ({si.blobs_sql()}),
+    d AS (SELECT q.row_index, r.row_index AS nbr_index, list_distance(q.sensors, r.sensors) AS distance
+          FROM b q, b r WHERE q.row_index <> r.row_index),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY distance, nbr_index) AS rank FROM d),
+    core AS (SELECT row_index, distance AS core_distance FROM rk WHERE rank = 5)"""
+
+
+@register("core_distance", f"WITH {_SELF_CTE} SELECT row_index, {sql_r6('core_distance')} AS core_distance FROM core")
+def q_core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.density import core_distances
+
+    return round_doubles(core_distances(_features(si.blobs(spark, sf_dir)), 5))
+
+
+@register("mutual_reachability", f"""
+    WITH {_SELF_CTE}
+    SELECT rk.row_index, rk.nbr_index, {sql_r6('rk.distance')} AS distance,
+           {sql_r6('greatest(rk.distance, a.core_distance, c.core_distance)')} AS mreach
+    FROM rk JOIN core a ON a.row_index = rk.row_index JOIN core c ON c.row_index = rk.nbr_index WHERE rk.rank <= 5""")
+def q_mutual_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.density import mutual_reachability_edges
+
+    return round_doubles(mutual_reachability_edges(_features(si.blobs(spark, sf_dir)), 5))
+
+
+@register("dbscan_core_points", f"""
+    WITH b AS ({si.blobs_sql()})
+    SELECT q.row_index, count(*) AS n_within, count(*) >= 5 AS is_core
+    FROM b q, b r WHERE list_distance(q.sensors, r.sensors) <= 0.5 GROUP BY q.row_index""")
+def q_dbscan_core_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.operators.knn import radius_neighbors
+
+    b = _features(si.blobs(spark, sf_dir))
+    c = radius_neighbors(b, b, 0.5, count_only=True)
+    return c.select("row_index", "n_within", (F.col("n_within") >= 5).alias("is_core"))
+
+
+def _density_fit(spark: SparkSession, sf_dir: str):
+    from quorum.operators.density import DensityModel
+    from quorum.operators.features import AggregatesReducer
+
+    b = si.blobs(spark, sf_dir)
+    pre = Preprocessor().fit(b)
+    s = pre.transform(b)
+    feats = s.withColumn("features", F.col("scaled"))
+    model = DensityModel(min_cluster_size=10, min_samples=5).fit(feats)
+    return feats, model
+
+
+@register("density_labels")
+def q_density_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4-I8 on the standardised blobs: (row_index, cluster_id, probability, outlier_score)."""
+    _, model = _density_fit(spark, sf_dir)
+    return round_doubles(model.labels)
+
+
+@register("density_scores")
+def q_density_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted model scores every row of the table again."""
+    feats, model = _density_fit(spark, sf_dir)
+    return round_doubles(model.score(feats.select("row_index", "features")).drop("features"))
+
+
 FLAGSHIP = "row_aggregates"
