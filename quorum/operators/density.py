@@ -138,7 +138,7 @@ class DensityModel:
         ms = max(1, min(self.min_samples, n - 1))
         self.exact = n <= self.max_items
         if self.exact:
-            core = core_distances(pts, ms) if n > 1 else pts.select("row_index", F.lit(0.0).alias("core_distance"))
+            core = core_distances(pts, ms, strategy="broadcast") if n > 1 else pts.select("row_index", F.lit(0.0).alias("core_distance"))
             items_df = pts.join(core, "row_index", "left").select(
                 F.col("row_index").alias("item"), F.col("features").alias("rep"), F.lit(1.0).alias("weight"),
                 F.lit(0.0).alias("extent"), F.lit(0.0).alias("nn1"), F.coalesce("core_distance", F.lit(0.0)).alias("core"),
@@ -146,10 +146,12 @@ class DensityModel:
             assign = None
         else:
             items_df, assign = self._bubbles(pts)
+        items_df = items_df.persist()  # bounded by max_items rows; read by the tree task and the metadata fetch
         res = (items_df.groupBy(F.lit(0).alias("__g")).applyInPandas(
             _tree_task(float(self.min_cluster_size), ms, self.cluster_selection_method, self.allow_single_cluster, self.exact),
             RESULT_SCHEMA)).toPandas()
         item_meta = items_df.select("item", "rep", "weight", "extent", "nn1", "min_row").toPandas()
+        items_df.unpersist()
         self._absorb(res, item_meta)
         self._training_labels(pts, assign)
         return self

@@ -65,3 +65,42 @@ def knn_loo(df: DataFrame, k: int, *, vec: str = "features", label: str = "label
     lab = labelled(df, label)
     pred = knn_classify(lab, lab, k, vec=vec, label=label, exclude_self=True, **kw)
     return lab.select("row_index", label).join(pred, "row_index")
+
+
+def neighbor_arrays(df: DataFrame, refs: DataFrame, k: int, *, vec: str = "features", label: str = "label",
+                    max_broadcast_rows: int = 200_000) -> DataFrame:
+    """D1 row-local form for streams: each row gets its ``top_neighbors`` array in the
+    same Arrow batch pass (broadcast of the size-checked labelled table), so no
+    aggregation — and no streaming state — is needed."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from quorum.operators.knn import _mat, topk_block
+
+    lab = labelled(refs, label).select("row_index", vec, class_name(F.col(label)).alias("nbr_label"))
+    n = lab.count()
+    if n > max_broadcast_rows:
+        raise ValueError(f"{n} labelled rows exceed the broadcast bound {max_broadcast_rows}; use labeled_neighbors")
+    pdf = lab.toPandas()
+    rv = _mat(pdf[vec]) if n else np.zeros((0, 0))
+    bc = df.sparkSession.sparkContext.broadcast((rv, pdf["row_index"].to_numpy(np.int64), pdf["nbr_label"].to_numpy()))
+    nb_type = T.ArrayType(T.StructType([T.StructField("row_index", T.LongType()), T.StructField("label", T.StringType()),
+                                        T.StructField("distance", T.DoubleType())]))
+    schema = T.StructType(df.schema.fields + [T.StructField("top_neighbors", nb_type)])
+
+    def run(it):
+        rv_, ids_, labs_ = bc.value
+        for p in it:
+            if len(p) == 0:
+                continue
+            p = p.copy()
+            lists = [[] for _ in range(len(p))]
+            if len(ids_):
+                qi, ri, d = topk_block(_mat(p[vec]), np.arange(len(p)), rv_, ids_, min(k, len(ids_)), False)
+                for a, b, dd in zip(qi, ri, d):
+                    lists[a].append({"row_index": int(ids_[b]), "label": str(labs_[b]), "distance": float(dd)})
+            p["top_neighbors"] = lists
+            yield p
+
+    return df.mapInPandas(run, schema)

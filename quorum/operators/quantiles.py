@@ -35,14 +35,22 @@ _TARGETS = T.StructType([
 
 def order_statistics(long_df: DataFrame, targets: dict[tuple[str, int], None] | Sequence[tuple[str, int]], *,
                      key: str = "key", value: str = "value", n_buckets: int = 4096,
-                     leaf_rows: int = 50_000, bounds: dict[str, tuple[float, float]] | None = None) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest (0-based) non-null value per (key, k)."""
+                     leaf_rows: int = 50_000, bounds: dict[str, tuple[float, float]] | None = None,
+                     counts: dict[str, int] | None = None, ranks: dict | None = None) -> dict[tuple[str, int], float]:
+    """Exact k-th smallest (0-based) non-null value per (key, k).
+
+    A key whose whole value set is at most ``leaf_rows`` is fetched in one
+    bounded pass instead of being bucketed first.  When ``ranks`` is a dict it
+    receives, per target, (number of values < result, number of values <= result).
+    """
     spark = long_df.sparkSession
     base = long_df.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value")).where(
         F.col("value").isNotNull() & ~F.isnan("value")
     )
-    if bounds is None:
-        bounds = {r["key"]: (r["lo"], r["hi"]) for r in base.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    if bounds is None or counts is None:
+        st = base.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+        bounds = {r["key"]: (r["lo"], r["hi"]) for r in st}
+        counts = {r["key"]: r["n"] for r in st}
     # open target: [key, rank, lo, hi, below]
     open_t = {}
     for i, (k, r) in enumerate(targets):
@@ -50,7 +58,14 @@ def order_statistics(long_df: DataFrame, targets: dict[tuple[str, int], None] |
         open_t[i] = [k, int(r), lo, hi, 0]
     labels = list(targets)
     result: dict[tuple[str, int], float] = {}
+    first = True
     while open_t:
+        if first:
+            first = False
+            small = {tid: (t[2], t[3], 0) for tid, t in open_t.items() if counts.get(t[0], leaf_rows + 1) <= leaf_rows}
+            if small:
+                _fetch(spark, base, open_t, small, labels, result, ranks)
+                continue
         # targets sharing an interval share one histogram (first pass: one per key)
         iids: dict[tuple[str, float, float], int] = {}
         for t in open_t.values():
@@ -83,36 +98,53 @@ def order_statistics(long_df: DataFrame, targets: dict[tuple[str, int], None] |
                     break
                 cum += cnt
         if fetch:
-            fids: dict[tuple[str, float, float], int] = {}
-            for tid, (bmin, bmax, _) in fetch.items():
-                fids.setdefault((open_t[tid][0], bmin, bmax), len(fids))
-            fdf = spark.createDataFrame([(i, k, float(lo), float(hi)) for (k, lo, hi), i in fids.items()], _TARGETS)
-            vals = (base.join(F.broadcast(fdf), "key").where(F.col("value").between(F.col("lo"), F.col("hi")))
-                    .groupBy("tid").agg(F.array_sort(F.collect_list("value")).alias("vs")).collect())
-            got_vals = {r["tid"]: r["vs"] for r in vals}
-            for tid, (bmin, bmax, below) in fetch.items():
-                vs = got_vals[fids[(open_t[tid][0], bmin, bmax)]]
-                result[labels[tid]] = float(vs[open_t[tid][1] - below])
-                del open_t[tid]
+            _fetch(spark, base, open_t, fetch, labels, result, ranks)
     return result
 
 
+def _fetch(spark, base: DataFrame, open_t: dict, fetch: dict, labels: list, result: dict, ranks: dict | None = None) -> None:
+    """Pull the (bounded) values of each target interval and pick the exact element."""
+    fids: dict[tuple[str, float, float], int] = {}
+    for tid, (bmin, bmax, _) in fetch.items():
+        fids.setdefault((open_t[tid][0], bmin, bmax), len(fids))
+    fdf = spark.createDataFrame([(i, k, float(lo), float(hi)) for (k, lo, hi), i in fids.items()], _TARGETS)
+    vals = (base.join(F.broadcast(fdf), "key").where(F.col("value").between(F.col("lo"), F.col("hi")))
+            .groupBy("tid").agg(F.array_sort(F.collect_list("value")).alias("vs")).collect())
+    got_vals = {r["tid"]: r["vs"] for r in vals}
+    for tid, (bmin, bmax, below) in fetch.items():
+        vs = got_vals[fids[(open_t[tid][0], bmin, bmax)]]
+        val = float(vs[open_t[tid][1] - below])
+        result[labels[tid]] = val
+        if ranks is not None:
+            import bisect
+
+            ranks[labels[tid]] = (below + bisect.bisect_left(vs, val), below + bisect.bisect_right(vs, val))
+        del open_t[tid]
+
+
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float], *, key: str = "key", value: str = "value",
-                    **kw) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles per key: {key: [q(p) for p in probs]}."""
+                    stats: dict[str, tuple[int, float, float]] | None = None, **kw) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles per key: {key: [q(p) for p in probs]}.
+
+    ``stats`` ({key: (n, min, max)} of the non-null values) skips the first pass
+    when the caller already aggregated them.
+    """
     base = long_df.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value")).where(
         F.col("value").isNotNull() & ~F.isnan("value")
     )
-    stats = base.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
-    ns = {r["key"]: r["n"] for r in stats}
-    bounds = {r["key"]: (r["lo"], r["hi"]) for r in stats}
+    if stats is None:
+        rows = base.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+        stats = {r["key"]: (r["n"], r["lo"], r["hi"]) for r in rows}
+    stats = {k: v for k, v in stats.items() if v[0]}
+    ns = {k: v[0] for k, v in stats.items()}
+    bounds = {k: (v[1], v[2]) for k, v in stats.items()}
     want: dict[tuple[str, int], None] = {}
     for k, n in ns.items():
         for p in probs:
             h = (n - 1) * p
             want[(k, math.floor(h))] = None
             want[(k, math.ceil(h))] = None
-    got = order_statistics(base, list(want), bounds=bounds, **kw) if want else {}
+    got = order_statistics(base, list(want), bounds=bounds, counts=ns, **kw) if want else {}
     out: dict[str, list[float | None]] = {}
     for k, n in ns.items():
         qs = []

@@ -533,4 +533,97 @@ def q_density_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(model.score(feats.select("row_index", "features")).drop("features"))
 
 
+# Phase 7-8: jobs, reports, streams ----------------------------------------------------------
+
+_PIPES: dict[tuple[int, str, str], object] = {}
+
+
+def _trained(spark: SparkSession, sf_dir: str, mode: str = "aggregates"):
+    """Fit once per session and table: the pipeline trained on the structured blobs."""
+    from quorum.plans.train import TrainConfig, train
+
+    key = (id(spark), sf_dir, mode)
+    if key not in _PIPES:
+        cfg = TrainConfig(feature_mode=mode, n_bootstrap=5)
+        _PIPES[key] = train(spark, si.blobs(spark, sf_dir), cfg)
+    return _PIPES[key]
+
+
+@register("scree")
+def q_scree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 on the standardised readings: (component, ratio, cumulative, k_for_target)."""
+    from quorum.operators.features import scree
+
+    return round_doubles(scree(scaled(spark, si.readings(spark, sf_dir)), "scaled"))
+
+
+@register("train_summary")
+def q_train_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 on the blobs: internal metrics, CV and stability in one row."""
+    res = _trained(spark, sf_dir)
+    cv = res.cv_summary.head() if res.cv_summary is not None else None
+    st = res.stability.head() if res.stability is not None else None
+    im = res.internal.head()
+    row = (im["silhouette"], im["davies_bouldin"], im["noise_fraction"], im["n_clusters"], im["n_points"],
+           cv["mean_ari"] if cv else None, cv["std_ari"] if cv else None, st["stability_mean_ari"] if st else None,
+           st["n_pairs"] if st else 0)
+    return round_doubles(spark.createDataFrame([row], "silhouette double, davies_bouldin double, noise_fraction double, "
+                                               "n_clusters int, n_points int, cv_mean_ari double, cv_std_ari double, "
+                                               "stability_mean_ari double, n_pairs int"))
+
+
+@register("quality_flags")
+def q_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.plans.report import quality_flags
+
+    res = _trained(spark, sf_dir)
+    return quality_flags(spark, res.label_map, res.internal, res.cv_summary)
+
+
+@register("report_clusters")
+def q_report_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorum.plans.report import report_tables
+
+    return report_tables(spark, _trained(spark, sf_dir))["cluster_detail"]
+
+
+@register("score_batch")
+def q_score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 with neighbours: every blobs row scored by the trained pipeline."""
+    res = _trained(spark, sf_dir)
+    return round_doubles(res.pipeline.score(si.blobs(spark, sf_dir), with_neighbors=True))
+
+
+def _run_stream(spark: SparkSession, sf_dir: str, amplified: bool):
+    from quorum.streaming.score_stream import embeddings_stream, score_stream
+
+    res = _trained(spark, sf_dir)
+    src = embeddings_stream(spark, sf_dir)
+    if amplified:
+        src = src.withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(si.AMPLIFY)))
+    q, ok, bad = score_stream(spark, res.pipeline, si.blobs_from(src).drop("label") if not amplified else
+                              si.readings_from(src).drop("label"))
+    q.awaitTermination()
+    return ok, bad
+
+
+@register("stream_score")
+def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: embeddings streamed as files -> blobs readings -> scored -> parquet sink."""
+    ok, _ = _run_stream(spark, sf_dir, amplified=False)
+    return round_doubles(spark.read.parquet(ok).drop("batch_id"))
+
+
+@register("stream_rejects", f"""
+    WITH r AS (SELECT vec_id AS row_index, list_value({", ".join(f"{si.AMPLIFY} * CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(si.N_SENSORS))}) AS v
+               FROM embeddings),
+    e AS (SELECT row_index, unnest(v) AS x FROM r)
+    SELECT row_index, 'out_of_band' AS reject_reason FROM e GROUP BY row_index
+    HAVING bool_or(NOT (x BETWEEN -1.05 AND 1.05)) AND NOT bool_or(isnan(x) OR isinf(x))""")
+def q_stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: the same stream at 2.5x scale; rows leaving the payload band go to the reject sink."""
+    _, bad = _run_stream(spark, sf_dir, amplified=True)
+    return spark.read.parquet(bad).drop("batch_id")
+
+
 FLAGSHIP = "row_aggregates"

@@ -40,7 +40,11 @@ def _sparse_label(vec_id: Column, label: Column) -> Column:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_index BIGINT, sensors ARRAY<DOUBLE>, label DOUBLE)."""
-    e = embeddings(spark, sf_dir)
+    return readings_from(embeddings(spark, sf_dir))
+
+
+def readings_from(e: DataFrame) -> DataFrame:
+    """``readings`` expressions over any embeddings-shaped frame (batch or stream)."""
     return e.select(
         F.col("vec_id").alias("row_index"),
         F.array(*[F.col("embedding")[i].cast("double") for i in range(N_SENSORS)]).alias("sensors"),
@@ -56,7 +60,11 @@ def _blob_value(x: Column, label: Column, i: int) -> Column:
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured variant: (row_index, sensors, label) with real dense groups."""
-    e = embeddings(spark, sf_dir)
+    return blobs_from(embeddings(spark, sf_dir))
+
+
+def blobs_from(e: DataFrame) -> DataFrame:
+    """``blobs`` expressions over any embeddings-shaped frame (batch or stream)."""
     return e.select(
         F.col("vec_id").alias("row_index"),
         F.array(*[_blob_value(F.col("embedding")[i].cast("double"), F.col("label"), i) for i in range(N_SENSORS)]).alias("sensors"),
