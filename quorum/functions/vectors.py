@@ -56,6 +56,11 @@ def matvec(c: Column, rows: Sequence[Sequence[float]], center: Sequence[float] |
     The matrix is a model parameter (bounded by the width of the table), so it is
     embedded as literals and evaluated per row inside the JVM.
     """
+    d = len(rows[0]) if rows else 0
+    if 0 < d * len(rows) <= 65536:
+        # fixed width: plain arithmetic, kept inside whole-stage codegen
+        xs = [c[i] - F.lit(float(center[i])) if center is not None else c[i] for i in range(d)]
+        return F.array(*[sum((xs[i] * F.lit(float(r[i])) for i in range(1, d)), xs[0] * F.lit(float(r[0]))) for r in rows])
     x = c
     if center is not None:
         ce = F.array(*[F.lit(float(v)) for v in center])

@@ -251,49 +251,91 @@ class DensityModel:
         return df.mapInPandas(run, out_schema)
 
 
+def _node_arrays(st: dict) -> dict:
+    """Dense per-node arrays (node ids are 0..2*items) for vectorised climbing."""
+    if "_arr" in st:
+        return st["_arr"]
+    nodes = set(st["cparent"]) | set(st["cparent"].values()) | set(st["selected"]) | set(st["dsub"]) | {st["root"]}
+    size = (max(nodes) + 1) if nodes else 1
+    parent = np.arange(size)
+    birth = np.full(size, -np.inf)
+    for c, p in st["cparent"].items():
+        parent[c] = p
+        birth[c] = st["cbirth"][c]
+    dsub = np.zeros(size)
+    for c, v in st["dsub"].items():
+        dsub[c] = v
+    ddir = np.zeros(size)
+    for c, v in st["ddirect"].items():
+        ddir[c] = v
+    # first selected ancestor (or self) of every node, -1 when none
+    sel_anc = np.full(size, -1)
+    for c in sorted(nodes):
+        if c in st["selected"]:
+            sel_anc[c] = c
+        elif c in st["cparent"]:
+            sel_anc[c] = sel_anc[st["cparent"][c]]
+    cluster_of = np.full(size, -1)
+    for c, cid in st["selected"].items():
+        cluster_of[c] = cid
+    st["_arr"] = {"parent": parent, "birth": birth, "dsub": dsub, "ddir": ddir, "sel_anc": sel_anc, "cluster_of": cluster_of}
+    return st["_arr"]
+
+
 def score_points(x: np.ndarray, st: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Approximate prediction against the bounded model state (numpy, one batch)."""
+    """Approximate prediction against the bounded model state, vectorised per batch."""
     rep, core, ext, nn1 = st["rep"], st["core"], st["ext"], st["nn1"]
     ms = st["ms"]
+    arr = _node_arrays(st)
+    root = st["root"]
     n_items = rep.shape[0]
     k = min(2 * ms, n_items)
+    rn = np.einsum("ij,ij->i", rep, rep)
     out_c = np.full(len(x), -1, dtype=np.int64)
     out_s = np.zeros(len(x))
     out_n = np.ones(len(x))
-    for s in range(0, len(x), 512):
-        xb = x[s:s + 512]
-        d = np.sqrt(np.maximum(((xb[:, None, :] - rep[None, :, :]) ** 2).sum(-1), 0))
+    for s in range(0, len(x), 1024):
+        xb = x[s:s + 1024]
+        b = len(xb)
+        d2 = np.einsum("ij,ij->i", xb, xb)[:, None] + rn[None, :] - 2.0 * (xb @ rep.T)
+        if k < n_items:
+            cand = np.argpartition(d2, k - 1, axis=1)[:, :k]
+        else:
+            cand = np.broadcast_to(np.arange(n_items), (b, n_items))
+        dist = np.sqrt(((xb[:, None, :] - rep[cand]) ** 2).sum(-1))
         # data bubbles: distance to a bubble is reduced by its extent (never below its nn distance)
-        d = np.where(ext[None, :] > 0, np.maximum(d - ext[None, :] + nn1[None, :], nn1[None, :]), d)
-        nb = np.argsort(d, axis=1, kind="stable")[:, :k]
-        for r in range(len(xb)):
-            idx = nb[r]
-            dist = d[r, idx]
-            own_core = dist[min(ms, len(dist) - 1)]
-            mr = np.maximum(np.maximum(core[idx], own_core), dist)
-            j = int(np.argmin(mr))
-            lam = 1.0 / mr[j] if mr[j] > 0 else np.finfo(float).max
-            nn = idx[j]
-            node = int(st["node"][nn])
-            if st["lam"][nn] > lam:
-                while node != st["root"] and node in st["cbirth"] and st["cbirth"][node] >= lam:
-                    node = st["cparent"][node]
-            mx_sub = st["dsub"].get(node, 0.0)
-            nov = (mx_sub - lam) / mx_sub if (mx_sub > 0 and np.isfinite(mx_sub)) else 0.0
-            # selected ancestor
-            c = node
-            while c not in st["selected"] and c in st["cparent"]:
-                c = st["cparent"][c]
-            if c in st["selected"]:
-                out_c[s + r] = st["selected"][c]
-                mx = st["ddirect"].get(c, 0.0)
-                out_s[s + r] = 1.0 if mx <= 0 or not np.isfinite(mx) else min(lam, mx) / mx
-                nv = nov
-            else:
-                nv = 1.0
-            if np.isnan(nv):
-                nv = 1.0
-            out_n[s + r] = min(1.0, max(0.0, nv))
+        e, q = ext[cand], nn1[cand]
+        dist = np.where(e > 0, np.maximum(dist - e + q, q), dist)
+        order = np.argsort(dist, axis=1, kind="stable")
+        dist = np.take_along_axis(dist, order, 1)
+        cand = np.take_along_axis(cand, order, 1)
+        own_core = dist[:, min(ms, k - 1)]
+        mr = np.maximum(np.maximum(core[cand], own_core[:, None]), dist)
+        j = np.argmin(mr, axis=1)
+        best = mr[np.arange(b), j]
+        lam = np.where(best > 0, 1.0 / np.where(best > 0, best, 1.0), np.finfo(float).max)
+        nn = cand[np.arange(b), j]
+        node = st["node"][nn].astype(np.int64)
+        climb = st["lam"][nn] > lam
+        for _ in range(len(arr["parent"])):
+            step = climb & (node != root) & (arr["birth"][node] >= lam)
+            if not step.any():
+                break
+            node = np.where(step, arr["parent"][node], node)
+        mx_sub = arr["dsub"][node]
+        ok = (mx_sub > 0) & np.isfinite(mx_sub)
+        nov = np.where(ok, (mx_sub - lam) / np.where(ok, mx_sub, 1.0), 0.0)
+        sel = arr["sel_anc"][node]
+        has = sel >= 0
+        cid = np.where(has, arr["cluster_of"][np.maximum(sel, 0)], -1)
+        mx = arr["ddir"][np.maximum(sel, 0)]
+        good = has & (mx > 0) & np.isfinite(mx)
+        strength = np.where(good, np.minimum(lam, np.where(good, mx, 1.0)) / np.where(good, mx, 1.0), np.where(has, 1.0, 0.0))
+        nov = np.where(has, nov, 1.0)
+        nov = np.where(np.isnan(nov), 1.0, nov)
+        out_c[s:s + b] = cid
+        out_s[s:s + b] = strength
+        out_n[s:s + b] = np.clip(nov, 0.0, 1.0)
     return out_c, out_s, out_n
 
 

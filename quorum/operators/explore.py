@@ -24,13 +24,20 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, col: str = "sensors") -> DataFrame:
-    """Pearson correlation of every dimension pair (i < j), one aggregate pass."""
+    """Pearson correlation of every dimension pair (i < j).
+
+    Each row emits its width*(width-1)/2 value pairs (bounded by the width, not
+    the data) straight into a grouped ``corr`` whose partial aggregation runs
+    map-side; only one buffer per pair and partition is shuffled.
+    """
     d = vector_width(df, col)
+    idx = F.sequence(F.lit(0), F.lit(d - 1))
     x = F.col(col)
-    agg = df.agg(*[F.corr(x[i], x[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1, d)])
-    pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("corr"))
-             for i in range(d) for j in range(i + 1, d)]
-    return agg.select(F.explode(F.array(*pairs)).alias("s")).select("s.i", "s.j", "s.corr")
+    pairs = F.flatten(F.transform(idx, lambda i: F.transform(
+        F.filter(idx, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j"), F.element_at(x, i + 1).alias("a"),
+                                                           F.element_at(x, j + 1).alias("b")))))
+    long_df = df.select(F.explode(pairs).alias("p")).select("p.*")
+    return long_df.groupBy("i", "j").agg(F.corr("a", "b").alias("corr"))
 
 
 def corr_summary(corr: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from quorum.functions.names import clip01, name_to_code
 from quorum.operators.density import DensityModel
@@ -126,13 +127,15 @@ def fit_pipeline(df: DataFrame, cfg: TrainConfig, *, col: str = "sensors") -> tu
     scaled = pre.transform(base, col, out="scaled")
     red = build_reducer(cfg.feature_mode, variance_target=cfg.variance_target, n_components=cfg.n_components).fit(scaled, "scaled")
     feats = red.transform(scaled, "scaled", out="features").select("row_index", "label", "features")
-    feats = cut_lineage(feats)
+    # short lineage (scan + projection): persisting is enough, a lost block is recomputed
+    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
     model = DensityModel(min_cluster_size=cfg.min_cluster_size, min_samples=cfg.min_samples,
                          cluster_selection_method=cfg.cluster_selection_method, max_items=cfg.max_items,
                          seed=cfg.seed).fit(feats)
     train_tbl = feats.join(model.labels, "row_index")
     lm = build_label_map(train_tbl, weighted=cfg.weighted_votes)
     refs = feats.where(F.col("label").isNotNull()).select("row_index", "features", "label")
+    refs.unpersist = feats.unpersist  # releasing the refs releases the cached feature table
     pipe = ClusterPipeline(pre, red, model, _lm_pandas(lm), refs, cfg.glosh_threshold, cfg.top_neighbors,
                            model_version=cfg.model_version)
     return pipe, train_tbl
@@ -179,6 +182,7 @@ def cv_evaluate(df: DataFrame, cfg: TrainConfig, *, n_splits: int | None = None,
         pred = pipe.score(test.select("row_index", col), col=col).join(test.select("row_index", "label"), "row_index")
         coded = pred.withColumn("code", name_to_code(F.col("predicted_label")))
         r = grouped_ari(coded.withColumn("fold", F.lit(f)), ["fold"], "code", "label").collect()
+        pipe.labelled_refs.unpersist()
         parts.append((f, r[0]["ari"] if r else None, int(r[0]["n"]) if r else 0))
     return spark.createDataFrame(parts, "fold int, ari double, n_test long")
 
