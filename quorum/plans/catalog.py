@@ -626,4 +626,171 @@ def q_stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(bad).drop("batch_id")
 
 
+# Phase 9-10: feature views and comparison models ------------------------------------------
+
+_WIDE_SQL = f"""
+    WITH z AS ({_scaled_long_sql(si.readings_sql())}),
+    m AS (SELECT row_index, i, z, avg(z) OVER (PARTITION BY row_index) AS mu FROM z)
+    SELECT row_index, list_transform(list_concat(list(z ORDER BY i), [
+        avg(z), stddev_pop(z), min(z), max(z), max(z) - min(z),
+        CASE WHEN avg((z-mu)*(z-mu)) > 0 THEN avg((z-mu)*(z-mu)*(z-mu)) / pow(avg((z-mu)*(z-mu)), 1.5) END,
+        CASE WHEN avg((z-mu)*(z-mu)) > 0 THEN avg((z-mu)*(z-mu)*(z-mu)*(z-mu)) / pow(avg((z-mu)*(z-mu)), 2) - 3 END,
+        quantile_cont(z, 0.25), quantile_cont(z, 0.75), quantile_cont(z, 0.75) - quantile_cont(z, 0.25),
+        quantile_cont(z, 0.5), avg(abs(z))]), lambda v: round(v, 6) + 0.0) AS features
+    FROM m GROUP BY row_index"""
+
+
+@register("wide_aggregates", _WIDE_SQL)
+def q_wide_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: standardised values followed by twelve per-row statistics."""
+    from quorum.functions.rowstats import WIDE_FEATURE_NAMES, with_row_stats
+
+    s = scaled(spark, si.readings(spark, sf_dir))
+    return round_doubles(with_row_stats(s, "scaled", si.N_SENSORS, "features", WIDE_FEATURE_NAMES).select("row_index", "features"))
+
+
+def _poly_sql() -> str:
+    from quorum.operators.transforms import poly2_terms
+
+    terms = ", ".join(f"sensors[{t[0] + 1}]" if len(t) == 1 else f"sensors[{t[0] + 1}] * sensors[{t[1] + 1}]"
+                      for t in poly2_terms(si.N_SENSORS))
+    return f"SELECT row_index, list_transform(list_value({terms}), lambda v: round(v, 6) + 0.0) AS features FROM ({si.readings_sql()})"
+
+
+@register("poly_features", _poly_sql())
+def q_poly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degree-2 expansion of the readings (230 values per row)."""
+    from quorum.operators.transforms import poly2
+
+    r = si.readings(spark, sf_dir)
+    return round_doubles(r.select("row_index", poly2(F.col("sensors"), si.N_SENSORS).alias("features")))
+
+
+@register("rule_ensemble", f"""
+    WITH {_NB_CTE},
+    kv AS (SELECT row_index, nbr_class, count(*) AS votes FROM rk WHERE rank <= 5 GROUP BY row_index, nbr_class),
+    kp AS (SELECT row_index, arg_max(nbr_class, votes * 1000 - nbr_class) AS knn_class FROM kv GROUP BY row_index),
+    c AS ({_LC_SQL}),
+    cv AS (SELECT cluster_id, label, count(*) AS n FROM c WHERE label IS NOT NULL GROUP BY cluster_id, label),
+    cw AS (SELECT cluster_id, arg_max(label, n * 1000 - label) AS voted FROM cv GROUP BY cluster_id)
+    SELECT c.row_index, CASE WHEN c.cluster_id = -1 THEN kp.knn_class
+                             WHEN cw.voted IS NULL THEN 9999.0 ELSE cw.voted END AS predicted
+    FROM c LEFT JOIN cw USING (cluster_id) LEFT JOIN kp USING (row_index)""")
+def q_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise -> kNN class; unlabelled cluster -> 9999; else the cluster's majority class."""
+    from quorum.operators.labelmap import class_to_cluster_vote
+    from quorum.operators.neighbors import knn_classify
+
+    b = _features(si.blobs(spark, sf_dir))
+    c = _label_clusters(spark, sf_dir)
+    kp = knn_classify(b, b, 5).withColumnRenamed("predicted", "knn_class")
+    votes = class_to_cluster_vote(c)
+    j = c.join(votes, "cluster_id", "left").join(kp, "row_index", "left")
+    pred = (F.when(F.col("cluster_id") == -1, F.col("knn_class"))
+            .when(F.col("voted_class").isNull(), F.lit(9999.0)).otherwise(F.col("voted_class")))
+    return j.select("row_index", pred.alias("predicted"))
+
+
+def _scaled_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = si.blobs(spark, sf_dir)
+    return Preprocessor().fit(b).transform(b).select("row_index", "label", F.col("scaled").alias("features"))
+
+
+@register("knn_features")
+def q_knn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised blobs with weighted kNN class probabilities appended (k=3, weight 3)."""
+    from quorum.operators.transforms import knn_proba_features
+
+    return round_doubles(knn_proba_features(_scaled_blobs(spark, sf_dir), 3, 3.0).select("row_index", "features"))
+
+
+@register("quantile_features")
+def q_quantile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10 on the readings."""
+    from quorum.operators.transforms import QuantileRank
+
+    r = si.readings(spark, sf_dir).withColumnRenamed("sensors", "features")
+    return round_doubles(QuantileRank().fit(r).transform(r).select("row_index", "features"))
+
+
+@register("rbf_features")
+def q_rbf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11 on the standardised blobs (D = 200, gamma 0.1)."""
+    from quorum.operators.transforms import RandomFourier
+
+    b = _scaled_blobs(spark, sf_dir)
+    return round_doubles(RandomFourier(0.1).fit(b).transform(b).select("row_index", "features"))
+
+
+@register("dbscan_labels")
+def q_dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I15 on the blobs (eps 0.5, min_samples 5)."""
+    from quorum.operators.models import dbscan
+
+    return dbscan(_features(si.blobs(spark, sf_dir)), 0.5, 5)
+
+
+@register("label_spreading")
+def q_label_spreading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I16 full transduction on the standardised blobs (15-NN kernel, alpha 0.2)."""
+    from quorum.operators.models import label_spreading
+
+    return label_spreading(_scaled_blobs(spark, sf_dir))
+
+
+@register("isolation_forest")
+def q_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200 trees of 256 rows on the standardised blobs."""
+    from quorum.operators.models import isolation_forest
+
+    return round_doubles(isolation_forest(_scaled_blobs(spark, sf_dir)))
+
+
+@register("iforest_glosh_corr")
+def q_iforest_glosh_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pearson correlation of isolation-forest scores and training GLOSH scores."""
+    from quorum.operators.density import DensityModel
+    from quorum.operators.models import isolation_forest
+
+    f = _scaled_blobs(spark, sf_dir)
+    g = DensityModel(min_cluster_size=8, min_samples=3).fit(f).labels
+    j = isolation_forest(f).join(g, "row_index")
+    return round_doubles(j.agg(F.corr("iforest_score", "outlier_score").alias("rho"), F.count(F.lit(1)).alias("n")))
+
+
+@register("algorithm_comparison")
+def q_algorithm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 on the standardised blobs: k-means, mixtures, bisecting k-means, spectral, DBSCAN, density."""
+    from quorum.operators import models
+
+    f = _scaled_blobs(spark, sf_dir)
+    fits = {
+        "kmeans_k2": lambda d: models.kmeans(d, 2), "kmeans_k5": lambda d: models.kmeans(d, 5),
+        "gmm_k2": lambda d: models.gaussian_mixture(d, 2), "gmm_k5": lambda d: models.gaussian_mixture(d, 5),
+        "bisecting_k5": lambda d: models.bisecting_kmeans(d, 5), "spectral_k5": lambda d: models.spectral(d, 5),
+        "dbscan_eps2": lambda d: models.dbscan(d, 2.0, 5),
+    }
+    fits.update(models.density_grid(f, [8, 10], [3, 5]))
+    return round_doubles(models.compare(f, fits))
+
+
+@register("pca_sweep")
+def q_pca_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 on the standardised readings: k in {2, 5, 10, 17}."""
+    from quorum.operators.transforms import pca_sweep
+
+    s = scaled(spark, si.readings(spark, sf_dir))
+    return round_doubles(pca_sweep(s, [2, 5, 10, 17], min_cluster_size=8, min_samples=3))
+
+
+@register("feature_comparison")
+def q_feature_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11 on the standardised blobs: density scores and kNN-LOO accuracy per feature view."""
+    from quorum.operators.transforms import compare_features
+
+    b = si.blobs(spark, sf_dir)
+    s = Preprocessor().fit(b).transform(b)
+    return round_doubles(compare_features(s))
+
+
 FLAGSHIP = "row_aggregates"
