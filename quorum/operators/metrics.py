@@ -243,3 +243,10 @@ def summary_stats(df: DataFrame, value: str) -> DataFrame:
     v = F.when(~F.isnan(value), F.col(value))
     return df.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
                   F.count(v).alias("n"))
+
+
+def class_distribution(df: DataFrame, col: str = "predicted") -> DataFrame:
+    """Rows per propagated class plus the number of distinct classes."""
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    k = counts.count()  # one row per class: bounded by the number of classes
+    return counts.withColumn("n_classes", F.lit(k))

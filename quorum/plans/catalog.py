@@ -793,4 +793,30 @@ def q_feature_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(compare_features(s))
 
 
+@register("rbf_sweep")
+def q_rbf_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11 + F9: kNN-LOO accuracy for gamma in {0.01, 0.1, 1}; first best flagged."""
+    from quorum.operators.transforms import rbf_sweep
+
+    return round_doubles(rbf_sweep(_scaled_blobs(spark, sf_dir), [0.01, 0.1, 1.0]))
+
+
+@register("cv_seeded")
+def q_cv_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5: 3 seeds x 5 folds of the full pipeline on the blobs, summarised."""
+    from quorum.plans.train import TrainConfig, cv_seeded, seeded_summary
+
+    cv = cv_seeded(si.blobs(spark, sf_dir), TrainConfig(), [42, 43, 44])
+    return round_doubles(seeded_summary(cv))
+
+
+@register("spread_distribution")
+def q_spread_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class distribution of the label-spreading transduction."""
+    from quorum.operators.metrics import class_distribution
+    from quorum.operators.models import label_spreading
+
+    return class_distribution(label_spreading(_scaled_blobs(spark, sf_dir)))
+
+
 FLAGSHIP = "row_aggregates"

@@ -187,6 +187,26 @@ def cv_evaluate(df: DataFrame, cfg: TrainConfig, *, n_splits: int | None = None,
     return spark.createDataFrame(parts, "fold int, ari double, n_test long")
 
 
+def cv_seeded(df: DataFrame, cfg: TrainConfig, seeds: list[int], *, n_splits: int | None = None) -> DataFrame:
+    """H5: CV repeated over seeds (the fold assignment changes with the seed):
+    (seed, fold, ari, n_test); summarise with ``seeded_summary``."""
+    from dataclasses import replace
+
+    out = None
+    for sd in seeds:
+        t = cv_evaluate(df, replace(cfg, seed=sd), n_splits=n_splits).withColumn("seed", F.lit(sd))
+        out = t if out is None else out.unionByName(t)
+    return out.select("seed", "fold", "ari", "n_test")
+
+
+def seeded_summary(cv: DataFrame) -> DataFrame:
+    """E16 over seeds: NaN-skipping per-seed mean, then mean / population std / min / max."""
+    v = F.when(~F.isnan("ari"), F.col("ari"))
+    per = cv.groupBy("seed").agg(F.avg(v).alias("seed_ari"))
+    return per.agg(F.avg("seed_ari").alias("mean_ari"), F.stddev_pop("seed_ari").alias("std_ari"),
+                   F.min("seed_ari").alias("min_ari"), F.max("seed_ari").alias("max_ari"), F.count(F.lit(1)).alias("n_seeds"))
+
+
 def cv_summary(cv: DataFrame) -> DataFrame:
     """NaN-skipping mean and population std of fold ARIs."""
     v = F.when(~F.isnan("ari"), F.col("ari"))
