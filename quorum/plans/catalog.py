@@ -819,4 +819,4 @@ def q_spread_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_distribution(label_spreading(_scaled_blobs(spark, sf_dir)))
 
 
-FLAGSHIP = "row_aggregates"
+FLAGSHIP = "density_scores"
