@@ -70,13 +70,9 @@ def order_statistics(long_df: DataFrame, targets: dict[tuple[str, int], None] |
         iids: dict[tuple[str, float, float], int] = {}
         for t in open_t.values():
             iids.setdefault((t[0], t[2], t[3]), len(iids))
-        tdf = spark.createDataFrame([(i, k, float(lo), float(hi)) for (k, lo, hi), i in iids.items()], _TARGETS)
-        inside = base.join(F.broadcast(tdf), "key").where(F.col("value").between(F.col("lo"), F.col("hi")))
-        width = (F.col("hi") - F.col("lo")) / n_buckets
-        bucket = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(n_buckets - 1))).otherwise(0)
-        hist = inside.groupBy("tid", bucket.alias("b")).agg(
-            F.count(F.lit(1)).alias("cnt"), F.min("value").alias("bmin"), F.max("value").alias("bmax")
-        ).collect()
+        # bucket budget: the collected histogram stays bounded however many targets are open
+        nb = max(16, min(n_buckets, _HIST_BUDGET // max(1, len(iids))))
+        hist = _histogram(spark, base, iids, nb).collect()
         per: dict[int, list] = {}
         for h in hist:
             per.setdefault(h["tid"], []).append((h["b"], h["cnt"], h["bmin"], h["bmax"]))
@@ -102,13 +98,66 @@ def order_statistics(long_df: DataFrame, targets: dict[tuple[str, int], None] |
     return result
 
 
+_HIST_BUDGET = 1 << 20
+_JOIN_INTERVALS_PER_KEY = 64
+
+
+def _assign_intervals(spark, base: DataFrame, iids: dict[tuple[str, float, float], int]) -> DataFrame:
+    """(tid, lo, hi, value) for values inside an open interval.
+
+    Few intervals per key: broadcast equi-join on the key plus a range filter.
+    Many (quantile grids): intervals of a key are disjoint, so each value finds
+    its interval by binary search against broadcast sorted bounds in an Arrow
+    batch — no per-interval fan-out.
+    """
+    per_key: dict[str, list] = {}
+    for (k, lo, hi), i in iids.items():
+        per_key.setdefault(k, []).append((lo, hi, i))
+    if max(len(v) for v in per_key.values()) <= _JOIN_INTERVALS_PER_KEY:
+        tdf = spark.createDataFrame([(i, k, float(lo), float(hi)) for (k, lo, hi), i in iids.items()], _TARGETS)
+        return base.join(F.broadcast(tdf), "key").where(F.col("value").between(F.col("lo"), F.col("hi")))
+    import numpy as np
+    import pandas as pd
+
+    tables = {}
+    for k, v in per_key.items():
+        v.sort()
+        tables[k] = (np.array([a for a, _, _ in v]), np.array([b for _, b, _ in v]), np.array([i for _, _, i in v]))
+    bc = spark.sparkContext.broadcast(tables)
+
+    def run(it):
+        tb = bc.value
+        for pdf in it:
+            outs = []
+            for k, g in pdf.groupby("key"):
+                if k not in tb:
+                    continue
+                lo, hi, ids = tb[k]
+                v = g["value"].to_numpy()
+                pos = np.searchsorted(lo, v, side="right") - 1
+                ok = (pos >= 0) & (v <= hi[np.maximum(pos, 0)])
+                outs.append(pd.DataFrame({"key": k, "value": v[ok], "tid": ids[pos[ok]].astype("int32"),
+                                          "lo": lo[pos[ok]], "hi": hi[pos[ok]]}))
+            if outs:
+                yield pd.concat(outs)
+
+    return base.mapInPandas(run, "key string, value double, tid int, lo double, hi double")
+
+
+def _histogram(spark, base: DataFrame, iids: dict, n_buckets: int) -> DataFrame:
+    inside = _assign_intervals(spark, base, iids)
+    width = (F.col("hi") - F.col("lo")) / n_buckets
+    bucket = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(n_buckets - 1))).otherwise(0)
+    return inside.groupBy("tid", bucket.alias("b")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("value").alias("bmin"), F.max("value").alias("bmax"))
+
+
 def _fetch(spark, base: DataFrame, open_t: dict, fetch: dict, labels: list, result: dict, ranks: dict | None = None) -> None:
     """Pull the (bounded) values of each target interval and pick the exact element."""
     fids: dict[tuple[str, float, float], int] = {}
     for tid, (bmin, bmax, _) in fetch.items():
         fids.setdefault((open_t[tid][0], bmin, bmax), len(fids))
-    fdf = spark.createDataFrame([(i, k, float(lo), float(hi)) for (k, lo, hi), i in fids.items()], _TARGETS)
-    vals = (base.join(F.broadcast(fdf), "key").where(F.col("value").between(F.col("lo"), F.col("hi")))
+    vals = (_assign_intervals(spark, base, fids)
             .groupBy("tid").agg(F.array_sort(F.collect_list("value")).alias("vs")).collect())
     got_vals = {r["tid"]: r["vs"] for r in vals}
     for tid, (bmin, bmax, below) in fetch.items():
