@@ -47,11 +47,12 @@ def corr_summary(corr: DataFrame) -> DataFrame:
 
 def sensor_histogram(df: DataFrame, col: str = "sensors", bins: int = 40) -> DataFrame:
     """Equal-width bins between each dimension's min and max; max lands in the last bin."""
+    from quorum.operators.features import _long_stats
+
     d = vector_width(df, col)
-    x = F.col(col)
-    mm = df.agg(*[f(x[i]).alias(f"{n}{i}") for i in range(d) for f, n in ((F.min, "lo"), (F.max, "hi"))]).head()
-    lo = F.array(*[F.lit(mm[f"lo{i}"]) for i in range(d)])
-    hi = F.array(*[F.lit(mm[f"hi{i}"]) for i in range(d)])
+    st = _long_stats(df, col, d)
+    lo = F.array(*[F.lit(st[i]["lo"]) for i in range(d)])
+    hi = F.array(*[F.lit(st[i]["hi"]) for i in range(d)])
     long_df = df.select(F.posexplode(col).alias("sensor", "x"))
     a, b = F.element_at(lo, F.col("sensor") + 1), F.element_at(hi, F.col("sensor") + 1)
     bin_ = F.when(b > a, F.least(F.floor((F.col("x") - a) / (b - a) * bins), F.lit(bins - 1))).otherwise(0).cast("int")

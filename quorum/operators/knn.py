@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
+DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 DEFAULT_BLOCK_ROWS = 4096
 _CHUNK = 2048
 
@@ -108,8 +109,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "row_index",
     payload = list(payload)
     r = _ref_table(refs, rid, rvec, payload)
     if strategy is None:
-        n_ref = r.count()
-        strategy = "broadcast" if n_ref <= max_broadcast_rows else "pivot"
+        strategy = _pick(r, max_broadcast_rows)
     q = queries.select(F.col(qid).cast("long").alias("__qid"), F.col(qvec).alias("__qvec"))
     out_fields = [T.StructField("row_index", T.LongType()), T.StructField("rank", T.IntegerType()),
                   T.StructField("nbr_index", T.LongType()), T.StructField("distance", T.DoubleType())]
@@ -120,6 +120,13 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "row_index",
     return _knn_pivot(q, r, k, payload, exclude_self, schema, block_rows, n_pivots)
 
 
+def _pick(r: DataFrame, max_rows: int, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> str:
+    """Broadcast only under a checked bound on rows and on bytes (rows x width x 8)."""
+    st = r.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__rvec")).alias("w")).head()
+    n, w = st["n"], st["w"] or 0
+    return "broadcast" if n <= max_rows and n * max(w, 1) * 8 <= max_bytes else "pivot"
+
+
 def _collect_refs(r: DataFrame, payload: Sequence[str]):
     pdf = r.toPandas()
     return _mat(pdf["__rvec"]), pdf["__rid"].to_numpy(np.int64), {p: pdf[p].to_numpy() for p in payload}
@@ -289,7 +296,7 @@ def radius_neighbors(queries: DataFrame, refs: DataFrame, eps: float, *, qid: st
     r = _ref_table(refs, rid, rvec, [])
     q = queries.select(F.col(qid).cast("long").alias("__qid"), F.col(qvec).alias("__qvec"))
     if strategy is None:
-        strategy = "broadcast" if r.count() <= max_broadcast_rows else "pivot"
+        strategy = _pick(r, max_broadcast_rows)
     pair_schema = T.StructType([T.StructField("row_index", T.LongType()), T.StructField("nbr_index", T.LongType()),
                                 T.StructField("distance", T.DoubleType())])
     cnt_schema = T.StructType([T.StructField("row_index", T.LongType()), T.StructField("n_within", T.LongType())])

@@ -793,6 +793,21 @@ def q_feature_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(compare_features(s))
 
 
+@register("within_between_distance", f"""
+    WITH b AS ({si.blobs_sql()}), l AS (SELECT * FROM b WHERE label IS NOT NULL),
+    d AS (SELECT q.label AS class, q.label = r.label AS same, list_distance(q.sensors, r.sensors) AS dist
+          FROM l q, l r WHERE q.row_index <> r.row_index)
+    SELECT class, {sql_r6('quantile_cont(CASE WHEN same THEN dist END, 0.5)')} AS within_median,
+           {sql_r6('quantile_cont(CASE WHEN NOT same THEN dist END, 0.5)')} AS between_median,
+           count_if(same) AS n_within, count_if(NOT same) AS n_between
+    FROM d GROUP BY class""")
+def q_within_between_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5 on the blobs' labelled rows: median within- and between-class distance per class."""
+    from quorum.operators.pairdist import within_between
+
+    return round_doubles(within_between(_features(si.blobs(spark, sf_dir))))
+
+
 @register("rbf_sweep")
 def q_rbf_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11 + F9: kNN-LOO accuracy for gamma in {0.01, 0.1, 1}; first best flagged."""

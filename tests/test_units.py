@@ -204,3 +204,22 @@ def test_label_map_document_round_trip():
     del d["schema_version"]
     with pytest.raises(SchemaVersionError):
         label_map_from_document(json.dumps(d))
+
+
+@pytest.mark.parametrize("bcast", [10_000, 5])
+def test_pair_distance_medians_match_numpy(spark, bcast):
+    from quorum.operators.pairdist import within_between
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 3))
+    lab = np.repeat([1.0, 2.0, 3.0, None], 10)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], lab[i]) for i in range(40)],
+                               "row_index long, features array<double>, label double")
+    got = {r["class"]: r for r in within_between(df, max_broadcast_rows=bcast, block_rows=7).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for c in (1.0, 2.0, 3.0):
+        i = np.nonzero(lab == c)[0]
+        o = np.nonzero((lab != c) & (lab != None))[0]  # noqa: E711
+        w = d[np.ix_(i, i)][~np.eye(len(i), dtype=bool)]
+        assert abs(got[c]["within_median"] - np.median(w)) < 1e-12
+        assert abs(got[c]["between_median"] - np.median(d[np.ix_(i, o)])) < 1e-12
