@@ -808,6 +808,35 @@ def q_within_between_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(within_between(_features(si.blobs(spark, sf_dir))))
 
 
+@register("bayes_gmm")
+def q_bayes_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variational Dirichlet-process mixtures (10 components, priors 1e-3 and 1e-1) scored (H7)."""
+    from quorum.operators import models
+
+    f = _scaled_blobs(spark, sf_dir)
+    fits = {f"bayes_gmm_prior_{p}": (lambda d, p=p: models.bayesian_gaussian_mixture(d, weight_concentration_prior=p))
+            for p in (1e-3, 1e-1)}
+    return round_doubles(models.compare(f, fits))
+
+
+@register("nca_density")
+def q_nca_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C12 + I21: NCA projections (3 and 5 dims) learned on labelled rows, then density clustering."""
+    from quorum.operators.density import DensityModel
+    from quorum.operators.models import score_row
+    from quorum.operators.transforms import NeighborhoodComponents
+
+    f = _scaled_blobs(spark, sf_dir)
+    rows = []
+    for dim in (3, 5):
+        warped = NeighborhoodComponents(n_components=dim).fit(f).transform(f)
+        for mcs in (5, 8):
+            lab = DensityModel(min_cluster_size=mcs, min_samples=3).fit(warped).labels
+            rows.append((dim, mcs, *score_row(f"nca{dim}_mcs{mcs}", lab, warped)[1:]))
+    return round_doubles(spark.createDataFrame(rows, "nca_dim int, mcs int, n_clusters int, noise_frac double, "
+                                                     "ari_labeled double, silhouette double, davies_bouldin double"))
+
+
 @register("rbf_sweep")
 def q_rbf_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11 + F9: kNN-LOO accuracy for gamma in {0.01, 0.1, 1}; first best flagged."""
