@@ -5,6 +5,11 @@ Every operator takes and returns DataFrames.  Rows carry an explicit
 derived features as ``features ARRAY<DOUBLE>``.  Labels are nullable DOUBLE.
 """
 
-from quorum.session import get_spark, checkpoint_dir
+import os
+
+# driver-side linear algebra is tiny (width x width); a threaded BLAS next to the JVM has deadlocked
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+from quorum.session import checkpoint_dir, get_spark  # noqa: E402
 
 __all__ = ["get_spark", "checkpoint_dir"]

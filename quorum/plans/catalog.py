@@ -738,6 +738,19 @@ def q_label_spreading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_spreading(_scaled_blobs(spark, sf_dir))
 
 
+@register("label_spreading_loo")
+def q_label_spreading_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I16 leave-one-out on the standardised blobs: accuracy and ARI over labelled rows."""
+    from quorum.operators.metrics import accuracy, ari_value
+    from quorum.operators.models import label_spreading_loo
+
+    p = label_spreading_loo(_scaled_blobs(spark, sf_dir)).persist()
+    acc = accuracy(p, "predicted", "label").head()
+    out = spark.createDataFrame([(acc["accuracy"], acc["majority_accuracy"], ari_value(p, "predicted", "label"), int(acc["n"]))],
+                                "accuracy double, majority_accuracy double, ari double, n long")
+    return round_doubles(out)
+
+
 @register("isolation_forest")
 def q_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """200 trees of 256 rows on the standardised blobs."""

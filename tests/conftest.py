@@ -1,6 +1,8 @@
 import os
 import sys
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # a threaded LAPACK call deadlocked next to the JVM once
+
 import numpy as np
 import pytest
 
