@@ -594,6 +594,21 @@ def q_score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(res.pipeline.score(si.blobs(spark, sf_dir), with_neighbors=True))
 
 
+@register("score_payloads")
+def q_score_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 + A8 + B8: blobs rows batched 8 per request as JSON-shaped payloads; rejected
+    requests are set aside (anti-join), the rest scored with clipped confidence/novelty."""
+    from quorum.operators.validate import payload_rejects
+    from quorum.plans.train import score_payloads
+
+    res = _trained(spark, sf_dir)
+    b = si.blobs(spark, sf_dir)
+    payloads = (b.select((F.col("row_index") / F.lit(8)).cast("long").alias("request_id"), F.struct("row_index", "sensors").alias("r"))
+                .groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["sensors"]).alias("rows")))
+    ok = payloads.join(payload_rejects(payloads, width=si.N_SENSORS).select("request_id"), "request_id", "left_anti")
+    return round_doubles(score_payloads(res.pipeline, ok))
+
+
 def _run_stream(spark: SparkSession, sf_dir: str, amplified: bool):
     from quorum.streaming.score_stream import embeddings_stream, score_stream
 
