@@ -53,6 +53,7 @@ class TrainConfig:
     seed: int = 42
     max_items: int = 5000
     model_version: str = "0.1.0"
+    concurrent_fits: int = 1  # >1 submits folds / bootstrap refits as concurrent Spark jobs
 
 
 @dataclass
@@ -143,6 +144,19 @@ def fit_pipeline(df: DataFrame, cfg: TrainConfig, *, col: str = "sensors") -> tu
 
 # ---------------------------------------------------------------------- evaluation
 
+def _concurrently(fn, items, workers: int) -> list:
+    """Independent refits (folds, bootstrap runs) submitted as concurrent Spark jobs from
+    driver threads; each fit is itself distributed, the threads only overlap their
+    small jobs so the cluster stays busy.  Results keep the input order."""
+    items = list(items)
+    if workers <= 1 or len(items) <= 1:
+        return [fn(i) for i in items]
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=min(workers, len(items))) as ex:
+        return list(ex.map(fn, items))
+
+
 def grouped_ari(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """E9 per group: ``keys`` + (ari, n); one contingency count and tagged marginals, no joins."""
     k = [F.col(c) for c in keys]
@@ -174,8 +188,7 @@ def cv_evaluate(df: DataFrame, cfg: TrainConfig, *, n_splits: int | None = None,
     spark = df.sparkSession
     k = n_splits or cfg.n_splits
     folds = cut_lineage(labeled_stratified_kfold(df, n_splits=k, seed=cfg.seed))
-    parts = []
-    for f in range(k):
+    def one(f: int) -> tuple[int, float | None, int]:
         train_df, _ = fold_frames(df, folds, f)
         test = df.join(folds.where(F.col("fold") == f).select("row_index"), "row_index", "left_semi")
         pipe, _ = fit_pipeline(train_df, cfg, col=col)
@@ -183,7 +196,9 @@ def cv_evaluate(df: DataFrame, cfg: TrainConfig, *, n_splits: int | None = None,
         coded = pred.withColumn("code", name_to_code(F.col("predicted_label")))
         r = grouped_ari(coded.withColumn("fold", F.lit(f)), ["fold"], "code", "label").collect()
         pipe.labelled_refs.unpersist()
-        parts.append((f, r[0]["ari"] if r else None, int(r[0]["n"]) if r else 0))
+        return (f, r[0]["ari"] if r else None, int(r[0]["n"]) if r else 0)
+
+    parts = _concurrently(one, range(k), cfg.concurrent_fits)
     return spark.createDataFrame(parts, "fold int, ari double, n_test long")
 
 
@@ -218,14 +233,17 @@ def run_labels(feats: DataFrame, cfg: TrainConfig, *, n_runs: int | None = None,
     table; (run, row_index, cluster_id)."""
     from quorum.operators.splits import subsample
 
-    out = None
-    for r in range(n_runs if n_runs is not None else cfg.n_bootstrap):
+    def one(r: int) -> DataFrame:
         sub = subsample(feats, frac=frac or cfg.bootstrap_frac, run=r, seed=cfg.seed)
         m = DensityModel(min_cluster_size=cfg.min_cluster_size, min_samples=cfg.min_samples,
                          cluster_selection_method=cfg.cluster_selection_method, max_items=cfg.max_items,
                          seed=cfg.seed).fit(sub)
-        lab = m.labels.select(F.lit(r).alias("run"), "row_index", "cluster_id")
-        out = lab if out is None else out.unionByName(lab)
+        return m.labels.select(F.lit(r).alias("run"), "row_index", "cluster_id")
+
+    labs = _concurrently(one, range(n_runs if n_runs is not None else cfg.n_bootstrap), cfg.concurrent_fits)
+    out = labs[0]
+    for lab in labs[1:]:
+        out = out.unionByName(lab)
     return out
 
 
