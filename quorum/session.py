@@ -58,3 +58,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quorum`` importable in executor Python workers (once per context).
+
+    Arrow UDFs and grouped maps pickle functions by module reference, so every
+    worker must import this package.  It is zipped on the driver and handed to
+    ``addPyFile``; Spark distributes it to all executors.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_quorum_shipped", False):
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="quorum-pkg-"), "quorum.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._quorum_shipped = True

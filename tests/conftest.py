@@ -16,8 +16,11 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from quorum.session import checkpoint_dir, get_spark
 
+    from quorum.session import ship_package
+
     s = get_spark("local[4]")
     checkpoint_dir(s)
+    ship_package(s)
     yield s
 
 
