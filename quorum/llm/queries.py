@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quorum.llm import exact_dedup, minhash
+from quorum.llm import exact_dedup, minhash, packing, pii, quality
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op6_packing": packing.op6_packing,
+    "op7_quality": quality.op7_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_minhash": minhash.op10_minhash,
 }
