@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quorum.llm import exact_dedup, minhash, packing, pii, quality
+from quorum.llm import bpe, exact_dedup, id_files, minhash, packing, pii, quality, sharding
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_sharding": sharding.op2_sharding,
+    "op4_bpe": bpe.op4_bpe,
+    "op5_id_files": id_files.op5_id_files,
     "op6_packing": packing.op6_packing,
     "op7_quality": quality.op7_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
