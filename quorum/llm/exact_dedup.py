@@ -6,13 +6,16 @@ same way, until one name is left for each document.  Two documents with the same
 rounds and the same last name are equal texts: equality of names is equality of content at every
 level, so no hash has to be trusted.
 
-The sort is one range exchange on (block, document, position).  The position in the key splits a
-block that a third of all rows share over many partitions; the ranks of the partitions are joined
-through one small row each (number of distinct keys, first key, last key).
+The sort order is (hash of the block, block), and the exchange is by ranges of (hash, document,
+position): sampling its bounds moves three numbers a row, not texts, and a block that a third of all
+rows share is split over many partitions.  The ranks of the partitions are joined through one small
+row each (number of distinct keys, first key, last key).  If two blocks with one hash meet at a
+border between partitions, the sort is done again with another hash.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,16 +76,22 @@ def name_sorted(df: DataFrame, keys: list[str], carry: list[str], ties: list[str
     schema = T.StructType(
         [T.StructField(c, fields[c].dataType) for c in carry]
         + [T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType()), T.StructField("distinct", T.LongType())]
-        + [T.StructField(f"{p}_{k}", fields[k].dataType) for p in ("first", "last") for k in keys])
-    order = [*keys, *ties]
-    ranked = df.select(*dict.fromkeys([*keys, *carry])).repartitionByRange(*order).sortWithinPartitions(*order)
-    ranked = stage_table(ranked.mapInArrow(_ranked(keys, carry), schema), "ranked")
-    bases, base, before = [], 0, None
-    for row in ranked.where("distinct is not null").orderBy("part").collect():
-        first, last = (tuple(row[f"{p}_{k}"] for k in keys) for p in ("first", "last"))
-        base -= before == first  # the key goes on from the partition before
-        bases.append((row["part"], base))
-        base, before = base + row["distinct"], last
+        + [T.StructField(f"{p}_{k}", T.LongType() if k == "hash" else fields[k].dataType) for p in ("first", "last") for k in ["hash", *keys]])
+    needed = df.select(*dict.fromkeys([*keys, *carry]))
+    for seed in itertools.count():
+        hashed = needed.withColumn("hash", F.xxhash64(F.lit(seed), *keys)).repartitionByRange("hash", *ties)
+        ordered = hashed.sortWithinPartitions("hash", *keys, *ties)
+        ranked = stage_table(ordered.mapInArrow(_ranked(["hash", *keys], carry), schema), "ranked")
+        bases, base, before = [], 0, (None,)
+        for row in ranked.where("distinct is not null").orderBy("part").collect():
+            first, last = (tuple(row[f"{p}_{k}"] for k in ["hash", *keys]) for p in ("first", "last"))
+            if before[0] == first[0] and before != first:
+                break
+            base -= before == first  # the key goes on from the partition before
+            bases.append((row["part"], base))
+            base, before = base + row["distinct"], last
+        else:
+            break
     offsets = df.sparkSession.createDataFrame(bases, "part int, base long")
     named = ranked.where("distinct is null").join(F.broadcast(offsets), "part")
     return named.select(*carry, (F.col("base") + F.col("rank")).alias("name"))
