@@ -13,13 +13,19 @@ import re
 import numpy as np
 
 #: distinct chunks that a worker remembers; beyond that it starts anew
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 _UNSAFE = re.compile(r"[\x1c-\x1f]")  # str.split() cuts at these, the tokenizer doesn't
 _caches: dict[int, ChunkCache] = {}
 
 
+#: a mark at the end of a word is a token of its own
+_TAILS = ".,:;!?"
+#: letters below this, but one, have one small letter each and are never composed with others
+_SIMPLE_END, _NOT_SIMPLE = "\u0180", "\u0130"
+
+
 class _Index(dict):
     """Chunk -> place; an unknown chunk gets the next place and is noted."""
 
@@ -33,6 +39,12 @@ class _Index(dict):
         return place
 
 
+def _gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs [begin, begin + length) of ``flat`` one after the other, and where each begins in the result."""
+    upto = np.concatenate([[0], np.cumsum(length)])
+    return flat[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])], upto
+
+
 class ChunkCache:
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,15 +53,20 @@ class ChunkCache:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        alone = {t: self.tokenizer.encode(t, add_special_tokens=False).ids for t in _TAILS}
+        self.tails = {t: ids[0] for t, ids in alone.items() if len(ids) == 1}
+        self.forgotten = 0
         self._forget()
 
     def _forget(self) -> None:
-        self.index, self.flat, self.ends = _Index(), np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self) -> None:
-        """Encode the new chunks, joined by spaces; a token belongs to the chunk in which it begins."""
-        new, self.index.new = self.index.new, []
-        ids, counts = [self.flat], []
+        self.forgotten += 1
+        self.index, self.chunks, self.flat, self.ends = _Index(), [], np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.words, self.word_flat, self.word_ends = _Index(), np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn_words(self) -> None:
+        """Encode the new words, joined by spaces; a token belongs to the word in which it begins."""
+        new, self.words.new = self.words.new, []
+        ids, counts = [self.word_flat], [np.empty(0, np.int64)]
         for a in range(0, len(new), 2000):
             some = new[a : a + 2000]
             encoding = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -57,26 +74,58 @@ class ChunkCache:
             at = np.array([s for s, _ in encoding.offsets], np.int64)
             counts.append(np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(some)))
             ids.append(np.array(encoding.ids, np.uint32))
-        self.flat = np.concatenate(ids)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
+        self.word_flat = np.concatenate(ids)
+        self.word_ends = np.concatenate([self.word_ends, self.word_ends[-1] + np.cumsum(np.concatenate(counts))])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in one array, and where each text's ids begin (one more entry than texts)."""
+    def _learn(self) -> None:
+        """Ids of the new chunks: plain words in small letters are encoded once for all their spellings."""
+        new, self.index.new = self.index.new, []
+        self.chunks += new
+        places, tails = [], []
+        for chunk in new:
+            tail = self.tails.get(chunk[-1], -1) if len(chunk) > 1 else -1
+            word = chunk[:-1] if tail >= 0 else chunk
+            if word.isalpha() and max(word) < _SIMPLE_END and _NOT_SIMPLE not in word:
+                word = word.lower()
+            else:
+                word, tail = chunk, -1
+            places.append(self.words[word])
+            tails.append(tail)
+        self._learn_words()
+        place, tail = np.array(places, np.int64), np.array(tails, np.int64)
+        begin = self.word_ends[place]
+        length = self.word_ends[place + 1] - begin
+        more = length + (tail >= 0)
+        ids = np.empty(more.sum(), np.uint32)
+        ends = np.cumsum(more)
+        mark = np.zeros(len(ids), bool)
+        mark[ends[tail >= 0] - 1] = True
+        ids[mark] = tail[tail >= 0]
+        ids[~mark] = _gather(self.word_flat, begin, length)[0]
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
+
+    def places(self, texts: list[str]) -> list[np.ndarray]:
+        """The place in ``chunks`` of each chunk of each text."""
         if len(self.index) > REMEMBERED:
             self._forget()
-        get, places, sizes = self.index.__getitem__, [], []
+        get, places = self.index.__getitem__, []
         for text in texts:
             chunks = _CHUNK.findall(text) if _UNSAFE.search(text) else text.split()
             places.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
         if self.index.new:
             self._learn()
+        return places
+
+    def gather(self, places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in one array, and where each text's ids begin (one more entry than texts)."""
         place = np.concatenate(places) if places else np.empty(0, np.int64)
         begin = self.ends[place]
-        length = self.ends[place + 1] - begin
-        upto = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])]
-        sizes = np.cumsum([0, *(len(p) for p in places)])
-        return ids, upto[sizes]
+        ids, upto = _gather(self.flat, begin, self.ends[place + 1] - begin)
+        return ids, upto[np.cumsum([0, *map(len, places)])]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.gather(self.places(texts))
 
 
 def chunk_cache(definition: str) -> ChunkCache:
