@@ -2,9 +2,9 @@
 
 A document's histograms of character classes and of common words are compared to those of four
 languages by Jensen-Shannon distance (base 2).  A language's reference is the mean of the histograms
-of its documents that pass the base rules, in parts per million so that the sum doesn't depend on
-the order of rows.  A document is judged by the language nearest to it; short documents are judged
-by the base rules alone.
+of its documents of ``COMPARED_WORDS`` words or more, in parts per million so that the sum doesn't depend on
+the order of rows.  A document is judged by the language of most of its common words; short documents
+are judged by the base rules alone.
 
 The references take one pass that returns a row per language; the verdict takes a second pass and
 no exchange at all.
@@ -40,19 +40,23 @@ def _left(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
-def _words(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    rows = docs.select(*keep, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bare = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
-    return rows.withColumn("words", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WHITE)))
+def _fixed(rows: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
+    """The columns ``keep`` and the new ones, which are computed once: no later step is merged into an explode."""
+    return rows.select(*keep, F.explode(F.array(F.struct(*made))).alias("_made")).select(*keep, "_made.*")
 
 
-def _histograms(rows: DataFrame) -> DataFrame:
-    """Add n_words, word_chars, ``common`` (the frequent words found) and the counts of character classes."""
+def _histograms(docs: DataFrame, id_col: str, text_col: str, keep: list[Column]) -> DataFrame:
+    """``keep``, doc_id, text, words, n_words, word_chars, ``common`` (the frequent words found) and the counts of character classes."""
+    rows = docs.select(*keep, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    bare = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WHITE))
+    rows = _fixed(rows, rows.columns, [words.alias("words")])
     every = sorted({w for ws in COMMON.values() for w in ws})
-    return rows.select(
-        "*", F.size("words").cast("long").alias("n_words"), _left(F.col("text"), WHITE).alias("word_chars"),
+    small = F.transform(F.filter("words", lambda w: F.length(w) <= max(map(len, every))), F.lower)
+    return _fixed(rows, rows.columns, [
+        F.size("words").cast("long").alias("n_words"), _left(F.col("text"), WHITE).alias("word_chars"),
         F.length("text").cast("long").alias("n_chars"), *(_left(F.col("text"), p).alias(f"c_{c}") for c, p in OTHERS.items()),
-        F.filter(F.transform("words", F.lower), lambda w: w.isin(every)).alias("common"))
+        F.filter(small, lambda w: w.isin(every)).alias("common")])
 
 
 def _character_counts() -> Column:
@@ -111,8 +115,8 @@ def _distance(counts: Column, reference: list[float]) -> Column:
 
 def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
     """Per language the mean shares of character classes and of its common words; at most one row for each language in COMMON."""
-    rows = _words(docs.where(F.col(lang_col).isin(list(COMMON))), id_col, text_col, [F.col(lang_col).alias("lang")])
-    rows = _histograms(rows.where(F.size("words") >= COMPARED_WORDS))
+    known = docs.where(F.col(lang_col).isin(list(COMMON)))
+    rows = _histograms(known, id_col, text_col, [F.col(lang_col).alias("lang")]).where(F.col("n_words") >= COMPARED_WORDS)
     mine = F.when(F.lit(False), F.array(F.lit(0).cast("long")))
     for language in COMMON:
         mine = mine.when(F.col("lang") == language, _word_counts(language))
@@ -120,8 +124,7 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def parts(counts: Column, n: Column) -> Column:
         return F.transform(counts, lambda x: F.floor(x * _PARTS / n))
 
-    rows = rows.select("lang", "words", parts(_character_counts(), F.col("n_chars")).alias("chars"), parts(mine, F.col("n_words")).alias("own"), "n_words")
-    rows = rows.where(100 * _repeated(F.col("words")) <= REPEATED_PERCENT * F.col("n_words"))
+    rows = _fixed(rows, ["lang"], [parts(_character_counts(), F.col("n_chars")).alias("chars"), parts(mine, F.col("n_words")).alias("own")])
     sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(OTHERS) + 2)]
     sums += [F.sum(F.col("own")[i]).alias(f"w{i}") for i in range(len(COMMON["en"]) + 1)]
     found = {}
@@ -142,28 +145,32 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     keep = keep or []
     known = references(docs, id_col, text_col, lang_col)
-    rows = _histograms(_words(docs, id_col, text_col, [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]))
+    names = [f"kept_{i}" for i in range(len(keep))]
+    rows = _histograms(docs, id_col, text_col, [F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.withColumn("lines", lines).select(
-        *(f"kept_{i}" for i in range(len(keep))), "doc_id", "n_words", "word_chars", _left(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _repeated(F.col("words")).alias("n_repeat_words"),
-        *(_judged(chars, words, language) for language, (chars, words) in sorted(known.items())))
+    # the language of most of its common words; its reference judges the document
+    most = F.array_max(F.array(*(F.struct(F.size(F.filter("common", _among(x))).alias("n"), F.lit(x).alias("language")) for x in sorted(known)))) if known else None
+    rows = _fixed(rows, rows.columns, [lines.alias("lines"), _character_counts().alias("chars"), (most["language"] if known else F.lit("")).alias("language")])
+    own, far_chars, far_words = (F.when(F.lit(False), x) for x in (F.array(F.lit(0).cast("long")), F.lit(0.0), F.lit(0.0)))
+    for x, (chars, words) in sorted(known.items()):
+        here = F.col("language") == x
+        own = own.when(here, _word_counts(x))
+        far_chars, far_words = far_chars.when(here, _distance(F.col("chars"), chars)), far_words.when(here, _distance(F.col("own"), words))
+    rows = _fixed(rows, rows.columns, [F.when(F.col("n_words") >= COMPARED_WORDS, own).alias("own")])
+    rows = _fixed(rows, [*names, "doc_id", "n_words", "word_chars"], [
+        _left(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        _repeated(F.col("words")).alias("n_repeat_words"), F.when(F.col("own").isNotNull(), F.struct(far_chars.alias("chars"), far_words.alias("words"))).alias("nearest")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    if known:
-        nearest = F.array_min(F.array(*(F.col(f"near_{x}") for x in sorted(known))))
-        rows = rows.withColumn("nearest", F.when(F.col("n_words") >= COMPARED_WORDS, nearest))
-    else:
-        rows = rows.withColumn("nearest", F.lit(None).cast("struct<total:double,chars:double,words:double>"))
     far = (F.col("nearest.chars") > CHARACTER_LIMIT) | (F.col("nearest.words") > WORD_LIMIT)
+    rows = _fixed(rows, [*names, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nearest"], [
+        failed.alias("base_failed"), (~failed & ~F.coalesce(far, F.lit(False))).alias("kept")])
     return rows.select(
-        *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"),
-        F.round("nearest.chars", 4).alias("character_distance"), F.round("nearest.words", 4).alias("word_distance"))
+        *(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", F.round("nearest.chars", 4).alias("character_distance"), F.round("nearest.words", 4).alias("word_distance"))
 
 
-def _judged(chars: list[float], words: list[float], language: str) -> Column:
-    found = F.array(F.struct(_distance(_character_counts(), chars).alias("chars"), _distance(_word_counts(language), words).alias("words")))
-    return F.transform(found, lambda d: F.struct((d["chars"] + d["words"]).alias("total"), d["chars"].alias("chars"), d["words"].alias("words")))[0].alias(f"near_{language}")
+def _among(language: str):
+    return lambda word: word.isin(COMMON[language])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
