@@ -148,18 +148,31 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [f"kept_{i}" for i in range(len(keep))]
     rows = _histograms(docs, id_col, text_col, [F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    doubled = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
     # the language of most of its common words; its reference judges the document
-    most = F.array_max(F.array(*(F.struct(F.size(F.filter("common", _among(x))).alias("n"), F.lit(x).alias("language")) for x in sorted(known)))) if known else None
-    rows = _fixed(rows, rows.columns, [lines.alias("lines"), _character_counts().alias("chars"), (most["language"] if known else F.lit("")).alias("language")])
-    own, far_chars, far_words = (F.when(F.lit(False), x) for x in (F.array(F.lit(0).cast("long")), F.lit(0.0), F.lit(0.0)))
+    own, language = F.lit(None).cast("array<bigint>"), F.lit(None).cast("string")
+    if known:
+        most = F.array_max(F.array(*(F.struct(F.size(F.filter("common", _among(x))).alias("n"), F.lit(x).alias("language")) for x in sorted(known))))
+        language = F.when(F.col("n_words") >= COMPARED_WORDS, most["language"])
+
+    def counts(found: Column) -> Column:
+        chosen = own
+        for x in sorted(known):
+            chosen = F.when(found == x, _word_counts(x)).otherwise(chosen)
+        return F.struct(found.alias("language"), chosen.alias("own"))
+
+    rows = _fixed(rows, [*names, "doc_id", "n_words", "word_chars"], [
+        _left(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"), doubled.cast("long").alias("n_dup_lines"),
+        _repeated(F.col("words")).alias("n_repeat_words"), _character_counts().alias("chars"),
+        F.transform(F.array(language), counts)[0].alias("by")])
+    rows = rows.select("*", "by.language", "by.own")
+    far_chars, far_words = F.lit(None).cast("double"), F.lit(None).cast("double")
     for x, (chars, words) in sorted(known.items()):
         here = F.col("language") == x
-        own = own.when(here, _word_counts(x))
-        far_chars, far_words = far_chars.when(here, _distance(F.col("chars"), chars)), far_words.when(here, _distance(F.col("own"), words))
-    rows = _fixed(rows, rows.columns, [F.when(F.col("n_words") >= COMPARED_WORDS, own).alias("own")])
-    rows = _fixed(rows, [*names, "doc_id", "n_words", "word_chars"], [
-        _left(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeated(F.col("words")).alias("n_repeat_words"), F.when(F.col("own").isNotNull(), F.struct(far_chars.alias("chars"), far_words.alias("words"))).alias("nearest")])
+        far_chars = F.when(here, _distance(F.col("chars"), chars)).otherwise(far_chars)
+        far_words = F.when(here, _distance(F.col("own"), words)).otherwise(far_words)
+    rows = _fixed(rows, [*names, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], [
+        F.struct(far_chars.alias("chars"), far_words.alias("words")).alias("nearest")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     far = (F.col("nearest.chars") > CHARACTER_LIMIT) | (F.col("nearest.words") > WORD_LIMIT)
     rows = _fixed(rows, [*names, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nearest"], [
