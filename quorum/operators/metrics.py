@@ -19,7 +19,7 @@ DEFAULT_MAX_BROADCAST_POINTS = 100_000
 
 
 def _c2(c):
-    return c * (c - 1) / 2.0
+    return c.cast("double") * (c.cast("double") - 1) / 2.0
 
 
 def ari(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -41,7 +41,7 @@ def ari(df: DataFrame, a: str, b: str) -> DataFrame:
         F.sum(F.when(F.col("t") == "b", _c2(F.col("n")))).alias("sb"),
     )
     total = _c2(F.col("n"))
-    expected = F.col("sa") * F.col("sb") / total
+    expected = F.when(total > 0, F.col("sa") * F.col("sb") / total).otherwise(0.0)  # one row: no pairs
     mx = (F.col("sa") + F.col("sb")) / 2.0
     val = (F.when(F.col("n").isNull() | (F.col("n") == 0), F.lit(None).cast("double"))
            .when((mx - expected) == 0, F.lit(1.0))
@@ -106,7 +106,8 @@ def _silhouette_rows_broadcast(pts: DataFrame, vec: str, cluster: str) -> DataFr
                 mean_other = sums / sz[None, :]
                 mean_other[np.arange(len(qq)), o] = np.inf
                 b = mean_other.min(axis=1)
-                sil = np.where(n_own > 1, (b - a) / np.maximum(a, b), 0.0)
+                top = np.maximum(a, b)
+                sil = np.where((n_own > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
                 out[s:s + 256] = sil
             yield pd.DataFrame({"row_index": p["row_index"].to_numpy(np.int64), "s": out})
 
@@ -148,7 +149,7 @@ def _silhouette_rows_blocked(pts: DataFrame, vec: str, cluster: str, block_rows:
         F.min(F.when(F.col("cl_other") != F.col("cl"), F.col("dsum") / F.col("cnt"))).alias("b"),
     )
     a = F.col("own_sum") / (F.col("n_own") - 1)
-    s = F.when(F.col("n_own") > 1, (F.col("b") - a) / F.greatest(a, F.col("b"))).otherwise(0.0)
+    s = F.when((F.col("n_own") > 1) & (F.greatest(F.col("own_sum"), F.col("b")) > 0), (F.col("b") - a) / F.greatest(a, F.col("b"))).otherwise(0.0)
     return per.select("row_index", s.alias("s"))
 
 

@@ -161,7 +161,7 @@ def grouped_ari(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """E9 per group: ``keys`` + (ari, n); one contingency count and tagged marginals, no joins."""
     k = [F.col(c) for c in keys]
     cont = df.groupBy(*k, F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count(F.lit(1)).alias("n"))
-    c2 = lambda c: c * (c - 1) / 2.0
+    c2 = lambda c: c.cast("double") * (c.cast("double") - 1) / 2.0
     tagged = (cont.select(*keys, F.lit("c").alias("t"), "n")
               .unionByName(cont.groupBy(*keys, "__a").agg(F.sum("n").alias("n")).select(*keys, F.lit("a").alias("t"), "n"))
               .unionByName(cont.groupBy(*keys, "__b").agg(F.sum("n").alias("n")).select(*keys, F.lit("b").alias("t"), "n")))
@@ -171,7 +171,7 @@ def grouped_ari(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
         F.sum(F.when(F.col("t") == "a", c2(F.col("n")))).alias("sa"),
         F.sum(F.when(F.col("t") == "b", c2(F.col("n")))).alias("sb"))
     total = c2(F.col("n"))
-    exp = F.col("sa") * F.col("sb") / total
+    exp = F.when(total > 0, F.col("sa") * F.col("sb") / total).otherwise(0.0)  # one row: no pairs
     mx = (F.col("sa") + F.col("sb")) / 2.0
     val = F.when((mx - exp) == 0, F.lit(1.0)).otherwise((F.col("sc") - exp) / (mx - exp))
     return j.select(*keys, val.alias("ari"), F.col("n").cast("long").alias("n"))
