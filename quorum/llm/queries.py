@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op8_html": html_extract.op8_html,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_minhash": minhash.ORACLE,
 }
