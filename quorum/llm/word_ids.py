@@ -7,6 +7,7 @@ normaliser and the pre-tokenizer both treat white space as a border, as ``word_b
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -26,6 +27,11 @@ _TAILS = ".,:;!?"
 _SIMPLE_END, _NOT_SIMPLE = "\u0180", "\u0130"
 
 
+def _plain(word: str) -> bool:
+    """Letters only, and such that its small letters are one token run: encoded once for all spellings."""
+    return word.isalpha() and (word.isascii() or (max(word) < _SIMPLE_END and _NOT_SIMPLE not in word))
+
+
 class _Index(dict):
     """Chunk -> place; an unknown chunk gets the next place and is noted."""
 
@@ -55,27 +61,51 @@ class ChunkCache:
         self.tokenizer.no_padding()
         alone = {t: self.tokenizer.encode(t, add_special_tokens=False).ids for t in _TAILS}
         self.tails = {t: ids[0] for t, ids in alone.items() if len(ids) == 1}
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: which ids end a word; none if the tokenizer doesn't mark the end
+        self.closes = np.zeros(1 + max(vocab.values(), default=0), bool)
+        self.closes[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
         self.forgotten = 0
         self._forget()
 
     def _forget(self) -> None:
         self.forgotten += 1
         self.index, self.chunks, self.flat, self.ends = _Index(), [], np.empty(0, np.uint32), np.zeros(1, np.int64)
-        self.words, self.word_flat, self.word_ends = _Index(), np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.words, self.word_flat = _Index(), np.empty(0, np.uint32)
+        self.word_begin, self.word_length = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _encoded(self, some: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each word) of words joined by spaces."""
+        joined = " ".join(some)
+        if plain:  # a plain word has one closing id; this way the library needn't track offsets
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            closing = np.flatnonzero(self.closes[ids])
+            if len(closing) == len(some) and closing[-1] == len(ids) - 1:
+                return ids, np.diff(closing, prepend=-1)
+        encoding = self.tokenizer.encode(joined, add_special_tokens=False)
+        begins = np.cumsum([0, *(len(c) + 1 for c in some)])[:-1]
+        at = np.array([s for s, _ in encoding.offsets], np.int64)
+        return np.array(encoding.ids, np.uint32), np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(some))
 
     def _learn_words(self) -> None:
         """Encode the new words, joined by spaces; a token belongs to the word in which it begins."""
         new, self.words.new = self.words.new, []
-        ids, counts = [self.word_flat], [np.empty(0, np.int64)]
-        for a in range(0, len(new), 2000):
-            some = new[a : a + 2000]
-            encoding = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            begins = np.cumsum([0, *(len(c) + 1 for c in some)])[:-1]
-            at = np.array([s for s, _ in encoding.offsets], np.int64)
-            counts.append(np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(some)))
-            ids.append(np.array(encoding.ids, np.uint32))
+        simple = np.fromiter(map(_plain, new), bool, len(new))
+        ids, length, total = [self.word_flat], np.zeros(len(new), np.int64), len(self.word_flat)
+        begin = np.zeros(len(new), np.int64)
+        for plain in (True, False):
+            places = np.flatnonzero(simple == plain)
+            for a in range(0, len(places), 2000):
+                own = places[a : a + 2000]
+                found, counts = self._encoded([new[i] for i in own.tolist()], plain)
+                ids.append(found)
+                length[own] = counts
+                begin[own] = total + np.cumsum(counts) - counts
+                total += len(found)
         self.word_flat = np.concatenate(ids)
-        self.word_ends = np.concatenate([self.word_ends, self.word_ends[-1] + np.cumsum(np.concatenate(counts))])
+        self.word_begin = np.concatenate([self.word_begin, begin])
+        self.word_length = np.concatenate([self.word_length, length])
 
     def _learn(self) -> None:
         """Ids of the new chunks: plain words in small letters are encoded once for all their spellings."""
@@ -85,7 +115,7 @@ class ChunkCache:
         for chunk in new:
             tail = self.tails.get(chunk[-1], -1) if len(chunk) > 1 else -1
             word = chunk[:-1] if tail >= 0 else chunk
-            if word.isalpha() and max(word) < _SIMPLE_END and _NOT_SIMPLE not in word:
+            if _plain(word):
                 word = word.lower()
             else:
                 word, tail = chunk, -1
@@ -93,8 +123,7 @@ class ChunkCache:
             tails.append(tail)
         self._learn_words()
         place, tail = np.array(places, np.int64), np.array(tails, np.int64)
-        begin = self.word_ends[place]
-        length = self.word_ends[place + 1] - begin
+        begin, length = self.word_begin[place], self.word_length[place]
         more = length + (tail >= 0)
         ids = np.empty(more.sum(), np.uint32)
         ends = np.cumsum(more)
