@@ -17,7 +17,8 @@ import numpy as np
 REMEMBERED = 700_000
 
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-_UNSAFE = re.compile(r"[\x1c-\x1f]")  # str.split() cuts at these, the tokenizer doesn't
+#: str.split() cuts at these too
+_UNSAFE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _caches: dict[int, ChunkCache] = {}
 
 
@@ -111,15 +112,19 @@ class ChunkCache:
         """Ids of the new chunks: plain words in small letters are encoded once for all their spellings."""
         new, self.index.new = self.index.new, []
         self.chunks += new
+        get_tail, get_word = self.tails.get, self.words.__getitem__
         places, tails = [], []
         for chunk in new:
-            tail = self.tails.get(chunk[-1], -1) if len(chunk) > 1 else -1
-            word = chunk[:-1] if tail >= 0 else chunk
+            if chunk.isalpha():
+                word, tail = chunk, -1
+            else:
+                tail = get_tail(chunk[-1], -1)
+                word = chunk[:-1] if tail >= 0 else chunk
             if _plain(word):
                 word = word.lower()
             else:
                 word, tail = chunk, -1
-            places.append(self.words[word])
+            places.append(get_word(word))
             tails.append(tail)
         self._learn_words()
         place, tail = np.array(places, np.int64), np.array(tails, np.int64)

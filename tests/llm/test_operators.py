@@ -28,7 +28,8 @@ def rows():
     texts = [*base, base[0], base[0].replace(" ", "\n\t"), base[1] + " end", None, "", "  \n ", "one", "one two", "x" * 6000, (base[2] + "\n") * 3,
              "mail a.b@c.de or +1 (234) 555-7788, 10.0.0.1 999.1.1.1 or 4111 1111 1111 1111 é@x.y", " ".join([base[3]] * 40), "''s 'll naïve 日本 <|endoftext|> \x1c\x85 z"]
     out = [(i, t, "en", "src0", "clash") for i, t in enumerate(texts)]
-    return [*out, (0, base[0], "en", "src0", "clash"), (None, base[2], None, None, None), (40, prose(rng, 90), "xx", None, None)]
+    return [*out, (0, base[0], "en", "src0", "clash"), (None, base[2], None, None, None), (40, prose(rng, 90), "xx", None, None),
+            (41, "no\xa0break thin\u2009space x\x85y ideo\u3000graphic Dr.\u202fX", None, None, None)]
 
 
 @pytest.fixture(scope="module")
