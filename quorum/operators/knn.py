@@ -38,7 +38,8 @@ from pyspark.sql import types as T
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 DEFAULT_BLOCK_ROWS = 4096
-_CHUNK = 2048
+#: bytes of the temporary arrays of one numpy block
+_BLOCK_BYTES = 32 << 20
 
 
 def _mat(s: pd.Series) -> np.ndarray:
@@ -48,45 +49,65 @@ def _mat(s: pd.Series) -> np.ndarray:
 
 
 def _exact_dist(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    diff = q[:, None, :] - r[None, :, :]
-    return np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    """All distances by differences; the differences of at most ``_BLOCK_BYTES`` exist at a time."""
+    out = np.empty((len(q), len(r)))
+    width = max(1, q.shape[1] if q.ndim > 1 else 1)
+    cols = max(1, min(len(r), _BLOCK_BYTES // (8 * width)))
+    rows = max(1, _BLOCK_BYTES // (8 * width * cols))
+    for i in range(0, len(q), rows):
+        for j in range(0, len(r), cols):
+            diff = q[i:i + rows, None, :] - r[None, j:j + cols, :]
+            out[i:i + rows, j:j + cols] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    return out
+
+
+def _pair_dist(q: np.ndarray, r: np.ndarray, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (qi, ri) by differences, in bounded runs of pairs."""
+    out = np.empty(len(qi))
+    step = max(1, _BLOCK_BYTES // (8 * max(1, q.shape[1])))
+    for s in range(0, len(qi), step):
+        e = s + step
+        out[s:e] = np.sqrt(((r[ri[s:e]] - q[qi[s:e]]) ** 2).sum(axis=1))
+    return out
 
 
 def topk_block(qv: np.ndarray, qids: np.ndarray, rv: np.ndarray, rids: np.ndarray, k: int,
                exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top-k (distance, ref id) per query of one bounded block.
+    """Top-k (distance, ref id) per query of one block, exact.
 
-    Candidates come from the fast |q|^2 + |r|^2 - 2 q.r form; the kept ones are
-    re-measured exactly and ordered by (distance, ref id).
+    The fast form |q|^2 + |r|^2 - 2 q.r, on data moved to the references' mean, only rules
+    references out: every reference whose fast value lies within the form's rounding error of the
+    k-th smallest stays, however many there are (equal points all stay).  What stays is measured by
+    differences and ordered by (distance, ref id), so ties never depend on blocks or batches.
     Returns flat arrays (query position, ref position, distance).
     """
+    none = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     nq, nr = qv.shape[0], rv.shape[0]
     if nq == 0 or nr == 0 or k <= 0:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    rn = np.einsum("ij,ij->i", rv, rv)
-    out_q, out_r, out_d = [], [], []
-    extra = 1 if exclude_self else 0
-    m = min(nr, k + extra + 8)
-    for s in range(0, nq, _CHUNK):
-        q = qv[s:s + _CHUNK]
-        d2 = np.einsum("ij,ij->i", q, q)[:, None] + rn[None, :] - 2.0 * (q @ rv.T)
-        if m < nr:
-            cand = np.argpartition(d2, m - 1, axis=1)[:, :m]
-        else:
-            cand = np.broadcast_to(np.arange(nr), (q.shape[0], nr))
-        for row in range(q.shape[0]):
-            c = cand[row]
-            dist = np.sqrt(((rv[c] - q[row]) ** 2).sum(axis=1))
-            ids = rids[c]
-            if exclude_self:
-                keep = ids != qids[s + row]
-                c, dist, ids = c[keep], dist[keep], ids[keep]
-            # the fast form may mis-order near ties around the cut: widen when needed
-            order = np.lexsort((ids, dist))[:k]
-            out_q.append(np.full(len(order), s + row))
-            out_r.append(c[order])
-            out_d.append(dist[order])
-    return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_d)
+        return none
+    centre = rv.mean(axis=0)
+    rc = rv - centre
+    rn = np.einsum("ij,ij->i", rc, rc)
+    widest = np.sqrt(rn.max())
+    error = 8 * (rv.shape[1] + 8) * np.finfo(np.float64).eps
+    found = []
+    rows = max(1, _BLOCK_BYTES // (8 * nr))
+    for s in range(0, nq, rows):
+        qc = qv[s:s + rows] - centre
+        qn = np.einsum("ij,ij->i", qc, qc)
+        d2 = qn[:, None] + rn[None, :] - 2.0 * (qc @ rc.T)
+        if exclude_self:
+            d2[rids[None, :] == qids[s:s + rows, None]] = np.inf
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if k < nr else np.full(len(qc), np.inf)
+        limit = kth + error * (np.sqrt(qn) + widest) ** 2
+        qi, ri = np.nonzero((d2 <= limit[:, None]) & (d2 < np.inf))
+        dist = _pair_dist(qv, rv, qi + s, ri)
+        order = np.lexsort((rids[ri], dist, qi))
+        qi, ri, dist = qi[order], ri[order], dist[order]
+        first = np.searchsorted(qi, np.arange(len(qc)))
+        keep = np.arange(len(qi)) - first[qi] < k
+        found.append((qi[keep] + s, ri[keep], dist[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else none
 
 
 def _ref_table(refs: DataFrame, rid: str, rvec: str, payload: Sequence[str]) -> DataFrame:

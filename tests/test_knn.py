@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quorum.operators.knn import knn, radius_neighbors
+from quorum.operators.knn import knn, radius_neighbors, topk_block
 from quorum.sources import stand_ins as si
 
 from conftest import SF_SMALL
@@ -44,3 +44,28 @@ def test_radius_counts(spark, strategy):
     d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
     want = dict(zip(ids, (d <= eps).sum(axis=1)))
     assert {int(r.row_index): int(r.n_within) for r in got.itertuples()} == {int(k): int(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_block_keeps_ties_and_far_from_origin(exclude_self):
+    rng = np.random.default_rng(5)
+    equal = np.ones((40, 3))
+    far = 1e6 + 1e-3 * rng.standard_normal((300, 4))
+    mixed = np.vstack([equal[:, :3], rng.standard_normal((60, 3)) * 1e-9 + 1, np.full((1, 3), 1e5)])
+    for x in (equal, far, mixed):
+        ids = rng.permutation(len(x)) * 3
+        for k in (1, 3, len(x) - 1, len(x) + 5):
+            qi, ri, d = topk_block(x, ids, x, ids, k, exclude_self)
+            want = _brute(x, ids, x, ids, k, exclude_self)
+            got = {int(i): [] for i in ids}
+            for q, r, e in zip(qi, ri, d):
+                got[int(ids[q])].append((int(ids[r]), float(e)))
+            assert got == want
+
+
+def test_equal_points_give_the_smallest_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_index long, features array<double>").repartition(4)
+    for strategy in ("broadcast", "pivot"):
+        got = knn(df, df, 3, strategy=strategy, block_rows=7, n_pivots=3).where("row_index = 11").orderBy("rank").collect()
+        assert [r.nbr_index for r in got] == [0, 1, 2]
