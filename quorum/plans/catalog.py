@@ -103,7 +103,7 @@ def _validation_sql() -> str:
 
 @register("validation_failures", _validation_sql())
 def q_validation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = validation_failures(si.amplified_wide(spark, sf_dir))
+    f = validation_failures(si.amplified_wide(spark, sf_dir), n_sensors=si.N_SENSORS)
     return f.select("row_index", "column", "check", r6(F.col("failure_case").try_cast("double")).alias("failure_value"))
 
 
@@ -182,7 +182,7 @@ def _payload_sql() -> str:
              CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) > 1024 THEN 'too_wide'
                   WHEN bool_or(isnan(x) OR isinf(x)) THEN 'non_finite'
                   WHEN bool_or(NOT (x BETWEEN -1.05 AND 1.05)) THEN 'out_of_band'
-                  WHEN count(*) <> 20 THEN 'wrong_width' END AS reason
+                  WHEN count(*) <> {si.N_SENSORS} THEN 'wrong_width' END AS reason
            FROM e GROUP BY request_id, pos)
     SELECT request_id, arg_min(reason, pos) AS reason, CAST(min(pos) AS BIGINT) AS bad_row
     FROM rr WHERE reason IS NOT NULL GROUP BY request_id"""

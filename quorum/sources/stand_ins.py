@@ -3,7 +3,7 @@
 There is no sensor CSV among the test tables, so two views are derived from
 ``embeddings`` (vec_id contiguous, 64 float32 values, label 0-9):
 
-* ``readings`` — the first 20 values as sensors, sparse labels (classes 1-3
+* ``readings`` — all 64 values as sensors, sparse labels (classes 1-3
   on every fifth id).  No cluster structure; mostly noise is expected.
 * ``blobs`` — the same keys with label-dependent centres for labels 0-4 and a
   widened, clipped background for labels 5-9, so dense groups exist.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Stand-in construction constants.
-N_SENSORS = 20
+N_SENSORS = 64
 LABELLED_CLASSES = (1, 2, 3)
 LABEL_EVERY = 5
 BLOB_SCALE = 0.25
