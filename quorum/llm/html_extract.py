@@ -2,9 +2,11 @@
 
 Pages of a host are parsed to trees of elements.  Each page's tree is aligned with the host's template
 (the host's first page by url) by simple tree matching; nodes whose text is the same on nearly all
-aligned pages are template, the others are slots.  Menus, headers, footers, notices, adverts, forms and
-comments are known by their element or class.  Where pages mark an article, its slots and constants
-both belong to it; elsewhere only slots are content.
+aligned pages are template, the others are slots.  Only slots are content.  Inside a marked article a
+block is template if all its own text is, so constant words in a sentence that varies stay; an article
+whose whole text is constant stays as it is.  Menus, headers, footers, notices, adverts, forms and
+comments are known by their element or class too, but a class (or a form) never hides html, body or
+what holds the article: an element with a mark of an article in it and half of the page's text.
 
 Hosts are the groups of the exchange; a host of more than ``PART`` bytes of markup is cut into parts
 by hash of its pages, and each part has a template of its own.
@@ -38,6 +40,9 @@ PARAGRAPH_BORDERS = set("article aside blockquote body button caption dd div fig
 APART = set("head nav footer aside form script style noscript template iframe button select textarea title svg menu dialog object".split())
 APART_WORDS = set("ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer "
                   "comment comments cookie cookies notice consent gdpr share sharing social related newsletter subscribe popup modal widget login signup".split())
+#: elements that hide what they hold whatever that is; the others of ``APART`` may hold the article
+HIDDEN = APART - {"form", "dialog"}
+WHOLE = {"html", "body"}
 ARTICLE_WORDS = {"article", "main", "content", "post", "entry", "story"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -52,7 +57,7 @@ class Node:
         self.tag, self.words = tag, words
         self.parts: list = []  # texts and nodes in order
         self.elements: list[Node] = []
-        self.apart = tag in APART or not words.isdisjoint(APART_WORDS)
+        self.apart = tag in APART or (tag not in WHOLE and not words.isdisjoint(APART_WORDS))
         self.constant = False
 
     def finish(self) -> str:
@@ -181,6 +186,31 @@ def mark_constants(trees: list[Node]) -> None:
                     n.constant = True
 
 
+def open_holders(root: Node) -> None:
+    """What holds the article isn't apart: by class or as a form, with an article's mark in it and half of the page's text."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo.extend(e for e in n.elements if e.tag not in HIDDEN)
+    if not any(n.apart for n in order):
+        return
+    length, marks, prose = {}, set(), set()
+    for n in reversed(order):  # what an element holds comes before it
+        inner = [e for e in n.elements if e.tag not in HIDDEN]
+        length[id(n)] = sum(len(p.strip()) for p in n.parts if isinstance(p, str)) + sum(length[id(e)] for e in inner)
+        if n.tag == "p" or any(id(e) in prose for e in inner):
+            prose.add(id(n))
+    for n in reversed(order):
+        # words alone could be a menu's ("main-nav"): with them counts only an element with paragraphs
+        own = n.tag in ("article", "main") or (not n.words.isdisjoint(ARTICLE_WORDS) and (not n.apart or id(n) in prose))
+        if own or any(id(e) in marks for e in n.elements):
+            if n.apart and length[id(n)] and 2 * length[id(n)] >= length[id(root)]:
+                n.apart = False
+            if not n.apart:
+                marks.add(id(n))
+
+
 def _articles(root: Node) -> list[Node]:
     """The topmost elements that mark an article: by element, else by class."""
     for fits in (lambda n: n.tag == "article", lambda n: n.tag == "main" or "main" in n.words, lambda n: not n.words.isdisjoint(ARTICLE_WORDS)):
@@ -198,30 +228,53 @@ def _articles(root: Node) -> list[Node]:
     return []
 
 
-def content(root: Node) -> str:
-    """The text of the page's content, blocks in order, white space as single spaces."""
-    articles = _articles(root)
+def _is_template(block: Node) -> bool:
+    """Whether all text of the block outside inner blocks is constant."""
+    todo = [block]
+    while todo:
+        n = todo.pop()
+        if not n.constant and n.own_text():
+            return False
+        todo.extend(e for e in n.elements if not e.apart and e.tag not in BLOCK)
+    return True
+
+
+def _text(starts: list[Node], marked: bool, whole: bool = False) -> str:
+    """Text of the elements without template; ``whole`` keeps it.  In a marked article blocks are template, elsewhere elements."""
     out: list[str] = []
-    todo: list = [(a, True) for a in reversed(articles)] or [(root, False)]
+    todo: list = [(n, False) for n in reversed(starts)]
     while todo:
-        n, inside = todo.pop()
+        n, dropped = todo.pop()
         if n is None:
             out.append(" ")
         elif isinstance(n, str):
             out.append(n)
-        elif not n.apart and (inside or n.tag != "header"):
-            border = n.tag in BLOCK or n.tag == "br"
-            parts = [(p, inside) for p in n.parts if inside or not (n.constant and isinstance(p, str))]
-            if border:
-                parts = [(None, inside), *parts, (None, inside)]
+        elif not n.apart and (marked or n.tag != "header"):
+            block = n.tag in BLOCK
+            if not marked:
+                dropped = n.constant
+            elif block:
+                dropped = not whole and _is_template(n)
+            parts = [(p, dropped) for p in n.parts if not (dropped and isinstance(p, str))]
+            if block or n.tag == "br":
+                parts = [(None, dropped), *parts, (None, dropped)]
             todo.extend(reversed(parts))
     return " ".join("".join(out).split())
 
 
+def content(root: Node) -> str:
+    """The text of the page's content, blocks in order, white space as single spaces."""
+    articles = _articles(root)
+    if not articles:
+        return _text([root], False)
+    return _text(articles, True) or _text(articles, True, whole=True)
+
+
 def _extract(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["url", "page_id", "html"], ignore_index=True)
     trees = {h: parse(h) for h in dict.fromkeys(frame["html"])}
     for tree in trees.values():
+        open_holders(tree)
         tree.finish()
     mark_constants(list(trees.values()))
     found = {h: content(t) for h, t in trees.items()}

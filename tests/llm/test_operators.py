@@ -272,6 +272,23 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_inside_articles_and_classes_of_holders(spark):
+    def text(pages):
+        table = [(i, f"http://a.b/{i:03}", p) for i, p in enumerate(pages)]
+        found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(table, "page_id long, url string, html string")).collect()}
+        return [found[i] for i in range(len(pages))]
+
+    article = "<body><article><h1>Head {0}</h1><p>Send us <a>your story</a></p><p><b>Note:</b> text {0}</p><div class='x9'>Read more in our app</div></article></body>"
+    assert text([article.format(i) for i in range(5)]) == [f"Head {i} Note: text {i}" for i in range(5)]
+    # the article's sole text stays though it is constant
+    assert text([f"<!-- {i} --><body><article><h1>Gone</h1></article></body>" for i in range(5)]) == ["Gone"] * 5
+    # a word of a class doesn't hide the whole page or what holds the article; it hides what doesn't
+    held = "<p>long text of a page</p><div class='share'>share it</div>"
+    assert text([f"<body class='post has-sidebar'><article>{held}</article></body>", f"<body><div class='main-with-nav'><article>{held}</article></div></body>",
+                 f"<form><div class='main-with-nav'>{held}</div></form>", f"<article class='post has-sidebar'>{held}</article>",
+                 f"<main>{held}</main><div class='sidebar'><article>teaser</article></div>", f"<p>{held}</p><div class='main-nav'>Home News About</div>"]) == ["long text of a page"] * 6
+
+
 def test_json_is_not_needed_for_merges():
     known = json.loads(packing.tokenizer_text(None, "byte_bpe_50k.json"))
     assert len({a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in known["model"]["merges"])}) == len(known["model"]["merges"])  # one merge for each product
