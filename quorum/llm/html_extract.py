@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are parsed to trees of elements.  Each page's tree is aligned with the host's template
-(the host's first page by url) by simple tree matching; nodes whose text is the same on nearly all
-aligned pages are template, the others are slots.  Only slots are content.  Inside a marked article a
+Pages of a host are parsed to trees of elements.  All trees are merged from the root into the host's
+template: equal siblings (by element and class, wherever they stand among the others) fall together,
+and what a page has alone is added, so no single page decides a host.  Nodes whose text is the same on
+nearly all pages that have text in that place are template, the others are slots.  Only slots are content.  Inside a marked article a
 block is template if all its own text is, so constant words in a sentence that varies stay; an article
 whose whole text is constant stays as it is.  Menus, headers, footers, notices, adverts, forms and
 comments are known by their element or class too, but a class (or a form) never hides html, body or
@@ -25,7 +26,7 @@ from quorum.llm.common import stage_table
 
 #: bytes of markup of one part of a host
 PART = 8 << 20
-#: a node is template when so many distinct pages were aligned with it and this share of them has its text
+#: a node is template when so many distinct pages, and this share of those with text in its place, have its text
 ALIKE_PAGES, ALIKE_SHARE = 3, 0.8
 
 #: Fixed values of the markup language.
@@ -43,15 +44,17 @@ APART_WORDS = set("ad ads advert adverts advertisement sponsor sponsored promo b
 #: elements that hide what they hold whatever that is; the others of ``APART`` may hold the article
 HIDDEN = APART - {"form", "dialog"}
 WHOLE = {"html", "body"}
+PAGE_OWN = {"html", "body", "main", "article"}
 ARTICLE_WORDS = {"article", "main", "content", "post", "entry", "story"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
+_DIGIT = re.compile("[0-9]")
 
 
 class Node:
-    __slots__ = ("tag", "words", "parts", "elements", "apart", "key", "constant")
+    __slots__ = ("tag", "words", "parts", "elements", "apart", "constant")
 
     def __init__(self, tag: str, words: frozenset[str]):
         self.tag, self.words = tag, words
@@ -60,11 +63,6 @@ class Node:
         self.apart = tag in APART or (tag not in WHOLE and not words.isdisjoint(APART_WORDS))
         self.constant = False
 
-    def finish(self) -> str:
-        """Set the subtree's shape as ``key``: aligning equal shapes needs no matching."""
-        self.key = f"{self.tag}{'.' + '.'.join(sorted(self.words)) if self.words else ''}({','.join(e.finish() for e in self.elements)})"
-        return self.key
-
     def own_text(self) -> str:
         return " ".join(" ".join(p for p in self.parts if isinstance(p, str)).split())
 
@@ -126,64 +124,43 @@ def _close_before(stack: list[Node], tag: str) -> None:
                 break
 
 
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the largest set of pairs of equal elements that keeps parents and order."""
-    sizes: dict[tuple[int, int], tuple[int, list[list[int]] | None]] = {}
-
-    def size(x: Node, y: Node) -> int:
-        if x.tag != y.tag or x.words != y.words:
-            return 0
-        known = sizes.get((id(x), id(y)))
-        if known:
-            return known[0]
-        if x.key == y.key:
-            whole, table = x.key.count("("), None
-        else:
-            table = [[0] * (len(y.elements) + 1)]
-            for e in x.elements:
-                last, row = table[-1], [0]
-                for j, f in enumerate(y.elements):
-                    row.append(max(last[j + 1], row[j], last[j] + size(e, f)))
-                table.append(row)
-            whole = 1 + table[-1][-1]
-        sizes[id(x), id(y)] = whole, table
-        return whole
-
-    pairs, todo = [], [(a, b)] if size(a, b) else []
-    while todo:
-        x, y = todo.pop()
-        pairs.append((x, y))
-        if x.key == y.key:
-            todo += zip(x.elements, y.elements, strict=True)
-            continue
-        table, i, j = sizes[id(x), id(y)][1], len(x.elements), len(y.elements)
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((x.elements[i], y.elements[j]))
-    return pairs
+def _kind(n: Node) -> tuple[str, frozenset[str]]:
+    """What makes siblings equal; numbers in ids and classes, and the classes of a page or article, differ from page to page."""
+    if n.tag in PAGE_OWN:
+        return n.tag, frozenset()
+    return n.tag, frozenset(w for w in n.words if not _DIGIT.search(w))
 
 
 def mark_constants(trees: list[Node]) -> None:
-    """Align distinct pages with the first and mark the nodes that are template."""
-    first, seen = trees[0], {}
-    for tree in trees:
-        for x, y in align(first, tree):
-            seen.setdefault(id(x), []).append(y)
-    for nodes in seen.values():
-        if len(nodes) < ALIKE_PAGES:
-            continue
-        same: dict[str, list[Node]] = {}
-        for n in nodes:
-            same.setdefault(n.own_text(), []).append(n)
-        for text, some in same.items():
-            if text and len(some) >= ALIKE_SHARE * len(nodes):
-                for n in some:
-                    n.constant = True
+    """Merge the trees of distinct pages into one template and mark the nodes that belong to it."""
+    places: dict[tuple, int] = {}  # (place of the parent, kind) -> place
+    pages: list[int] = [0]  # with text in the place
+    last: list[int] = [-1]
+    seen: dict[tuple[int, str], list] = {}  # (place, text) -> [pages, the last of them, nodes]
+    for number, tree in enumerate(trees):
+        todo = [(tree, 0)]
+        while todo:
+            n, place = todo.pop()
+            text = n.own_text()
+            if text:
+                if last[place] != number:
+                    last[place] = number
+                    pages[place] += 1
+                found = seen.setdefault((place, text), [0, -1, []])
+                if found[1] != number:
+                    found[0], found[1] = found[0] + 1, number
+                found[2].append(n)
+            for e in n.elements:
+                if not e.apart:
+                    inner = places.setdefault((place, _kind(e)), len(pages))
+                    if inner == len(pages):
+                        pages.append(0)
+                        last.append(-1)
+                    todo.append((e, inner))
+    for (place, _), (some, _, nodes) in seen.items():
+        if some >= max(ALIKE_PAGES, ALIKE_SHARE * pages[place]):
+            for n in nodes:
+                n.constant = True
 
 
 def open_holders(root: Node) -> None:
@@ -275,7 +252,6 @@ def _extract(frame: pd.DataFrame) -> pd.DataFrame:
     trees = {h: parse(h) for h in dict.fromkeys(frame["html"])}
     for tree in trees.values():
         open_holders(tree)
-        tree.finish()
     mark_constants(list(trees.values()))
     found = {h: content(t) for h, t in trees.items()}
     out = pd.DataFrame({"page_id": frame["page_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "url": frame["raw_url"], "text": frame["html"].map(found)})
@@ -287,7 +263,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars; one row per row of ``pages``.
 
     Null html is empty and gives an empty text, as a page without content does.  Pages whose url is
-    null or has no host are aligned with each other.  Copies of a page count once for the template.
+    null or has no host share a template.  Copies of a page count once for the template.
     An empty table gives no rows; other columns aren't read.
     """
     host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))

@@ -289,6 +289,17 @@ def test_html_template_inside_articles_and_classes_of_holders(spark):
                  f"<main>{held}</main><div class='sidebar'><article>teaser</article></div>", f"<p>{held}</p><div class='main-nav'>Home News About</div>"]) == ["long text of a page"] * 6
 
 
+def test_html_no_single_page_decides_the_template(spark):
+    plain = ["", "<p>start</p>", *(f"<div><div class='box{i}'><p>text {i}</p>{'<p>more %d</p>' % i * (i % 3)}</div></div><ul><li>Home<li>News</ul><section>Mind the gap</section>" for i in range(6))]
+    # the notice stands after another number of paragraphs on each page, and not on the first
+    plain += [f"<article>{'<p>say %d</p>' % i * (i % 4)}<p>Join us</p><p>end {i}</p></article>" for i in range(6, 14)]
+    table = [(i, f"http://a.b/{i:03}", p) for i, p in enumerate(plain)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(table, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(2)] == ["", "start"]
+    assert [got[2 + i] for i in range(6)] == [" ".join([f"text {i}", *[f"more {i}"] * (i % 3)]) for i in range(6)]
+    assert [got[2 + i] for i in range(6, 14)] == [" ".join([*[f"say {i}"] * (i % 4), f"end {i}"]) for i in range(6, 14)]
+
+
 def test_json_is_not_needed_for_merges():
     known = json.loads(packing.tokenizer_text(None, "byte_bpe_50k.json"))
     assert len({a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in known["model"]["merges"])}) == len(known["model"]["merges"])  # one merge for each product
