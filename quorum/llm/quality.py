@@ -1,29 +1,27 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-A document's histograms of character classes and of common words are compared to those of four
-languages by Jensen-Shannon distance (base 2).  A language's reference is the mean of the histograms
-of its documents of ``COMPARED_WORDS`` words or more, in parts per million so that the sum doesn't depend on
-the order of rows.  A document is judged by the language of most of its common words; short documents
+A document's histograms of character classes and of frequent words are compared to those of its
+stated language by Jensen-Shannon distance (base 2).  Every value of ``lang`` has a reference: the mean
+of the histograms of its documents of ``COMPARED_WORDS`` words or more, in whole parts so that the sum
+doesn't depend on the order of rows.  Its frequent words are the ``FREQUENT`` with the largest mean share
+in those documents, which are counted in full.  Short documents, and those without a language or whose language has no reference,
 are judged by the base rules alone.
 
-The references take one pass that returns a row per language; the verdict takes a second pass and
-no exchange at all.
+The references are a table of a row per language, made by two passes that exchange counts only; the
+verdict takes another pass, to which that table is joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorum.llm.common import WHITE
+from quorum.llm.common import WHITE, stage_table
 
-#: Frequent function words of each language.
-COMMON = {
-    "en": "the of and to in a is that it for on was with as be by".split(),
-    "fr": "de la le et les des en un une du que est pour dans qui par".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem".split(),
-    "es": "de la que el en y a los se del las un por con no una".split(),
-}
+#: frequent words of each language
+FREQUENT = 20
+#: what can be one: a letter, and no characters but letters, marks, digits, apostrophes and hyphens
+PLAIN = r"^[\p{L}\p{M}\p{N}'\x{2019}-]*\p{L}[\p{L}\p{M}\p{N}'\x{2019}-]*$"
 #: character classes as the characters that don't belong to them; small letters are the rest
 OTHERS = {"upper": "[^A-Z]+", "digit": "[^0-9]+", "stop": "[^.,;:!?]+", "symbol": r"[A-Za-z0-9\x20\x09-\x0D.,;:!?]+|[^\x00-\x7F]+", "beyond": r"[\x00-\x7F]+"}
 
@@ -33,7 +31,10 @@ REPEATED_PERCENT = 50
 COMPARED_WORDS = 100
 CHARACTER_LIMIT = 0.22
 WORD_LIMIT = 0.28
+#: where that limit was set, a text without any frequent word lay so far (sf0.1); the limit grows with that distance
+WORDLESS = 0.324
 _PARTS = 1_000_000
+_WORD_PARTS = 1_000_000_000
 
 
 def _left(text: Column, pattern: str) -> Column:
@@ -45,18 +46,18 @@ def _fixed(rows: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
     return rows.select(*keep, F.explode(F.array(F.struct(*made))).alias("_made")).select(*keep, "_made.*")
 
 
-def _histograms(docs: DataFrame, id_col: str, text_col: str, keep: list[Column]) -> DataFrame:
-    """``keep``, doc_id, text, words, n_words, word_chars, ``common`` (the frequent words found) and the counts of character classes."""
-    rows = docs.select(*keep, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list[Column]) -> DataFrame:
+    """``keep``, doc_id, lang, text, words."""
+    rows = docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bare = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WHITE))
-    rows = _fixed(rows, rows.columns, [words.alias("words")])
-    every = sorted({w for ws in COMMON.values() for w in ws})
-    small = F.transform(F.filter("words", lambda w: F.length(w) <= max(map(len, every))), F.lower)
-    return _fixed(rows, rows.columns, [
-        F.size("words").cast("long").alias("n_words"), _left(F.col("text"), WHITE).alias("word_chars"),
-        F.length("text").cast("long").alias("n_chars"), *(_left(F.col("text"), p).alias(f"c_{c}") for c, p in OTHERS.items()),
-        F.filter(small, lambda w: w.isin(every)).alias("common")])
+    return _fixed(rows, rows.columns, [words.alias("words")])
+
+
+def _histogram() -> list[Column]:
+    """n_words, word_chars, n_chars and the counts of character classes."""
+    return [F.size("words").cast("long").alias("n_words"), _left(F.col("text"), WHITE).alias("word_chars"),
+            F.length("text").cast("long").alias("n_chars"), *(_left(F.col("text"), p).alias(f"c_{c}") for c, p in OTHERS.items())]
 
 
 def _character_counts() -> Column:
@@ -68,12 +69,10 @@ def _character_counts() -> Column:
     return F.array(small, white, *known)
 
 
-def _word_counts(language: str) -> Column:
-    found = [F.size("common") - F.size(F.array_remove("common", w)) for w in COMMON[language]]
-    rest = F.col("n_words")
-    for c in found:
-        rest = rest - c
-    return F.array(*(c.cast("long") for c in found), rest)
+def _word_counts() -> Column:
+    """How often each of the reference's words stands in ``common``, and the other words."""
+    found = [F.coalesce(F.size("common") - F.size(F.array_remove("common", F.get("own_words", F.lit(i)))), F.lit(0)) for i in range(FREQUENT)]
+    return F.array(*(c.cast("long") for c in found), F.col("n_words") - F.size("common"))
 
 
 def _repeated(words: Column) -> Column:
@@ -99,8 +98,8 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(F.transform(F.array(windows), count)[0]).cast("long")
 
 
-def _distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance of a histogram to a reference given as shares."""
+def _distance(counts: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance of a histogram to a reference given as an array of shares."""
     def part(x: Column, m: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
 
@@ -109,72 +108,63 @@ def _distance(counts: Column, reference: list[float]) -> Column:
 
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
     shares = F.transform(F.array(total), lambda n: F.transform(counts, lambda x: x / n))[0]
-    other = F.array(*(F.lit(float(x)) for x in reference))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(shares, other, both), F.lit(0.0), lambda a, x: a + x)))
-
-
-def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
-    """Per language the mean shares of character classes and of its common words; at most one row for each language in COMMON."""
-    known = docs.where(F.col(lang_col).isin(list(COMMON)))
-    rows = _histograms(known, id_col, text_col, [F.col(lang_col).alias("lang")]).where(F.col("n_words") >= COMPARED_WORDS)
-    mine = F.when(F.lit(False), F.array(F.lit(0).cast("long")))
-    for language in COMMON:
-        mine = mine.when(F.col("lang") == language, _word_counts(language))
-
-    def parts(counts: Column, n: Column) -> Column:
-        return F.transform(counts, lambda x: F.floor(x * _PARTS / n))
-
-    rows = _fixed(rows, ["lang"], [parts(_character_counts(), F.col("n_chars")).alias("chars"), parts(mine, F.col("n_words")).alias("own")])
-    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(OTHERS) + 2)]
-    sums += [F.sum(F.col("own")[i]).alias(f"w{i}") for i in range(len(COMMON["en"]) + 1)]
-    found = {}
-    for row in rows.groupBy("lang").agg(*sums).collect():
-        chars = [row[f"c{i}"] for i in range(len(OTHERS) + 2)]
-        words = [row[f"w{i}"] for i in range(len(COMMON["en"]) + 1)]
-        found[row["lang"]] = ([x / sum(chars) for x in chars], [x / sum(words) for x in words])
-    return found
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(shares, reference, both), F.lit(0.0), lambda a, x: a + x)))
+
+
+def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, own_words, own_chars, own_shares, own_limit): per language its frequent words, the mean shares of character classes and of those words and the rest, and the limit of the latter's distance."""
+    rows = _texts(docs.where(F.col(lang_col).isNotNull()), id_col, text_col, lang_col, []).where(F.size("words") >= COMPARED_WORDS)
+    counted = _fixed(rows, ["lang"], _histogram())
+    counted = _fixed(counted, ["lang"], [F.transform(_character_counts(), lambda x: F.floor(x * _PARTS / F.col("n_chars"))).alias("parts")])
+    chars = counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("parts")[i]).alias(f"c{i}") for i in range(len(OTHERS) + 2)))
+    whole = F.aggregate(F.array(*(f"c{i}" for i in range(len(OTHERS) + 2))), F.lit(0).cast("long"), lambda a, x: a + x)
+    chars = chars.select("lang", "n", F.array(*(F.col(f"c{i}") / whole for i in range(len(OTHERS) + 2))).alias("own_chars"))
+    # a word's mean share: each time it stands it adds its document's 1 / n_words
+    each = rows.select("lang", F.floor(F.lit(_WORD_PARTS) / F.size("words")).alias("part"), F.explode("words").alias("word"))
+    each = each.groupBy("lang", F.lower("word").alias("word")).agg(F.sum("part").alias("part")).where(F.col("word").rlike(PLAIN))
+    first = Window.partitionBy("lang").orderBy(F.desc("part"), "word")
+    often = each.withColumn("place", F.row_number().over(first)).where(F.col("place") <= FREQUENT)
+    often = often.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "word", "part"))).alias("often"))
+    share = F.transform("often", lambda w: w["part"] / (F.col("n") * float(_WORD_PARTS)))
+    known = chars.join(often, "lang", "left").withColumn("often", F.coalesce("often", F.array().cast("array<struct<place:int,word:string,part:bigint>>")))
+    known = known.withColumn("shares", F.concat(share, F.array_repeat(F.lit(0.0), F.lit(FREQUENT) - F.size("often"))))
+    rest = F.greatest(F.lit(0.0), 1 - F.aggregate("shares", F.lit(0.0), lambda a, x: a + x))
+    known = known.select("lang", F.col("often.word").alias("own_words"), "own_chars", F.concat("shares", F.array(rest)).alias("own_shares"))
+    wordless = _distance(F.array(*[F.lit(0).cast("long")] * FREQUENT, F.lit(1).cast("long")), F.col("own_shares"))
+    return known.withColumn("own_limit", F.greatest(F.lit(WORD_LIMIT), WORD_LIMIT / WORDLESS * wordless))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, character_distance, word_distance (null if the document isn't compared), after the columns ``keep``.
 
-    A null text counts as one without words, which fails the base rules.  If no document of a known
-    language has ``COMPARED_WORDS`` words there is no reference, and the base rules decide.  A null or
-    unknown language only means that the document doesn't shape a reference.  An empty table gives no rows.
+    A null text counts as one without words, which fails the base rules.  A document whose language is
+    null, or has no document of ``COMPARED_WORDS`` words, is judged by the base rules alone.  An empty
+    table gives no rows.
     """
     keep = keep or []
-    known = references(docs, id_col, text_col, lang_col)
+    known = stage_table(references(docs, id_col, text_col, lang_col), "references")
     names = [f"kept_{i}" for i in range(len(keep))]
-    rows = _histograms(docs, id_col, text_col, [F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
+    rows = _texts(docs, id_col, text_col, lang_col, [F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
+    rows = rows.join(known.withColumnRenamed("lang", "_lang"), (F.col("lang") == F.col("_lang")) & (F.size("words") >= COMPARED_WORDS), "left")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     doubled = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
-    # the language of most of its common words; its reference judges the document
-    own, language = F.lit(None).cast("array<bigint>"), F.lit(None).cast("string")
-    if known:
-        most = F.array_max(F.array(*(F.struct(F.size(F.filter("common", _among(x))).alias("n"), F.lit(x).alias("language")) for x in sorted(known))))
-        language = F.when(F.col("n_words") >= COMPARED_WORDS, most["language"])
-
-    def counts(found: Column) -> Column:
-        chosen = own
-        for x in sorted(known):
-            chosen = F.when(found == x, _word_counts(x)).otherwise(chosen)
-        return F.struct(found.alias("language"), chosen.alias("own"))
-
-    rows = _fixed(rows, [*names, "doc_id", "n_words", "word_chars"], [
-        _left(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"), doubled.cast("long").alias("n_dup_lines"),
-        _repeated(F.col("words")).alias("n_repeat_words"), _character_counts().alias("chars"),
-        F.transform(F.array(language), counts)[0].alias("by")])
-    rows = rows.select("*", "by.language", "by.own")
-    far_chars, far_words = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for x, (chars, words) in sorted(known.items()):
-        here = F.col("language") == x
-        far_chars = F.when(here, _distance(F.col("chars"), chars)).otherwise(far_chars)
-        far_words = F.when(here, _distance(F.col("own"), words)).otherwise(far_words)
+    own = ["own_words", "own_chars", "own_shares", "own_limit"]
+    longest = F.coalesce(F.array_max(F.transform("own_words", F.length)), F.lit(0))
+    small = F.transform(F.array(longest), lambda n: F.transform(F.filter("words", lambda w: F.length(w) <= n), F.lower))[0]
+    common = F.when(F.col("own_words").isNull(), F.array().cast("array<string>")).otherwise(F.filter(small, lambda w: F.array_contains(F.col("own_words"), w)))
+    rows = _fixed(rows, [*names, "doc_id", *own], [
+        *_histogram(), common.alias("common"), _left(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"),
+        doubled.cast("long").alias("n_dup_lines"), _repeated(F.col("words")).alias("n_repeat_words")])
+    rows = _fixed(rows, [*names, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *own], [
+        _character_counts().alias("chars"), _word_counts().alias("counts")])
+    compared = F.col("own_words").isNotNull()
+    far_chars = F.when(compared, _distance(F.col("chars"), F.col("own_chars")))
+    far_words = F.when(compared, _distance(F.col("counts"), F.col("own_shares")))
     rows = _fixed(rows, [*names, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], [
-        F.struct(far_chars.alias("chars"), far_words.alias("words")).alias("nearest")])
+        F.struct(far_chars.alias("chars"), far_words.alias("words"), F.col("own_limit").alias("limit")).alias("nearest")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    far = (F.col("nearest.chars") > CHARACTER_LIMIT) | (F.col("nearest.words") > WORD_LIMIT)
+    far = (F.col("nearest.chars") > CHARACTER_LIMIT) | (F.col("nearest.words") > F.col("nearest.limit"))
     rows = _fixed(rows, [*names, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nearest"], [
         failed.alias("base_failed"), (~failed & ~F.coalesce(far, F.lit(False))).alias("kept")])
     return rows.select(
@@ -182,10 +172,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "base_failed", "kept", F.round("nearest.chars", 4).alias("character_distance"), F.round("nearest.words", 4).alias("word_distance"))
 
 
-def _among(language: str):
-    return lambda word: word.isin(COMMON[language])
-
-
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that :func:`quality_rules` rejects; the columns of ``docs`` stay as they are."""
     judged = quality_rules(docs, keep=docs.columns)

@@ -16,8 +16,11 @@ from quorum.llm import bpe, exact_dedup, html_extract, id_files, lm, minhash, pa
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+ENGLISH = "the of and to in a is that it for on was with as be by".split()
+
+
 def prose(rng, n):
-    common = quality.COMMON["en"]
+    common = ENGLISH
     return " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(["an", "thor", "re", "ing"]) for _ in range(3)) for _ in range(n))
 
 
@@ -127,6 +130,19 @@ def test_quality(docs, rows):
     assert kept.columns == docs.columns and kept.count() == sum(1 for r in rows if got[r[0], len(WORD.findall(r[1] or "")), sum(map(len, WORD.findall(r[1] or "")))].kept)
 
 
+def test_quality_judges_each_document_by_its_own_language(spark):
+    rng = random.Random(8)
+    words = {"it": "il di che e la per un non del si".split(), "ru": "и в не на что с по как это он".split(), "code": "if for return self def in not and".split()}
+    def text(lang, n=150):
+        parts = "ла но ри" if lang == "ru" else "zi po ra"
+        return " ".join(rng.choice(words[lang]) if rng.random() < 0.4 else "".join(rng.choice(parts.split()) for _ in range(3)) + str(rng.randrange(99)) for _ in range(n))
+    table = [(100 * k + i, text(lang), lang) for k, lang in enumerate(words) for i in range(12)]
+    table += [(1000, text("ru"), None), (1001, text("it"), "ru"), (1002, text("it", 60), "xx"), (1003, prose(rng, 150), "en")]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(table) and all(got[i].kept for i, _, _ in table if i != 1001)
+    assert not got[1001].kept and got[1000].word_distance is None and got[1002].word_distance is None and got[0].word_distance is not None
+
+
 def tokenizer(name):
     import public_tokenizers
     from tokenizers import Tokenizer
