@@ -253,6 +253,29 @@ def test_lm(docs, rows):
     assert lm.score_texts(empty(docs)).count() == 0
 
 
+def test_lm_learns_from_all_training_documents(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from quorum.llm import attention as A
+
+    classes = lm.Classes(np.arange(2000, 0, -1))
+    ids = list(range(200))
+    rows = [np.arange(i % 7 + 1, dtype="<u4").tobytes() for i in ids]  # many equal texts
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "ids"])
+    got = [x for b in lm._follow(SimpleNamespace(value=classes))(iter([batch])) for x in b.to_pylist() if x["round"] is not None]
+    learns = [r for d, r in zip(ids, rows, strict=True) if not lm.held_out(d)]
+    assert Counter(len(x["classes"]) // 2 - 1 for x in got) == Counter(len(r) // 4 for r in learns)  # and an end each
+    assert len({x["round"] for x in got if len(x["classes"]) == 4}) > 1  # copies don't share a round
+    # slices leave no window out
+    monkeypatch.setattr(lm, "SLICE", 100)
+    prior = np.log(np.full((A.CLASSES, A.CLASSES), 1 / A.CLASSES, np.float32))
+    texts = pa.RecordBatch.from_arrays([pa.array([x["classes"] for x in got], pa.binary())], ["classes"])
+    made = list(lm._train(SimpleNamespace(value=(prior, A.Attention(prior).flat)), 0)(iter([texts])))
+    assert len(made) == 1 and made[0].column(0).to_pylist() == [len(learns)]
+
+
 def test_attention_scores_each_token_once_and_sums_to_one():
     from quorum.llm import attention as A
 
