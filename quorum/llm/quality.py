@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 
 from quorum.llm.common import WHITE, stage_table
 
+#: Frequent function words of four languages, for made-up prose; the rules count their own from the corpus.
+COMMON = {
+    "en": "the of and to in a is that it for on was with as be by".split(),
+    "fr": "de la le et les des en un une du que est pour dans qui par".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem".split(),
+    "es": "de la que el en y a los se del las un por con no una".split(),
+}
 #: frequent words of each language
 FREQUENT = 20
 #: what can be one: a letter, and no characters but letters, marks, digits, apostrophes and hyphens
