@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from quorum.llm.packing import tokenizer_text
 from quorum.llm.word_ids import slices
 
 #: units that a worker remembers; beyond that it starts anew
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: pairs that are sent to all tasks at most (24 bytes each); the others are joined
 SENT = 500_000
 #: distinct pairs that a task of the counting pass holds before it hands them on
@@ -50,48 +51,50 @@ _UNIT = re.compile(r"(?<!\s) (?=[^ ])")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+class _Index(dict):
+    """Unit -> place; an unknown unit gets the next place and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        place = self[unit] = len(self)
+        self.new.append(unit)
+        return place
+
+
 class Side:
-    """A tokenizer with the bytes of its ids, and the ids of the units that the worker has met."""
+    """A tokenizer, the bytes of its ids, and the ids of the units that the worker has met."""
 
     def __init__(self, encode, pieces: list[bytes], units: bool):
         self.encode, self.units = encode, units
         self.length = np.array([len(p) for p in pieces], np.int64)
-        begin = np.concatenate([[0], np.cumsum(self.length)])
-        self.bytes, self.begin = np.frombuffer(b"".join(pieces), np.uint8), begin[:-1]
+        self.begin = np.concatenate([[0], np.cumsum(self.length)])[:-1]
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.names = np.array([str(i) for i in range(len(pieces))], object)
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
         self.flat, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
 
-    def ids(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the documents in one array, and how many each has."""
-        if not self.units:
-            found = self.encode(docs)
-            return np.concatenate([np.empty(0, np.int64), *(np.array(f, np.int64) for f in found)]), np.array([len(f) for f in found], np.int64)
-        if len(self.index) > REMEMBERED:
-            self.forget()
-        index, new, places = self.index, [], []
-        for text in docs:
-            own = []
-            for unit in _UNIT.split(text):
-                place = index.get(unit)
-                if place is None:
-                    place = index[unit] = len(index)
-                    new.append(unit)
-                own.append(place)
-            places.append(np.array(own, np.int64))
-        if new:
-            found = self.encode(new)
-            counts = np.array([len(f) for f in found], np.int64)
-            self.flat = np.concatenate([self.flat, *(np.array(f, np.int64) for f in found)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
-        place = np.concatenate(places)
+    def whole(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in one array, and how many each has."""
+        found = self.encode(docs)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, counts.sum()), counts
+
+    def learn(self, units: list[str]) -> None:
+        ids, counts = self.whole(units)
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+
+    def gather(self, place: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``whole``, of texts whose units are ``place``; ``upto`` is where each text's units end."""
         begin, counts = self.ends[place], self.ends[place + 1] - self.ends[place]
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.flat[np.repeat(begin - upto[:-1], counts) + np.arange(upto[-1])]
-        return ids, np.diff(upto[np.cumsum([0, *map(len, places)])])
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.flat[np.repeat(begin - ends[:-1], counts) + np.arange(ends[-1])]
+        return ids, np.diff(ends[upto])
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids one after the other."""
@@ -131,22 +134,48 @@ def piece_side(model: bytes) -> Side:
     return Side(lambda docs: processor.encode(docs, num_threads=1), pieces, not crossing)
 
 
-_sides: dict[int, tuple[Side, Side]] = {}
+class Sides(tuple):
+    """Both sides, and the units that they know."""
 
+    def __new__(cls, a: Side, b: Side):
+        self = super().__new__(cls, (a, b))
+        self.index = _Index()
+        return self
 
-def _both(definitions: tuple[str, bytes]) -> tuple[Side, Side]:
+    def encode(self, docs: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side all ids of the texts in one array, and how many each text has."""
+        if len(self.index) > REMEMBERED:
+            self.index = _Index()
+            for side in self:
+                side.forget()
+        get, split, places = self.index.__getitem__, _UNIT.split, []
+        for text in docs:
+            units = split(text)
+            places.append(np.fromiter(map(get, units), np.int64, len(units)))
+        new, self.index.new = self.index.new, []
+        place, upto = np.concatenate(places), np.cumsum([0, *map(len, places)])
+        for side in self:
+            if new and side.units:
+                side.learn(new)
+        return [side.gather(place, upto) if side.units else side.whole(docs) for side in self]
+
+
+_sides: dict[int, Sides] = {}
+
+
+def _both(definitions: tuple[str, bytes]) -> Sides:
     key = hash(definitions)
     if key not in _sides:
         _sides.clear()
-        _sides[key] = byte_side(definitions[0]), piece_side(definitions[1])
+        _sides[key] = Sides(byte_side(definitions[0]), piece_side(definitions[1]))
     return _sides[key]
 
 
 class Aligned:
     """The tokens, links and groups of some documents; documents without tokens have counts of 0."""
 
-    def __init__(self, sides: tuple[Side, Side], docs: list[str]):
-        found = [s.ids([d or "" for d in docs]) for s in sides]
+    def __init__(self, sides: Sides, docs: list[str]):
+        found = sides.encode([d or "" for d in docs])
         keep = self._whole(sides, docs, found)
         self.ids, self.counts = [], []
         for ids, counts in found:
@@ -197,7 +226,7 @@ class Aligned:
         self.closes = [np.isin(e, cut, assume_unique=True) for e in self.end]
         self.n_groups = np.bincount(self.doc[0][self.closes[0]], minlength=len(self.counts[0]))
 
-    def group_texts(self, sides: tuple[Side, Side]) -> list[str]:
+    def group_texts(self, sides: Sides) -> list[str]:
         """a1,a2|b1;a3|b2,b3 of each document."""
         parts = np.empty(2 * (len(self.ids[0]) + len(self.ids[1])), object)
         # a token's place: all tokens of earlier groups, A's of the own group before B's
@@ -211,13 +240,6 @@ class Aligned:
         flat = parts.tolist()
         return ["".join(flat[a : b - 1]) if b > a else "" for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, pair, how often) of each pair that a document links, by document."""
-        doc = self.doc[0][self.left]
-        key, inverse = np.unique(self.pair, return_inverse=True)
-        both, n = np.unique(doc * len(key) + inverse, return_counts=True)
-        return both // max(1, len(key)), key[both % max(1, len(key))], n
-
 
 # ------------------------------------------------------------------ jobs
 

@@ -91,9 +91,9 @@ def test_units_equal_whole_texts(spark):
     texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + [t or "" for t in TEXTS]
     one, two = libraries()
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as g:
-        sides = al.byte_side(f.read()), al.piece_side(g.read())
-    for side, whole in zip(sides, (one, two), strict=True):
-        ids, counts = side.ids(texts)
+        sides = al.Sides(al.byte_side(f.read()), al.piece_side(g.read()))
+    assert all(side.units for side in sides)
+    for (ids, counts), whole in zip(sides.encode(texts), (one, two), strict=True):
         at = 0
         for text, n in zip(texts, counts.tolist(), strict=True):
             assert text == "" or ids[at : at + n].tolist() == whole(text)[0], repr(text[:80])
