@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quorum.llm import alignment, bpe, conversation_repair, exact_dedup, html_extract, id_files, lm, minhash, packing, pii, quality, sharding
+from quorum.llm import alignment, bpe, conversation_repair, exact_dedup, html_extract, id_files, lm, minhash, packing, pii, quality, secret_scan, sharding
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html": html_extract.op8_html,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_minhash": minhash.op10_minhash,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_alignment": alignment.op13_alignment,
 }
