@@ -1,16 +1,19 @@
-"""Array (vector) column helpers — all JVM-side expressions.
+"""Array (vector) column helpers.
 
-Readings travel as ``ARRAY<DOUBLE>``; these helpers build Catalyst
-expressions on them so distance and projection work stays in codegen'd /
-interpreted higher-order functions instead of Python.
+Readings travel as ``ARRAY<DOUBLE>``; these helpers build array functions on
+them, so a plan never grows with the width of the table.  Products with a dense
+matrix are numpy products of Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_double_array(col: Column | str, width: int | None = None) -> Column:
@@ -53,23 +56,19 @@ def affine(c: Column, shift: Sequence[float], scale: Sequence[float]) -> Column:
 def matvec(c: Column, rows: Sequence[Sequence[float]], center: Sequence[float] | None = None) -> Column:
     """Project ``c`` onto each row of a small dense matrix (k x d): returns k values.
 
-    The matrix is a model parameter (bounded by the width of the table), so it is
-    embedded as literals and evaluated per row inside the JVM.
+    The matrix is a model parameter (bounded by the width of the table); it travels with the
+    function, and each Arrow batch is one matrix product.
     """
-    d = len(rows[0]) if rows else 0
-    if 0 < d * len(rows) <= 65536:
-        # fixed width: plain arithmetic, kept inside whole-stage codegen
-        xs = [c[i] - F.lit(float(center[i])) if center is not None else c[i] for i in range(d)]
-        return F.array(*[sum((xs[i] * F.lit(float(r[i])) for i in range(1, d)), xs[0] * F.lit(float(r[0]))) for r in rows])
-    x = c
-    if center is not None:
-        ce = F.array(*[F.lit(float(v)) for v in center])
-        x = F.transform(c, lambda v, i: v - F.element_at(ce, i + 1))
-    outs = []
-    for r in rows:
-        w = F.array(*[F.lit(float(v)) for v in r])
-        outs.append(dot(x, w))
-    return F.array(*outs)
+    m = np.asarray(rows, dtype=float)
+    shift = np.zeros(m.shape[1]) if center is None else np.asarray(center, dtype=float)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def project(batch: pd.Series) -> pd.Series:
+        if len(batch) == 0:
+            return pd.Series([], dtype=object)
+        return pd.Series(list((np.stack(batch.to_numpy()).astype(float) - shift) @ m.T))
+
+    return project(c)
 
 
 def round_array(c: Column, digits: int = 6) -> Column:

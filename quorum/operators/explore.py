@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.operators.features import vector_width
+from quorum.operators.features import column_stats, gram, vector_width
 
 
 def label_histogram(df: DataFrame, label: str = "label", *, dropna: bool = True) -> DataFrame:
@@ -24,20 +25,22 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, col: str = "sensors") -> DataFrame:
-    """Pearson correlation of every dimension pair (i < j).
+    """Pearson correlation of every dimension pair (i < j), over the rows that have both values.
 
-    Each row emits its width*(width-1)/2 value pairs (bounded by the width, not
-    the data) straight into a grouped ``corr`` whose partial aggregation runs
-    map-side; only one buffer per pair and partition is shuffled.
+    One Gram pass around the column means: each partition multiplies its rows into
+    d x d matrices, and d (d - 1) / 2 rows come out; NULL where a column doesn't vary.
     """
     d = vector_width(df, col)
-    idx = F.sequence(F.lit(0), F.lit(d - 1))
-    x = F.col(col)
-    pairs = F.flatten(F.transform(idx, lambda i: F.transform(
-        F.filter(idx, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j"), F.element_at(x, i + 1).alias("a"),
-                                                           F.element_at(x, j + 1).alias("b")))))
-    long_df = df.select(F.explode(pairs).alias("p")).select("p.*")
-    return long_df.groupBy("i", "j").agg(F.corr("a", "b").alias("corr"))
+    means = [m or 0.0 for m in column_stats(df, col, d)["mean"]]
+    g = gram(df, col, d, means)
+    rows = []
+    for i in range(d):
+        for j in range(i + 1, d):
+            n = g["n"][i, j]
+            var_i, var_j = (n * g["q"][a, b] - g["s"][a, b] ** 2 for a, b in ((i, j), (j, i)))
+            both = var_i * var_j
+            rows.append((i, j, float((n * g["p"][i, j] - g["s"][i, j] * g["s"][j, i]) / np.sqrt(both)) if both > 0 else None))
+    return df.sparkSession.createDataFrame(rows, "i int, j int, corr double")
 
 
 def corr_summary(corr: DataFrame) -> DataFrame:

@@ -47,12 +47,12 @@ def readings_from(e: DataFrame) -> DataFrame:
     """``readings`` expressions over any embeddings-shaped frame (batch or stream)."""
     return e.select(
         F.col("vec_id").alias("row_index"),
-        F.array(*[F.col("embedding")[i].cast("double") for i in range(N_SENSORS)]).alias("sensors"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("sensors"),
         _sparse_label(F.col("vec_id"), F.col("label")).alias("label"),
     )
 
 
-def _blob_value(x: Column, label: Column, i: int) -> Column:
+def _blob_value(x: Column, label: Column, i: Column) -> Column:
     centre = F.lit(BLOB_SCALE) * x + F.lit(BLOB_AMPLITUDE) * F.cos((label + 1) * (i + 1))
     spread = F.least(F.lit(BACKGROUND_CLIP), F.greatest(F.lit(-BACKGROUND_CLIP), F.lit(BACKGROUND_SCALE) * x))
     return F.when(label <= BLOB_LABELS_MAX, centre).otherwise(spread)
@@ -67,7 +67,7 @@ def blobs_from(e: DataFrame) -> DataFrame:
     """``blobs`` expressions over any embeddings-shaped frame (batch or stream)."""
     return e.select(
         F.col("vec_id").alias("row_index"),
-        F.array(*[_blob_value(F.col("embedding")[i].cast("double"), F.col("label"), i) for i in range(N_SENSORS)]).alias("sensors"),
+        F.transform("embedding", lambda x, i: _blob_value(x.cast("double"), F.col("label"), i)).alias("sensors"),
         _sparse_label(F.col("vec_id"), F.col("label")).alias("label"),
     )
 
