@@ -6,11 +6,11 @@
 2. Classes that share a band are tied to the smallest class of that bucket; the components of these
    ties hold every candidate pair without a row for any pair.
 3. The sets of classes in such a component are brought together and compared exactly.  A component
-   with more shingles than ``GROUP`` is cut into blocks by hash, and each pair of blocks is one
-   task.  A task returns links that join what is linked (a forest), never all its pairs.
+   with more shingles than ``GROUP`` or more work than ``WORK`` is cut into blocks by hash, and each
+   pair of blocks is one task.  A task returns links that join what is linked (a forest), never all its pairs.
 4. The components of the links are the groups.
 
-Large groups of texts that all differ cost (shingles / GROUP)^2 / 2 tasks; nothing is left out.
+Large groups of texts that all differ cost (blocks)^2 / 2 tasks; nothing is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ SLOTS = 160
 MISS = 0.002
 #: shingles of one block of a candidate component
 GROUP = 400_000
+#: entries of inverted lists that a pair of blocks reads at most, twice this number
+WORK = 100_000_000
 
 _STEP, _SALT = 0x9E3779B97F4A7C15, np.uint64(0xA24BAED4963EE407)
 
@@ -190,13 +192,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ones = some.join(classes.select(F.col("class").alias("row")), "row", "left_semi")
     spread = ones.select(F.col("row").alias("class"), F.explode("bands").alias("band"))
     heads = spread.groupBy("band").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "head")
-    ties = spread.join(heads, "band").where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
+    # a class is tied once, to its least head, and its other heads to that one; heads repeat, so few such ties are left
+    own = spread.join(heads, "band").groupBy("class").agg(F.min("head").alias("low"), F.collect_set("head").alias("heads"))
+    own = stage_table(own, "heads")
+    others = own.select(F.explode("heads").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    ties = own.select(F.col("class").alias("a"), F.col("low").alias("b")).where("a <> b").union(others)
     candidates = components(ties).select(F.col("node").alias("class"), F.col("root").alias("comp"))
 
     # the sets of candidate classes only, made again from their texts
     facts = ones.select(F.col("row").alias("class"), "doc_id", "h", "n_shingles")
     members = candidates.join(facts, "class")
-    sizes = members.groupBy("comp").agg(F.ceil(F.sum("n_shingles") / group).cast("int").alias("blocks"))
+    # comparing c sets of s shingles in all reads at most c s entries of inverted lists
+    work = F.sqrt(F.sum("n_shingles") * F.count(F.lit(1)).cast("double") / WORK)
+    sizes = members.groupBy("comp").agg(F.ceil(F.greatest(F.sum("n_shingles") / group, work)).cast("int").alias("blocks"))
     members = members.join(sizes, "comp").select("class", "comp", "blocks", F.col("doc_id").alias("id"), F.col("h").alias("hh"))
     match = whole["doc_id"].eqNullSafe(members["id"]) & (whole["h"] == members["hh"])
     found = whole.join(members, match).select("class", "comp", "blocks", "text")
