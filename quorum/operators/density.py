@@ -1,66 +1,38 @@
-"""Density clustering model on Spark.
-
-Fit:
-1. core distances (I1) — exact kNN self-join (``quorum.operators.knn``);
-2. items — when the table has at most ``max_items`` rows every row is an item
-   (exact HDBSCAN*); otherwise rows are summarised into ``max_items`` data
-   bubbles: seeded representatives, every row assigned to its nearest seed
-   (broadcast of a bounded seed table), then (count, linear sum, square sum,
-   smallest row index) aggregated per bubble with map-side partial aggregation;
-3. the item table (bounded) goes to one grouped-map task that builds the
-   mutual-reachability MST, the condensed tree and the EOM selection
-   (``quorum.operators.hierarchy``);
-4. per-row labels, membership probabilities and GLOSH scores are a broadcast
-   join of the (bounded) item results back onto the rows.
-
-Cluster ids are renumbered 0..k-1 by the smallest member row_index, so they
-do not depend on partitioning or tree node numbering.
-
-Scoring new rows (I9-I11) is one ``mapInPandas`` pass against the broadcast
-model (items, tree links, lambdas — all bounded by ``max_items``): nearest
-items by mutual reachability, climb to the first ancestor born no later than
-the row's lambda, then the selected ancestor gives the cluster; strength and
-GLOSH follow the library definitions.  No shuffle.
+"""Density clustering (HDBSCAN*) as Spark jobs (I1-I11), one fit or many at once.
+
+Fit: exact k-NN lists give core distances; ``spanning`` joins components by their lightest edges of
+mutual reachability; ``condensing`` makes the condensed tree from the sorted tree edges; selection,
+labels, membership and outlier scores are joins on the table of condensed clusters.  There is one
+path for every size: nothing passes through one group or the driver.
+
+Cluster ids are numbered 0..k-1 by their smallest row, so they don't depend on partitioning.
+
+Scoring new rows (I9-I11) finds the training row of the smallest mutual reachability among the
+2 x min_samples nearest, climbs to the first condensed cluster born no later than the row's lambda,
+and takes the selected cluster above it.  A model within a checked size is broadcast and one pass
+over the rows scores them; beyond it the same steps are joins.
 """
 
 from __future__ import annotations
 
 import json
-import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorum.operators.hierarchy import bubble_core, fit_items, item_scores
-from quorum.operators.knn import _mat, knn
-
-DEFAULT_MAX_ITEMS = 5000
-
-ITEM_SCHEMA = T.StructType([
-    T.StructField("item", T.LongType()),
-    T.StructField("rep", T.ArrayType(T.DoubleType())),
-    T.StructField("weight", T.DoubleType()),
-    T.StructField("extent", T.DoubleType()),
-    T.StructField("nn1", T.DoubleType()),
-    T.StructField("core", T.DoubleType()),
-    T.StructField("min_row", T.LongType()),
-])
-
-RESULT_SCHEMA = T.StructType([
-    T.StructField("kind", T.StringType()),       # 'item' or 'tree'
-    T.StructField("a", T.LongType()),             # item id | parent node
-    T.StructField("b", T.LongType()),             # condensed node of item | child
-    T.StructField("lam", T.DoubleType()),
-    T.StructField("size", T.DoubleType()),
-    T.StructField("cluster_node", T.LongType()),
-    T.StructField("prob", T.DoubleType()),
-    T.StructField("glosh", T.DoubleType()),
-    T.StructField("core", T.DoubleType()),
-])
+from quorum.operators.condensing import condense, select
+from quorum.operators.knn import _mat, knn, topk_block
+from quorum.operators.nearest import row_bytes
+from quorum.operators.spanning import spanning_tree, with_core
+from quorum.session import stored
+
+#: a model is broadcast up to so many bytes
+BROADCAST_BYTES = 256 << 20
+METHODS = ("eom", "leaf")
 
 
 def core_distances(pts: DataFrame, min_samples: int, vec: str = "features", **kw) -> DataFrame:
@@ -79,290 +51,204 @@ def mutual_reachability_edges(pts: DataFrame, min_samples: int, vec: str = "feat
                     F.greatest("distance", "core_distance", "nbr_core").alias("mreach"))
 
 
-def _tree_task(mcs: float, ms: int, method: str, allow_single: bool, exact: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item").reset_index(drop=True)
-        rep = _mat(pdf["rep"])
-        w = pdf["weight"].to_numpy(float)
-        ext = pdf["extent"].to_numpy(float)
-        nn1 = pdf["nn1"].to_numpy(float)
-        core = pdf["core"].to_numpy(float) if exact else bubble_core(rep, w, ext, nn1, ms)
-        tree, sel = fit_items(rep, w, ext, nn1, core, mcs, method=method, allow_single_cluster=allow_single)
-        prob, glosh = item_scores(sel)
-        ids = pdf["item"].to_numpy(np.int64)
-        n = len(ids)
-        items = pd.DataFrame({"kind": "item", "a": ids, "b": sel.item_node, "lam": sel.item_lambda, "size": w,
-                              "cluster_node": sel.item_cluster_node, "prob": prob, "glosh": glosh, "core": core})
-        child = tree.child.astype(np.int64)
-        mapped_child = np.where(child < n, ids[np.minimum(child, n - 1)], child)
-        tr = pd.DataFrame({"kind": "tree", "a": tree.parent.astype(np.int64), "b": mapped_child, "lam": tree.lam,
-                           "size": tree.child_size, "cluster_node": np.where(child >= n, 1, 0).astype(np.int64),
-                           "prob": np.nan, "glosh": np.nan, "core": np.nan})
-        meta = pd.DataFrame({"kind": ["selected"] * len(sel.selected), "a": np.array(sel.selected, dtype=np.int64),
-                             "b": 0, "lam": [sel.deaths_direct[c] for c in sel.selected], "size": np.nan,
-                             "cluster_node": -1, "prob": np.nan, "glosh": np.nan, "core": np.nan})
-        dsub = pd.DataFrame({"kind": "deaths", "a": np.array(list(sel.deaths_subtree), dtype=np.int64), "b": 0,
-                             "lam": list(sel.deaths_subtree.values()), "size": np.nan, "cluster_node": -1,
-                             "prob": np.nan, "glosh": np.nan, "core": np.nan})
-        return pd.concat([items, tr, meta, dsub], ignore_index=True)
-
-    return run
+def fit_groups(rows: DataFrame, min_cluster_size: int, min_samples: int, method: str = "eom", *, allow_single_cluster: bool = False,
+               ) -> tuple[DataFrame, DataFrame]:
+    """Fit every group of rows (grp, id, vec) by itself, in the same jobs:
+
+    items (grp, id, vec, core, node, lam, cluster_id, prob, glosh), one per row, and
+    nodes (grp, node, parent, birth, direct, below, root, top, cluster_id), one per condensed cluster;
+    a node's ``cluster_id`` is that of ``top``, -1 if nothing above it is selected.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown selection method {method!r}, known are {METHODS}")
+    rows = stored(rows.select("grp", "id", "vec"), "rows")
+    pts, edges = with_core(rows, max(1, min_samples))
+    tree = stored(spanning_tree(pts, edges), "tree")
+    falls, nodes = condense(tree, rows, min_cluster_size, method=method)
+    nodes = stored(select(nodes, allow_single_cluster=allow_single_cluster), "nodes")
+    falls = stored(falls, "falls")
+    placed = falls.join(nodes.select("grp", "node", "top", "below"), ["grp", "node"])
+    # one row per selected cluster in the window
+    least = placed.where("top IS NOT NULL").groupBy("grp", "top").agg(F.min("id").alias("least"))
+    ids = stored(least.select("grp", "top", (F.row_number().over(Window.partitionBy("grp").orderBy("least")) - 1).alias("cluster_id")), "ids")
+    tops = nodes.select("grp", F.col("node").alias("top"), F.col("direct").alias("top_direct"))
+    inf = float("inf")
+    lam, direct, below = F.col("lam"), F.col("top_direct"), F.col("below")
+    inside = F.when((direct == 0) | (lam == inf), 1.0).otherwise(F.least(lam, direct) / direct)
+    outlying = F.when((below == 0) | (lam == inf) | (below == inf), 0.0).otherwise((below - lam) / below)
+    items = placed.join(ids, ["grp", "top"], "left").join(tops, ["grp", "top"], "left").join(pts.drop("bound"), ["grp", "id"])
+    items = items.select("grp", "id", "vec", "core", "node", "lam", F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id"),
+                         F.when(F.col("top").isNull(), 0.0).otherwise(inside).alias("prob"), outlying.alias("glosh"))
+    nodes = nodes.join(ids, ["grp", "top"], "left").select(
+        "grp", "node", "parent", "birth", "direct", "below", "root", "top", F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id"))
+    return stored(items, "items"), stored(nodes, "clusters")
+
+
+def labels_of(items: DataFrame) -> DataFrame:
+    """(grp, row_index, cluster_id, probability, outlier_score) of the training rows."""
+    return items.select("grp", F.col("id").alias("row_index"), "cluster_id", F.col("prob").alias("probability"),
+                        F.least(F.lit(1.0), F.greatest(F.lit(0.0), "glosh")).alias("outlier_score"))
 
 
 @dataclass
 class DensityModel:
-    """HDBSCAN*-style model with a bounded hierarchy."""
+    """One fitted table: a clusterer of the kind that ``plans.train`` takes (fit, labels, score, n_clusters)."""
 
     min_cluster_size: int = 10
     min_samples: int = 5
     cluster_selection_method: str = "eom"
     allow_single_cluster: bool = False
-    max_items: int = DEFAULT_MAX_ITEMS
-    seed: int = 42
-    # fitted state (all bounded by max_items)
-    exact: bool = True
-    items: pd.DataFrame | None = None        # item, rep, weight, core, node, lam, cluster_node, prob, glosh, min_row
-    tree: pd.DataFrame | None = None         # parent, child, lam, size, is_cluster
-    selected: dict[int, int] = field(default_factory=dict)      # node -> cluster id
-    deaths_direct: dict[int, float] = field(default_factory=dict)
-    deaths_subtree: dict[int, float] = field(default_factory=dict)
-    labels: DataFrame | None = None          # training rows: row_index, cluster_id, probability, outlier_score
-
-    # ------------------------------------------------------------------ fit
+    items: DataFrame | None = None
+    nodes: DataFrame | None = None
+
     def fit(self, df: DataFrame, vec: str = "features") -> DensityModel:
-        spark = df.sparkSession
-        pts = df.select(F.col("row_index").cast("long"), F.col(vec).alias("features"))
-        n = pts.count()
-        if n == 0:
+        rows = df.select(F.lit(0).cast("long").alias("grp"), F.col("row_index").cast("long").alias("id"), F.col(vec).alias("vec"))
+        if rows.isEmpty():
             raise ValueError("cannot fit on an empty table")
-        ms = max(1, min(self.min_samples, n - 1))
-        self.exact = n <= self.max_items
-        if self.exact:
-            core = core_distances(pts, ms, strategy="broadcast") if n > 1 else pts.select("row_index", F.lit(0.0).alias("core_distance"))
-            items_df = pts.join(core, "row_index", "left").select(
-                F.col("row_index").alias("item"), F.col("features").alias("rep"), F.lit(1.0).alias("weight"),
-                F.lit(0.0).alias("extent"), F.lit(0.0).alias("nn1"), F.coalesce("core_distance", F.lit(0.0)).alias("core"),
-                F.col("row_index").alias("min_row"))
-            assign = None
-        else:
-            items_df, assign = self._bubbles(pts)
-        items_df = items_df.persist()  # bounded by max_items rows; read by the tree task and the metadata fetch
-        res = (items_df.groupBy(F.lit(0).alias("__g")).applyInPandas(
-            _tree_task(float(self.min_cluster_size), ms, self.cluster_selection_method, self.allow_single_cluster, self.exact),
-            RESULT_SCHEMA)).toPandas()
-        item_meta = items_df.select("item", "rep", "weight", "extent", "nn1", "min_row").toPandas()
-        items_df.unpersist()
-        self._absorb(res, item_meta)
-        self._training_labels(pts, assign)
+        self.items, self.nodes = fit_groups(rows, self.min_cluster_size, self.min_samples, self.cluster_selection_method,
+                                            allow_single_cluster=self.allow_single_cluster)
         return self
 
-    def _bubbles(self, pts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Summarise rows into max_items bubbles; returns (items, row -> item assignment)."""
-        seeds = (pts.select("row_index", "features", F.xxhash64("row_index", F.lit(self.seed)).alias("h"))
-                 .orderBy("h", "row_index").limit(self.max_items).select("row_index", "features"))
-        nearest = knn(pts, seeds, 1, strategy="broadcast")
-        assign = nearest.select("row_index", F.col("nbr_index").alias("item"))
-        d = len(pts.select("features").head()[0])
-        x = F.col("features")
-        agg = (pts.join(assign, "row_index").groupBy("item").agg(
-            F.count(F.lit(1)).cast("double").alias("weight"),
-            F.array(*[F.sum(x[i]) for i in range(d)]).alias("ls"),
-            F.sum(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)).alias("ss"),
-            F.min("row_index").alias("min_row")))
-        ls2 = F.aggregate(F.col("ls"), F.lit(0.0), lambda s, v: s + v * v)
-        w = F.col("weight")
-        ext = F.when(w > 1, F.sqrt(F.greatest(F.lit(0.0), (2 * w * F.col("ss") - 2 * ls2) / (w * (w - 1))))).otherwise(0.0)
-        items = agg.select(
-            "item", F.transform("ls", lambda v: v / w).alias("rep"), "weight", ext.alias("extent"),
-            (F.pow(F.lit(1.0) / w, F.lit(1.0 / d)) * ext).alias("nn1"), F.lit(0.0).alias("core"), "min_row")
-        return items, assign
-
-    def _absorb(self, res: pd.DataFrame, item_meta: pd.DataFrame) -> None:
-        it = res[res.kind == "item"].rename(columns={"a": "item", "b": "node"})
-        it = it.merge(item_meta, on="item")
-        sel = res[res.kind == "selected"]
-        # canonical cluster ids: order selected nodes by their smallest member row
-        mins = it[it.cluster_node >= 0].groupby("cluster_node")["min_row"].min().sort_values()
-        self.selected = {int(node): i for i, node in enumerate(mins.index)}
-        self.deaths_direct = {int(a): float(l) for a, l in zip(sel.a, sel.lam)}
-        dsub = res[res.kind == "deaths"]
-        self.deaths_subtree = {int(a): float(l) for a, l in zip(dsub.a, dsub.lam)}
-        tr = res[res.kind == "tree"]
-        self.tree = pd.DataFrame({"parent": tr.a.astype(np.int64), "child": tr.b.astype(np.int64), "lam": tr.lam,
-                                  "size": tr["size"], "is_cluster": tr.cluster_node.astype(bool)}).reset_index(drop=True)
-        it["cluster_id"] = it["cluster_node"].map(lambda c: self.selected.get(int(c), -1)).astype(np.int64)
-        self.items = it[["item", "rep", "weight", "extent", "nn1", "core", "node", "lam", "cluster_node",
-                         "cluster_id", "prob", "glosh", "min_row"]].sort_values("item").reset_index(drop=True)
-
-    def _training_labels(self, pts: DataFrame, assign: DataFrame | None) -> None:
-        spark = pts.sparkSession
-        it = self.items
-        small = spark.createDataFrame(pd.DataFrame({
-            "item": it["item"].astype(np.int64), "cluster_id": it["cluster_id"].astype(np.int32),
-            "probability": it["prob"].astype(float), "outlier_score": np.clip(it["glosh"].astype(float), 0, 1)}))
-        if assign is None:
-            rows = pts.select("row_index").join(F.broadcast(small), F.col("row_index") == F.col("item")).drop("item")
-        else:
-            rows = assign.join(F.broadcast(small), "item").drop("item")
-        self.labels = rows.select("row_index", F.col("cluster_id").cast("int"), "probability", "outlier_score")
-
-    # ------------------------------------------------------------------ accessors
+    @property
+    def labels(self) -> DataFrame:
+        """(row_index, cluster_id, probability, outlier_score) of the training rows."""
+        return labels_of(self.items).drop("grp")
+
     @property
     def n_clusters(self) -> int:
-        return len(self.selected)
-
-    def condensed_tree(self, spark) -> DataFrame:
-        return spark.createDataFrame(self.tree)
-
-    # ------------------------------------------------------------------ scoring
-    def _state(self) -> dict:
-        it = self.items
-        tr = self.tree
-        clusters = tr[tr.is_cluster]
-        return {
-            "rep": _mat(it["rep"]), "core": it["core"].to_numpy(float), "ext": it["extent"].to_numpy(float),
-            "nn1": it["nn1"].to_numpy(float), "node": it["node"].to_numpy(np.int64), "lam": it["lam"].to_numpy(float),
-            "cparent": dict(zip(clusters.child.astype(int), clusters.parent.astype(int))),
-            "cbirth": dict(zip(clusters.child.astype(int), clusters.lam.astype(float))),
-            "root": int(tr.parent.min()) if len(tr) else 0,
-            "selected": dict(self.selected), "ddirect": dict(self.deaths_direct), "dsub": dict(self.deaths_subtree),
-            "ms": max(1, min(self.min_samples, len(it) - 1)),
-        }
-
-    def score(self, df: DataFrame, vec: str = "features") -> DataFrame:
-        """(…input columns…, cluster_id, strength, novelty) in one pass; noise/NaN novelty -> 1.0, clipped."""
-        bc = df.sparkSession.sparkContext.broadcast(self._state())
-        out_schema = T.StructType(df.schema.fields + [T.StructField("cluster_id", T.IntegerType()),
-                                                      T.StructField("strength", T.DoubleType()),
-                                                      T.StructField("novelty", T.DoubleType())])
-
-        def run(it):
-            st = bc.value
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                cid, strength, nov = score_points(_mat(pdf[vec]), st)
-                pdf = pdf.copy()
-                pdf["cluster_id"] = cid.astype("int32")
-                pdf["strength"] = strength
-                pdf["novelty"] = nov
-                yield pdf
-
-        return df.mapInPandas(run, out_schema)
-
-
-def _node_arrays(st: dict) -> dict:
-    """Dense per-node arrays (node ids are 0..2*items) for vectorised climbing."""
-    if "_arr" in st:
-        return st["_arr"]
-    nodes = set(st["cparent"]) | set(st["cparent"].values()) | set(st["selected"]) | set(st["dsub"]) | {st["root"]}
-    size = (max(nodes) + 1) if nodes else 1
-    parent = np.arange(size)
-    birth = np.full(size, -np.inf)
-    for c, p in st["cparent"].items():
-        parent[c] = p
-        birth[c] = st["cbirth"][c]
-    dsub = np.zeros(size)
-    for c, v in st["dsub"].items():
-        dsub[c] = v
-    ddir = np.zeros(size)
-    for c, v in st["ddirect"].items():
-        ddir[c] = v
-    # first selected ancestor (or self) of every node, -1 when none
-    sel_anc = np.full(size, -1)
-    for c in sorted(nodes):
-        if c in st["selected"]:
-            sel_anc[c] = c
-        elif c in st["cparent"]:
-            sel_anc[c] = sel_anc[st["cparent"][c]]
-    cluster_of = np.full(size, -1)
-    for c, cid in st["selected"].items():
-        cluster_of[c] = cid
-    st["_arr"] = {"parent": parent, "birth": birth, "dsub": dsub, "ddir": ddir, "sel_anc": sel_anc, "cluster_of": cluster_of}
-    return st["_arr"]
+        return self.nodes.where("cluster_id >= 0").select("cluster_id").distinct().count()
+
+    def score(self, df: DataFrame, vec: str = "features", **kw) -> DataFrame:
+        """The input's columns, cluster_id, strength, novelty; noise has novelty 1."""
+        grouped = df.withColumn("grp", F.lit(0).cast("long"))
+        return score_groups(grouped, self.items, self.nodes, self.min_samples, vec, **kw).drop("grp")
+
+
+# ------------------------------------------------------------------ scoring
+
+def score_groups(df: DataFrame, items: DataFrame, nodes: DataFrame, min_samples: int, vec: str = "features", *,
+                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (grp, row_index, vec, ...) with cluster_id, strength and novelty by the model of its group."""
+    found = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("w")).head()
+    if found["n"] * row_bytes(6 + (found["w"] or 0)) <= broadcast_bytes:
+        return _score_broadcast(df, items, nodes, min_samples, vec)
+    return _score_joined(df, items, nodes, min_samples, vec)
+
+
+def _states(items: DataFrame, nodes: DataFrame, min_samples: int) -> dict[int, dict]:
+    by_node = {int(g): pdf.sort_values("node") for g, pdf in nodes.toPandas().groupby("grp")}
+    states = {}
+    for g, pdf in items.select("grp", "id", "vec", "core", "node", "lam").toPandas().groupby("grp"):
+        own, pdf = by_node[int(g)], pdf.sort_values("id")
+        node = own["node"].to_numpy(np.int64)
+        place = lambda v, node=node: np.searchsorted(node, v)
+        root = own["root"].to_numpy(bool)
+        top = own["top"].fillna(-1).to_numpy(np.int64)
+        states[int(g)] = {
+            "vec": _mat(pdf["vec"]), "id": pdf["id"].to_numpy(np.int64), "core": pdf["core"].to_numpy(float), "lam": pdf["lam"].to_numpy(float),
+            "node": place(pdf["node"].to_numpy(np.int64)), "ms": max(1, min(min_samples, len(pdf) - 1)), "root": root,
+            "parent": np.where(root, np.arange(len(node)), place(own["parent"].to_numpy(np.int64))),
+            "birth": own["birth"].to_numpy(float), "below": own["below"].to_numpy(float), "cluster": own["cluster_id"].to_numpy(np.int64),
+            "direct": np.where(top >= 0, own["direct"].to_numpy(float)[np.minimum(place(top), len(node) - 1)], 0.0)}
+    return states
+
+
+def _score_broadcast(df: DataFrame, items: DataFrame, nodes: DataFrame, min_samples: int, vec: str) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(_states(items, nodes, min_samples))
+    schema = T.StructType([*df.schema.fields, T.StructField("cluster_id", T.IntegerType()), T.StructField("strength", T.DoubleType()),
+                           T.StructField("novelty", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            for g, pdf in batch.groupby("grp"):
+                cluster, strength, novelty = score_points(_mat(pdf[vec]), shared.value[int(g)])
+                yield pdf.assign(cluster_id=cluster.astype("int32"), strength=strength, novelty=novelty)
+
+    return df.mapInPandas(run, schema)
+
+
+def _share(value, least) -> np.ndarray:
+    """(value - least) / value where that is a number, else 0."""
+    good = (value > 0) & np.isfinite(value)
+    return np.where(good, (value - least) / np.where(good, value, 1.0), 0.0)
 
 
 def score_points(x: np.ndarray, st: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Approximate prediction against the bounded model state, vectorised per batch."""
-    rep, core, ext, nn1 = st["rep"], st["core"], st["ext"], st["nn1"]
-    ms = st["ms"]
-    arr = _node_arrays(st)
-    root = st["root"]
-    n_items = rep.shape[0]
-    k = min(2 * ms, n_items)
-    rn = np.einsum("ij,ij->i", rep, rep)
-    out_c = np.full(len(x), -1, dtype=np.int64)
-    out_s = np.zeros(len(x))
-    out_n = np.ones(len(x))
-    for s in range(0, len(x), 1024):
-        xb = x[s:s + 1024]
-        b = len(xb)
-        d2 = np.einsum("ij,ij->i", xb, xb)[:, None] + rn[None, :] - 2.0 * (xb @ rep.T)
-        if k < n_items:
-            cand = np.argpartition(d2, k - 1, axis=1)[:, :k]
-        else:
-            cand = np.broadcast_to(np.arange(n_items), (b, n_items))
-        dist = np.sqrt(((xb[:, None, :] - rep[cand]) ** 2).sum(-1))
-        # data bubbles: distance to a bubble is reduced by its extent (never below its nn distance)
-        e, q = ext[cand], nn1[cand]
-        dist = np.where(e > 0, np.maximum(dist - e + q, q), dist)
-        order = np.argsort(dist, axis=1, kind="stable")
-        dist = np.take_along_axis(dist, order, 1)
-        cand = np.take_along_axis(cand, order, 1)
-        own_core = dist[:, min(ms, k - 1)]
-        mr = np.maximum(np.maximum(core[cand], own_core[:, None]), dist)
-        j = np.argmin(mr, axis=1)
-        best = mr[np.arange(b), j]
-        lam = np.where(best > 0, 1.0 / np.where(best > 0, best, 1.0), np.finfo(float).max)
-        nn = cand[np.arange(b), j]
-        node = st["node"][nn].astype(np.int64)
-        climb = st["lam"][nn] > lam
-        for _ in range(len(arr["parent"])):
-            step = climb & (node != root) & (arr["birth"][node] >= lam)
-            if not step.any():
-                break
-            node = np.where(step, arr["parent"][node], node)
-        mx_sub = arr["dsub"][node]
-        ok = (mx_sub > 0) & np.isfinite(mx_sub)
-        nov = np.where(ok, (mx_sub - lam) / np.where(ok, mx_sub, 1.0), 0.0)
-        sel = arr["sel_anc"][node]
-        has = sel >= 0
-        cid = np.where(has, arr["cluster_of"][np.maximum(sel, 0)], -1)
-        mx = arr["ddir"][np.maximum(sel, 0)]
-        good = has & (mx > 0) & np.isfinite(mx)
-        strength = np.where(good, np.minimum(lam, np.where(good, mx, 1.0)) / np.where(good, mx, 1.0), np.where(has, 1.0, 0.0))
-        nov = np.where(has, nov, 1.0)
-        nov = np.where(np.isnan(nov), 1.0, nov)
-        out_c[s:s + b] = cid
-        out_s[s:s + b] = strength
-        out_n[s:s + b] = np.clip(nov, 0.0, 1.0)
-    return out_c, out_s, out_n
-
-
-def model_tables(model: DensityModel, spark) -> dict[str, DataFrame]:
-    """Parameter tables for persistence (all bounded by max_items)."""
-    it = model.items.copy()
-    it["rep"] = it["rep"].map(lambda a: [float(v) for v in a])
-    params = {k: getattr(model, k) for k in ("min_cluster_size", "min_samples", "cluster_selection_method",
-                                              "allow_single_cluster", "max_items", "seed", "exact")}
-    meta = pd.DataFrame({"key": ["params", "selected", "deaths_direct", "deaths_subtree"],
-                         "value": [json.dumps(params), json.dumps({str(k): v for k, v in model.selected.items()}),
-                                   json.dumps({str(k): v for k, v in model.deaths_direct.items()}),
-                                   json.dumps({str(k): (v if math.isfinite(v) else None) for k, v in model.deaths_subtree.items()})]})
-    return {"density_items": spark.createDataFrame(it), "density_tree": spark.createDataFrame(model.tree),
-            "density_meta": spark.createDataFrame(meta)}
-
-
-def model_from_tables(items: pd.DataFrame, tree: pd.DataFrame, meta: pd.DataFrame) -> DensityModel:
-    kv = dict(zip(meta["key"], meta["value"]))
-    params = json.loads(kv["params"])
-    m = DensityModel(**{k: v for k, v in params.items() if k != "exact"})
-    m.exact = params["exact"]
-    items = items.copy()
-    items["rep"] = items["rep"].map(lambda a: np.asarray(a, dtype=float))
-    m.items = items.sort_values("item").reset_index(drop=True)
-    m.tree = tree
-    m.selected = {int(k): int(v) for k, v in json.loads(kv["selected"]).items()}
-    m.deaths_direct = {int(k): float(v) for k, v in json.loads(kv["deaths_direct"]).items()}
-    m.deaths_subtree = {int(k): (float(v) if v is not None else float("inf")) for k, v in json.loads(kv["deaths_subtree"]).items()}
-    return m
+    """(cluster, strength, novelty) of each row of x by the state of one model."""
+    n, ms = len(st["vec"]), st["ms"]
+    k = min(2 * ms, n)
+    # no row of x is a training row here: equal points are neighbours like any others
+    _, near, dist = topk_block(x, np.full(len(x), -1), st["vec"], st["id"], k, False)
+    near, dist = near.reshape(len(x), k), dist.reshape(len(x), k)
+    reach = np.maximum(np.maximum(st["core"][near], dist[:, min(ms, k - 1)][:, None]), dist)
+    j = reach.argmin(axis=1)
+    best = reach[np.arange(len(x)), j]
+    lam = np.where(best > 0, 1.0 / np.where(best > 0, best, 1.0), np.finfo(float).max)
+    item = near[np.arange(len(x)), j]
+    node, climbs = st["node"][item], st["lam"][item] > lam
+    while True:
+        up = climbs & ~st["root"][node] & (st["birth"][node] >= lam)
+        if not up.any():
+            break
+        node = np.where(up, st["parent"][node], node)
+    cluster, direct = st["cluster"][node], st["direct"][node]
+    inside = cluster >= 0
+    good = inside & (direct > 0) & np.isfinite(direct)
+    strength = np.where(good, np.minimum(lam, direct) / np.where(good, direct, 1.0), inside.astype(float))
+    novelty = np.where(inside, _share(st["below"][node], lam), 1.0)
+    return cluster, strength, np.clip(novelty, 0.0, 1.0)
+
+
+def _score_joined(df: DataFrame, items: DataFrame, nodes: DataFrame, min_samples: int, vec: str) -> DataFrame:
+    """As the broadcast way by joins: nearest training rows, then one join for each level climbed."""
+    parts = []
+    for g in [r["grp"] for r in items.select("grp").distinct().collect()]:  # groups are fits, a parameter
+        own = items.where(F.col("grp") == g)
+        n = own.count()
+        ms = max(1, min(min_samples, n - 1))
+        k = min(2 * ms, n)
+        refs = own.select(F.col("id").alias("row_index"), "vec", "core", "node", "lam")
+        mine = df.where(F.col("grp") == g).select("row_index", F.col(vec).alias("vec"))
+        near = knn(mine, refs, k, qvec="vec", rvec="vec", payload=["core", "node", "lam"])
+        lists = near.groupBy("row_index").agg(F.max(F.when(F.col("rank") == min(ms, k - 1) + 1, F.col("distance"))).alias("own"),
+                                              F.collect_list(F.struct("rank", "distance", "core", "node", "lam")).alias("near"))
+        reach = F.transform("near", lambda s: F.struct(F.greatest("own", s["core"], s["distance"]).alias("w"), s["rank"].alias("rank"),
+                                                       s["node"].alias("node"), s["lam"].alias("lam")))
+        parts.append(lists.select(F.lit(g).alias("grp"), "row_index", F.array_min(reach).alias("best")))
+    best = parts[0]
+    for p in parts[1:]:
+        best = best.unionByName(p)
+    lam = F.when(F.col("best.w") > 0, 1 / F.col("best.w")).otherwise(F.lit(float(np.finfo(float).max)))
+    at = best.select("grp", "row_index", F.col("best.node").alias("node"), lam.alias("lam"), (F.col("best.lam") > lam).alias("climbs"))
+    ups = nodes.select("grp", "node", "parent", "birth", "root")
+    level = 0
+    while True:
+        up = F.col("climbs") & ~F.col("root") & (F.col("birth") >= F.col("lam"))
+        at = at.join(ups, ["grp", "node"]).select("grp", "row_index", "lam", F.when(up, F.col("parent")).otherwise(F.col("node")).alias("node"), up.alias("climbs"))
+        at = stored(at, f"climb-{level}")
+        level += 1
+        if at.where("climbs").isEmpty():
+            break
+    tops = nodes.select("grp", F.col("node").alias("top"), F.col("direct").alias("top_direct"))
+    ends = at.join(nodes.select("grp", "node", "below", "top", "cluster_id"), ["grp", "node"]).join(tops, ["grp", "top"], "left")
+    inf = float("inf")
+    inside, direct, below = F.col("cluster_id") >= 0, F.col("top_direct"), F.col("below")
+    strength = F.when(~inside, 0.0).when((direct > 0) & (direct < inf), F.least("lam", direct) / direct).otherwise(1.0)
+    novelty = F.when(~inside, 1.0).when((below > 0) & (below < inf), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (below - F.col("lam")) / below))).otherwise(0.0)
+    scores = ends.select("grp", "row_index", "cluster_id", strength.alias("strength"), novelty.alias("novelty"))
+    return df.join(scores, ["grp", "row_index"]).select(*df.columns, "cluster_id", "strength", "novelty")
+
+
+# ------------------------------------------------------------------ tables of a model
+
+_PARAMS = ("min_cluster_size", "min_samples", "cluster_selection_method", "allow_single_cluster")
+
+
+def model_tables(model: DensityModel) -> dict[str, DataFrame]:
+    spark = model.items.sparkSession
+    params = json.dumps({k: getattr(model, k) for k in _PARAMS})
+    return {"density_items": model.items, "density_nodes": model.nodes, "density_params": spark.createDataFrame([(params,)], "value string")}
+
+
+def model_from_tables(items: DataFrame, nodes: DataFrame, params: DataFrame) -> DensityModel:
+    return DensityModel(**json.loads(params.head()["value"]), items=items, nodes=nodes)

@@ -51,7 +51,6 @@ class TrainConfig:
     n_bootstrap: int = 30
     bootstrap_frac: float = 0.8
     seed: int = 42
-    max_items: int = 5000
     model_version: str = "0.1.0"
     concurrent_fits: int = 1  # >1 submits folds / bootstrap refits as concurrent Spark jobs
 
@@ -131,8 +130,7 @@ def fit_pipeline(df: DataFrame, cfg: TrainConfig, *, col: str = "sensors") -> tu
     # short lineage (scan + projection): persisting is enough, a lost block is recomputed
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
     model = DensityModel(min_cluster_size=cfg.min_cluster_size, min_samples=cfg.min_samples,
-                         cluster_selection_method=cfg.cluster_selection_method, max_items=cfg.max_items,
-                         seed=cfg.seed).fit(feats)
+                         cluster_selection_method=cfg.cluster_selection_method).fit(feats)
     train_tbl = feats.join(model.labels, "row_index")
     lm = build_label_map(train_tbl, weighted=cfg.weighted_votes)
     refs = feats.where(F.col("label").isNotNull()).select("row_index", "features", "label")
@@ -236,8 +234,7 @@ def run_labels(feats: DataFrame, cfg: TrainConfig, *, n_runs: int | None = None,
     def one(r: int) -> DataFrame:
         sub = subsample(feats, frac=frac or cfg.bootstrap_frac, run=r, seed=cfg.seed)
         m = DensityModel(min_cluster_size=cfg.min_cluster_size, min_samples=cfg.min_samples,
-                         cluster_selection_method=cfg.cluster_selection_method, max_items=cfg.max_items,
-                         seed=cfg.seed).fit(sub)
+                         cluster_selection_method=cfg.cluster_selection_method).fit(sub)
         return m.labels.select(F.lit(r).alias("run"), "row_index", "cluster_id")
 
     labs = _concurrently(one, range(n_runs if n_runs is not None else cfg.n_bootstrap), cfg.concurrent_fits)

@@ -1,14 +1,6 @@
-"""Density hierarchy over a bounded set of weighted items (I3-I8 core).
+"""The hierarchy from a dense distance matrix, top down: what the distributed fit is held against.
 
-Items are either training rows (exact HDBSCAN*) or data bubbles that
-summarise many rows (Breunig et al. 2001; Santos et al. 2019).  Their number
-is bounded by the caller (``max_items``), so this code runs in one Spark task
-with memory O(items * width) — it never sees the raw table.
-
-Definitions follow Campello, Moulavi, Zimek, Sander (TKDD 2015) and McInnes &
-Healy (2017): mutual reachability max(core_a, core_b, d(a, b)); minimum
-spanning tree; single-linkage hierarchy; condensation by min_cluster_size
-(weighted by item size); excess-of-mass selection without the root; GLOSH.
+Definitions follow Campello, Moulavi, Zimek, Sander (TKDD 2015) and McInnes & Healy (2017).
 """
 
 from __future__ import annotations
@@ -18,54 +10,30 @@ from dataclasses import dataclass
 import numpy as np
 
 
-def bubble_distance(rep: np.ndarray, ext: np.ndarray, nn1: np.ndarray, i: int) -> np.ndarray:
-    """Distance of item i to all items (plain Euclidean for singleton items)."""
-    d = np.sqrt(((rep - rep[i]) ** 2).sum(axis=1))
-    gap = d - (ext + ext[i])
-    out = np.where(gap >= 0, gap + nn1 + nn1[i], np.maximum(nn1, nn1[i]))
-    single = (ext == 0) & (ext[i] == 0)
-    return np.where(single, d, out)
+def mutual_reachability(x, min_samples):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, min(min_samples, len(x) - 1)]
+    return np.maximum(np.maximum(d, core[:, None]), core[None]), core
 
 
-def bubble_core(rep: np.ndarray, weight: np.ndarray, ext: np.ndarray, nn1: np.ndarray, min_samples: int) -> np.ndarray:
-    """Core distance of each bubble: distance to its min_samples-th other point."""
-    n, dim = rep.shape
-    core = np.zeros(n)
-    for i in range(n):
-        own = weight[i] - 1
-        if own >= min_samples and weight[i] > 0:
-            core[i] = (min_samples / weight[i]) ** (1.0 / dim) * ext[i]
-            continue
-        d = bubble_distance(rep, ext, nn1, i)
-        d[i] = np.inf
-        order = np.argsort(d, kind="stable")
-        cum = own + np.cumsum(weight[order])
-        j = min(int(np.searchsorted(cum, min_samples)), n - 1)
-        core[i] = d[order[j]] if n > 1 else 0.0
-    return core
+def kruskal(reach):
+    """Tree edges (lo, hi, w) in the order of (w, lo, hi)."""
+    n = len(reach)
+    lo, hi = np.triu_indices(n, 1)
+    order = np.lexsort((hi, lo, reach[lo, hi]))
+    comp, out = list(range(n)), []
 
+    def find(v):
+        while comp[v] != v:
+            v = comp[v]
+        return v
 
-def prim_mst(rep: np.ndarray, core: np.ndarray, ext: np.ndarray, nn1: np.ndarray) -> np.ndarray:
-    """MST of the mutual-reachability graph: rows (a, b, weight), O(n^2) time, O(n) memory."""
-    n = rep.shape[0]
-    in_tree = np.zeros(n, dtype=bool)
-    best = np.full(n, np.inf)
-    src = np.zeros(n, dtype=np.int64)
-    edges = np.zeros((max(n - 1, 0), 3))
-    cur = 0
-    in_tree[0] = True
-    for e in range(n - 1):
-        d = bubble_distance(rep, ext, nn1, cur)
-        mr = np.maximum(np.maximum(d, core), core[cur])
-        upd = (~in_tree) & (mr < best)
-        best[upd] = mr[upd]
-        src[upd] = cur
-        cand = np.where(in_tree, np.inf, best)
-        nxt = int(np.argmin(cand))
-        edges[e] = (src[nxt], nxt, best[nxt])
-        in_tree[nxt] = True
-        cur = nxt
-    return edges
+    for e in order:
+        a, b = find(lo[e]), find(hi[e])
+        if a != b:
+            comp[max(a, b)] = min(a, b)
+            out.append((lo[e], hi[e], reach[lo[e], hi[e]]))
+    return np.array(out, float).reshape(-1, 3)
 
 
 def single_linkage(edges: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -253,10 +221,15 @@ def item_scores(sel: Selection) -> tuple[np.ndarray, np.ndarray]:
     return prob, glosh
 
 
-def fit_items(rep: np.ndarray, weight: np.ndarray, ext: np.ndarray, nn1: np.ndarray, core: np.ndarray,
-              min_cluster_size: float, *, method: str = "eom", allow_single_cluster: bool = False
-              ) -> tuple[CondensedTree, Selection]:
-    edges = prim_mst(rep, core, ext, nn1)
-    hier = single_linkage(edges, weight)
-    tree = condense(hier, weight, min_cluster_size)
-    return tree, select_eom(tree, allow_single_cluster=allow_single_cluster, method=method)
+def fit(x, mcs, ms, method="eom", allow_single_cluster=False):
+    """(cluster of each row numbered by smallest row, membership, outlier score)."""
+    reach, _ = mutual_reachability(x, ms)
+    weight = np.ones(len(x))
+    tree = condense(single_linkage(kruskal(reach), weight), weight, mcs)
+    sel = select_eom(tree, allow_single_cluster=allow_single_cluster, method=method)
+    prob, glosh = item_scores(sel)
+    first = {}
+    for i, c in enumerate(sel.item_cluster_node):
+        if c >= 0:
+            first.setdefault(c, len(first))
+    return np.array([first.get(c, -1) for c in sel.item_cluster_node]), prob, glosh

@@ -2,7 +2,11 @@ import numpy as np
 import pytest
 
 from quorum.operators.density import DensityModel
-from quorum.operators.hierarchy import fit_items
+from quorum.operators.condensing import condense
+from quorum.operators.density import fit_groups, score_groups
+from quorum.operators.spanning import spanning_tree, with_core
+
+import dense_hierarchy as dense
 
 
 def _two_d_blobs():
@@ -44,24 +48,71 @@ def test_scoring_far_points_and_training_agreement(spark):
     assert agree > 0.9
     assert own.strength.between(0, 1).all()
     nonnoise = own.cluster_id.to_numpy() >= 0
-    assert np.corrcoef(own.novelty.to_numpy()[nonnoise], lab.outlier_score.to_numpy()[nonnoise])[0, 1] > 0.5
+    assert np.corrcoef(own.novelty.to_numpy()[nonnoise], lab.outlier_score.to_numpy()[nonnoise])[0, 1] > 0.7
 
 
-def test_bubbles_with_one_row_each_equal_exact():
-    x = _two_d_blobs()
-    n = len(x)
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    core = np.sort(d, axis=1)[:, 5]
-    w = np.ones(n)
-    z = np.zeros(n)
-    tree, sel = fit_items(x, w, z, z, core, 10.0)
-    assert len(sel.selected) == 3
+def _points(kind):
+    rng = np.random.default_rng(5)
+    if kind == "blobs":
+        return np.vstack([rng.normal(m, s, (60, 3)) for m, s in ((0, 1), (5, 0.4), (-6, 2))] + [rng.uniform(-9, 9, (40, 3))])
+    if kind == "repeats":
+        x = rng.integers(0, 4, (80, 2)).astype(float)
+        return np.vstack([x, x[:30], rng.normal(20, 1, (30, 2))])
+    return rng.normal(0, 1, (150, 4))
 
 
-def test_bubble_mode_runs_and_finds_groups(spark):
-    x = _two_d_blobs()
-    m = DensityModel(min_cluster_size=10, min_samples=5, max_items=60).fit(_df(spark, x))
-    assert not m.exact
-    lab = m.labels.toPandas()
-    assert len(lab) == len(x)
-    assert m.n_clusters >= 2
+def _table(labels):
+    got = {r["row_index"]: (r["cluster_id"], r["probability"], r["outlier_score"]) for r in labels.collect()}
+    return tuple(np.array([got[i][c] for i in range(len(got))]) for c in range(3))
+
+
+@pytest.mark.parametrize("kind,mcs,ms,method", [("blobs", 10, 5, "eom"), ("blobs", 5, 3, "leaf"), ("noise", 5, 3, "eom"), ("noise", 8, 1, "eom")])
+def test_fit_equals_the_dense_hierarchy(spark, kind, mcs, ms, method):
+    x = _points(kind)
+    m = DensityModel(min_cluster_size=mcs, min_samples=ms, cluster_selection_method=method).fit(_df(spark, x).repartition(3))
+    cluster, prob, glosh = _table(m.labels)
+    own, own_prob, own_glosh = dense.fit(x, mcs, ms, method)
+    assert (cluster == own).all() and m.n_clusters == own.max() + 1
+    assert np.allclose(prob, own_prob) and np.allclose(glosh, np.clip(own_glosh, 0, 1))
+
+
+def test_tree_and_labels_dont_depend_on_lists_blocks_or_runs(spark):
+    """Short lists force wider searches; repeated points and a grid give many equal weights."""
+    for kind in ("blobs", "repeats"):
+        x = _points(kind)
+        rows = _df(spark, x).selectExpr("0L AS grp", "row_index AS id", "features AS vec")
+        expected = dense.kruskal(dense.mutual_reachability(x, 3)[0])
+        results = []
+        for listed, kw, run in ((12, {}, 10**6), (3, {"broadcast_bytes": 0, "block_rows": 50}, 17)):
+            pts, edges = with_core(rows, 3, listed, **kw)
+            tree = spanning_tree(pts, edges, **kw)
+            assert sorted(map(tuple, tree.select("lo", "hi", "w").collect())) == sorted((int(a), int(b), w) for a, b, w in expected)
+            items, nodes = condense(tree, rows, 6, run=run)
+            lam = {r["id"]: r["lam"] for r in items.collect()}
+            results.append((lam, sorted((r["size"], r["birth"], r["direct"], r["flag"]) for r in nodes.collect())))
+        assert results[0] == results[1] and len(results[0][0]) == len(x)
+
+
+def test_many_fits_at_once_equal_single_fits(spark):
+    fits = {1: _points("blobs"), 2: _points("noise")[:70], 3: _points("blobs")[:9], 4: _points("blobs")[:1]}
+    rows = spark.createDataFrame([(g, i, [float(a) for a in v]) for g, x in fits.items() for i, v in enumerate(x)], "grp long, id long, vec array<double>")
+    items, nodes = fit_groups(rows, 6, 3)
+    got = {(r["grp"], r["id"]): r["cluster_id"] for r in items.collect()}
+    assert len(got) == sum(map(len, fits.values()))
+    for g in (1, 2, 3):
+        assert [got[g, i] for i in range(len(fits[g]))] == dense.fit(fits[g], 6, 3)[0].tolist()
+    assert got[4, 0] == -1
+    new = spark.createDataFrame([(g, i, [float(i), 0.0, 1.0] + [0.5] * (g == 2)) for g in (1, 2, 3) for i in range(8)], "grp long, row_index long, features array<double>")
+    broadcast = score_groups(new, items, nodes, 3).select("grp", "row_index", "cluster_id", "strength", "novelty").collect()
+    joined = score_groups(new, items, nodes, 3, broadcast_bytes=0).select("grp", "row_index", "cluster_id", "strength", "novelty").collect()
+    assert sorted((*r[:3], round(r[3], 9), round(r[4], 9)) for r in broadcast) == sorted((*r[:3], round(r[3], 9), round(r[4], 9)) for r in joined)
+
+
+def test_single_cluster_and_wrong_settings(spark):
+    x = _points("noise")
+    m = DensityModel(min_cluster_size=60, min_samples=3, allow_single_cluster=True).fit(_df(spark, x))
+    assert (_table(m.labels)[0] == dense.fit(x, 60, 3, allow_single_cluster=True)[0]).all()
+    with pytest.raises(ValueError):
+        DensityModel(cluster_selection_method="other").fit(_df(spark, x))
+    with pytest.raises(ValueError):
+        DensityModel().fit(_df(spark, x).limit(0))
