@@ -16,7 +16,7 @@ over the rows scores them; beyond it the same steps are joins.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -100,6 +100,7 @@ class DensityModel:
     allow_single_cluster: bool = False
     items: DataFrame | None = None
     nodes: DataFrame | None = None
+    _shared: object = field(default=None, repr=False, compare=False)
 
     def fit(self, df: DataFrame, vec: str = "features") -> DensityModel:
         rows = df.select(F.lit(0).cast("long").alias("grp"), F.col("row_index").cast("long").alias("id"), F.col(vec).alias("vec"))
@@ -121,18 +122,32 @@ class DensityModel:
     def score(self, df: DataFrame, vec: str = "features", **kw) -> DataFrame:
         """The input's columns, cluster_id, strength, novelty; noise has novelty 1."""
         grouped = df.withColumn("grp", F.lit(0).cast("long"))
-        return score_groups(grouped, self.items, self.nodes, self.min_samples, vec, **kw).drop("grp")
+        if self._shared is None:  # made once and used by every later call
+            self._shared = shared_states(self.items, self.nodes, self.min_samples, **kw)
+        return score_groups(grouped, self.items, self.nodes, self.min_samples, vec, shared=self._shared).drop("grp")
 
 
 # ------------------------------------------------------------------ scoring
 
+#: stands for a model that is too large to broadcast
+TOO_LARGE = "too large"
+
+
+def shared_states(items: DataFrame, nodes: DataFrame, min_samples: int, broadcast_bytes: int = BROADCAST_BYTES):
+    """The models of all groups as a broadcast, or ``TOO_LARGE``."""
+    found = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("w")).head()
+    if found["n"] * row_bytes(6 + (found["w"] or 0)) > broadcast_bytes:
+        return TOO_LARGE
+    return items.sparkSession.sparkContext.broadcast(_states(items, nodes, min_samples))
+
+
 def score_groups(df: DataFrame, items: DataFrame, nodes: DataFrame, min_samples: int, vec: str = "features", *,
-                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                 broadcast_bytes: int = BROADCAST_BYTES, shared=None) -> DataFrame:
     """``df`` (grp, row_index, vec, ...) with cluster_id, strength and novelty by the model of its group."""
-    found = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("w")).head()
-    if found["n"] * row_bytes(6 + (found["w"] or 0)) <= broadcast_bytes:
-        return _score_broadcast(df, items, nodes, min_samples, vec)
-    return _score_joined(df, items, nodes, min_samples, vec)
+    shared = shared_states(items, nodes, min_samples, broadcast_bytes) if shared is None else shared
+    if shared == TOO_LARGE:
+        return _score_joined(df, items, nodes, min_samples, vec)
+    return _score_broadcast(df, shared, vec)
 
 
 def _states(items: DataFrame, nodes: DataFrame, min_samples: int) -> dict[int, dict]:
@@ -153,8 +168,7 @@ def _states(items: DataFrame, nodes: DataFrame, min_samples: int) -> dict[int, d
     return states
 
 
-def _score_broadcast(df: DataFrame, items: DataFrame, nodes: DataFrame, min_samples: int, vec: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(_states(items, nodes, min_samples))
+def _score_broadcast(df: DataFrame, shared, vec: str) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("cluster_id", T.IntegerType()), T.StructField("strength", T.DoubleType()),
                            T.StructField("novelty", T.DoubleType())])
 

@@ -544,7 +544,7 @@ def _trained(spark: SparkSession, sf_dir: str, mode: str = "aggregates"):
 
     key = (id(spark), sf_dir, mode)
     if key not in _PIPES:
-        cfg = TrainConfig(feature_mode=mode, n_bootstrap=5)
+        cfg = TrainConfig(feature_mode=mode)
         _PIPES[key] = train(spark, si.blobs(spark, sf_dir), cfg)
     return _PIPES[key]
 
@@ -875,10 +875,10 @@ def q_rbf_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("cv_seeded")
 def q_cv_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H5: 3 seeds x 5 folds of the full pipeline on the blobs, summarised."""
+    """H5: 10 seeds x 5 folds of the full pipeline on the blobs, summarised."""
     from quorum.plans.train import TrainConfig, cv_seeded, seeded_summary
 
-    cv = cv_seeded(si.blobs(spark, sf_dir), TrainConfig(), [42, 43, 44])
+    cv = cv_seeded(si.blobs(spark, sf_dir), TrainConfig(), list(range(42, 52)))
     return round_doubles(seeded_summary(cv))
 
 

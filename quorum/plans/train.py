@@ -1,8 +1,8 @@
-"""Training, scoring and evaluation jobs (M1-M5, H3, H4, L1-L3).
+"""Training, scoring and evaluation jobs (M1-M5, H3-H5, L1-L4).
 
-Each job is a short sequence of distributed Spark steps; the only objects on
-the driver are fitted parameters bounded by the table width or by the
-model's ``max_items`` (never by the row count).
+Each job is a short sequence of distributed Spark steps; the driver holds
+fitted parameters bounded by the table's width and the label map, one row a
+cluster.  Tables that later steps read again are written once.
 """
 
 from __future__ import annotations
@@ -10,14 +10,16 @@ from __future__ import annotations
 import logging
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
 from quorum.functions.names import clip01, name_to_code
 from quorum.operators.density import DensityModel
@@ -25,7 +27,7 @@ from quorum.operators.features import AggregatesReducer, PCAReducer, Preprocesso
 from quorum.operators.labelmap import apply_names, build_label_map
 from quorum.operators.metrics import internal_metrics
 from quorum.operators.neighbors import labeled_neighbors, neighbor_lists
-from quorum.session import cut_lineage
+from quorum.session import stored
 
 log = logging.getLogger(__name__)
 
@@ -52,7 +54,6 @@ class TrainConfig:
     bootstrap_frac: float = 0.8
     seed: int = 42
     model_version: str = "0.1.0"
-    concurrent_fits: int = 1  # >1 submits folds / bootstrap refits as concurrent Spark jobs
 
 
 @dataclass
@@ -61,7 +62,7 @@ class ClusterPipeline:
 
     preprocessor: Preprocessor
     reducer: AggregatesReducer | PCAReducer
-    density: DensityModel
+    density: Clusterer
     label_map: pd.DataFrame
     labelled_refs: DataFrame | None = None      # row_index, features, label (training rows with a label)
     glosh_threshold: float = 0.7
@@ -85,16 +86,16 @@ class ClusterPipeline:
         is_novel = (F.col("novelty") >= F.lit(self.glosh_threshold)) | (F.col("cluster_id") == -1)
         out = named.select(
             "row_index", "predicted_label", F.col("strength").alias("confidence"), F.col("novelty").alias("novelty_score"),
-            "cluster_id", is_novel.alias("is_novel"), "features")
+            "cluster_id", is_novel.alias("is_novel"))
         if with_neighbors:
             if self.labelled_refs is None or self.top_neighbors <= 0:
                 out = out.withColumn("top_neighbors", F.array().cast(NEIGHBORS_TYPE))
             else:
-                nb = labeled_neighbors(out.select("row_index", "features"), self.labelled_refs, self.top_neighbors)
+                nb = labeled_neighbors(proj, self.labelled_refs, self.top_neighbors)
                 lists = neighbor_lists(nb)
                 out = out.join(lists, "row_index", "left").withColumn(
                     "top_neighbors", F.coalesce("top_neighbors", F.array().cast(NEIGHBORS_TYPE)))
-        return out.drop("features")
+        return out
 
 
 NEIGHBORS_TYPE = T.ArrayType(T.StructType([
@@ -110,31 +111,50 @@ LABEL_MAP_STRUCT = T.StructType([
 
 
 def _lm_pandas(lm: DataFrame) -> pd.DataFrame:
-    """The label map has one row per cluster (bounded by max_items) — safe to hold on the driver."""
+    """The label map has one row per cluster (n / min_cluster_size at most)."""
     pdf = lm.toPandas()
     pdf["label_distribution"] = pdf["label_distribution"].map(lambda m: dict(m) if m is not None else {})
     return pdf.sort_values("cluster_id").reset_index(drop=True)
 
 
-def fit_pipeline(df: DataFrame, cfg: TrainConfig, *, col: str = "sensors") -> tuple[ClusterPipeline, DataFrame]:
-    """Fit preprocessor, reducer, density model and label map on ``df``.
+class Clusterer(Protocol):
+    """L1: what the pipeline needs of a clusterer.
+
+    ``fit`` takes (row_index, features, ...) and returns the fitted object, whose ``labels`` are
+    (row_index, cluster_id, probability, outlier_score) with -1 for noise; ``score`` adds cluster_id,
+    strength and novelty to a table of rows.
+    """
+
+    n_clusters: int
+    labels: DataFrame
+
+    def fit(self, df: DataFrame, vec: str = "features") -> Clusterer: ...
+
+    def score(self, df: DataFrame, vec: str = "features") -> DataFrame: ...
+
+
+def density_model(cfg: TrainConfig) -> DensityModel:
+    return DensityModel(min_cluster_size=cfg.min_cluster_size, min_samples=cfg.min_samples,
+                        cluster_selection_method=cfg.cluster_selection_method)
+
+
+def fit_pipeline(df: DataFrame, cfg: TrainConfig, *, col: str = "sensors", clusterer: Callable[[TrainConfig], Clusterer] = density_model,
+                 ) -> tuple[ClusterPipeline, DataFrame]:
+    """Fit preprocessor, reducer, clusterer and label map on ``df``.
 
     Returns the pipeline and the training table (row_index, label, features, cluster_id,
-    probability, outlier_score), checkpointed so later evaluation steps reuse it.
+    probability, outlier_score), written once so that later evaluation steps reuse it.
     """
     base = df.select("row_index", col, "label")
     pre = Preprocessor(cfg.imputer_strategy).fit(base, col)
     scaled = pre.transform(base, col, out="scaled")
     red = build_reducer(cfg.feature_mode, variance_target=cfg.variance_target, n_components=cfg.n_components).fit(scaled, "scaled")
     feats = red.transform(scaled, "scaled", out="features").select("row_index", "label", "features")
-    # short lineage (scan + projection): persisting is enough, a lost block is recomputed
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    model = DensityModel(min_cluster_size=cfg.min_cluster_size, min_samples=cfg.min_samples,
-                         cluster_selection_method=cfg.cluster_selection_method).fit(feats)
-    train_tbl = feats.join(model.labels, "row_index")
+    feats = stored(feats, "features")
+    model = clusterer(cfg).fit(feats)
+    train_tbl = stored(feats.join(model.labels, "row_index"), "training")
     lm = build_label_map(train_tbl, weighted=cfg.weighted_votes)
     refs = feats.where(F.col("label").isNotNull()).select("row_index", "features", "label")
-    refs.unpersist = feats.unpersist  # releasing the refs releases the cached feature table
     pipe = ClusterPipeline(pre, red, model, _lm_pandas(lm), refs, cfg.glosh_threshold, cfg.top_neighbors,
                            model_version=cfg.model_version)
     return pipe, train_tbl
@@ -142,19 +162,6 @@ def fit_pipeline(df: DataFrame, cfg: TrainConfig, *, col: str = "sensors") -> tu
 
 # ---------------------------------------------------------------------- evaluation
 
-def _concurrently(fn, items, workers: int) -> list:
-    """Independent refits (folds, bootstrap runs) submitted as concurrent Spark jobs from
-    driver threads; each fit is itself distributed, the threads only overlap their
-    small jobs so the cluster stays busy.  Results keep the input order."""
-    items = list(items)
-    if workers <= 1 or len(items) <= 1:
-        return [fn(i) for i in items]
-    from concurrent.futures import ThreadPoolExecutor
-
-    with ThreadPoolExecutor(max_workers=min(workers, len(items))) as ex:
-        return list(ex.map(fn, items))
-
-
 def grouped_ari(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """E9 per group: ``keys`` + (ari, n); one contingency count and tagged marginals, no joins."""
     k = [F.col(c) for c in keys]
@@ -175,41 +182,61 @@ def grouped_ari(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return j.select(*keys, val.alias("ari"), F.col("n").cast("long").alias("n"))
 
 
-def cv_evaluate(df: DataFrame, cfg: TrainConfig, *, n_splits: int | None = None, col: str = "sensors") -> DataFrame:
+def cv_evaluate(df: DataFrame, cfg: TrainConfig, *, n_splits: int | None = None, col: str = "sensors",
+                pipeline: Callable[[DataFrame], ClusterPipeline] | None = None) -> DataFrame:
     """H3: per fold refit everything on all other rows (unlabelled included), score the
     held-out labelled rows, encode names (J2) and take the ARI against the labels.
 
-    Returns (fold, ari, n_test).  Folds are separate distributed fits.
+    Returns (fold, ari, n_test).  All folds are groups of one job; with a ``pipeline`` factory (L2),
+    which fits a pipeline of any kind on the training rows, folds are fits of their own.
     """
-    from quorum.operators.splits import fold_frames, labeled_stratified_kfold
+    from quorum.operators.splits import fold_frames
+    from quorum.plans.refits import cross_validate, fold_table
 
-    spark = df.sparkSession
     k = n_splits or cfg.n_splits
-    folds = cut_lineage(labeled_stratified_kfold(df, n_splits=k, seed=cfg.seed))
-    def one(f: int) -> tuple[int, float | None, int]:
-        train_df, _ = fold_frames(df, folds, f)
-        test = df.join(folds.where(F.col("fold") == f).select("row_index"), "row_index", "left_semi")
-        pipe, _ = fit_pipeline(train_df, cfg, col=col)
-        pred = pipe.score(test.select("row_index", col), col=col).join(test.select("row_index", "label"), "row_index")
-        coded = pred.withColumn("code", name_to_code(F.col("predicted_label")))
-        r = grouped_ari(coded.withColumn("fold", F.lit(f)), ["fold"], "code", "label").collect()
-        pipe.labelled_refs.unpersist()
-        return (f, r[0]["ari"] if r else None, int(r[0]["n"]) if r else 0)
-
-    parts = _concurrently(one, range(k), cfg.concurrent_fits)
-    return spark.createDataFrame(parts, "fold int, ari double, n_test long")
-
-
-def cv_seeded(df: DataFrame, cfg: TrainConfig, seeds: list[int], *, n_splits: int | None = None) -> DataFrame:
+    if pipeline is None:
+        return cross_validate(df, cfg, [cfg.seed], k, col=col).select("fold", "ari", "n_test")
+    folds = fold_table(df, [cfg.seed], k)
+    parts = []
+    for f in range(k):
+        train_df, test = fold_frames(df, folds, f)
+        pred = pipeline(train_df).score(test.select("row_index", col), col=col).join(test.select("row_index", "label"), "row_index")
+        coded = pred.select(F.lit(f).alias("fold"), name_to_code(F.col("predicted_label")).alias("code"), "label")
+        parts.append(grouped_ari(coded, ["fold"], "code", "label"))
+    return stored(reduce(DataFrame.unionByName, parts).select("fold", "ari", F.col("n").alias("n_test")), "cv")
+
+
+def cv_seeded(df: DataFrame, cfg: TrainConfig, seeds: list[int], *, n_splits: int | None = None,
+              projection: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """H5: CV repeated over seeds (the fold assignment changes with the seed):
-    (seed, fold, ari, n_test); summarise with ``seeded_summary``."""
-    from dataclasses import replace
+    (seed, fold, ari, n_test); summarise with ``seeded_summary``.
 
-    out = None
-    for sd in seeds:
-        t = cv_evaluate(df, replace(cfg, seed=sd), n_splits=n_splits).withColumn("seed", F.lit(sd))
-        out = t if out is None else out.unionByName(t)
-    return out.select("seed", "fold", "ari", "n_test")
+    ``projection`` (L4) takes the training rows and all rows of a refit and returns (row_index,
+    features) of all rows; a refit whose projection raises ValueError has a NaN.  The density model
+    still fits all refits in one job.
+    """
+    from quorum.operators.splits import fold_frames
+    from quorum.plans.refits import cross_validate, fold_table
+
+    k = n_splits or cfg.n_splits
+    if projection is None:
+        return cross_validate(df, cfg, seeds, k)
+    folds = fold_table(df, seeds, k)
+    parts = []
+    for g in range(len(seeds) * k):
+        own = folds.where(F.col("grp") == g).select("row_index", F.lit(True).alias("held"))
+        train_df, _ = fold_frames(df, own.withColumn("fold", F.lit(0)), 0)
+        try:
+            view = projection(train_df, df).select("row_index", "features")
+        except ValueError as exc:
+            log.warning("projection of refit %d failed: %s", g, exc)
+            continue
+        rows = view.join(df.select("row_index", "label"), "row_index").join(own, "row_index", "left")
+        parts.append(rows.select(F.lit(g).cast("long").alias("grp"), "row_index", F.col("label").cast("double").alias("label"),
+                                 F.coalesce("held", F.lit(False)).alias("held"), "features"))
+    if not parts:
+        return folds.groupBy("seed", "fold").agg(F.lit(float("nan")).alias("ari"), F.count(F.lit(1)).alias("n_test"))
+    return cross_validate(df, cfg, seeds, k, features=stored(reduce(DataFrame.unionByName, parts), "projections"), folds=folds)
 
 
 def seeded_summary(cv: DataFrame) -> DataFrame:
@@ -226,22 +253,21 @@ def cv_summary(cv: DataFrame) -> DataFrame:
     return cv.agg(F.avg(v).alias("mean_ari"), F.stddev_pop(v).alias("std_ari"), F.count(F.lit(1)).cast("int").alias("n_folds"))
 
 
-def run_labels(feats: DataFrame, cfg: TrainConfig, *, n_runs: int | None = None, frac: float | None = None) -> DataFrame:
-    """H4 step 1 (L3): refit only the density model on each subsample of the projected
-    table; (run, row_index, cluster_id)."""
-    from quorum.operators.splits import subsample
-
-    def one(r: int) -> DataFrame:
-        sub = subsample(feats, frac=frac or cfg.bootstrap_frac, run=r, seed=cfg.seed)
-        m = DensityModel(min_cluster_size=cfg.min_cluster_size, min_samples=cfg.min_samples,
-                         cluster_selection_method=cfg.cluster_selection_method).fit(sub)
-        return m.labels.select(F.lit(r).alias("run"), "row_index", "cluster_id")
+def run_labels(feats: DataFrame, cfg: TrainConfig, *, n_runs: int | None = None, frac: float | None = None,
+               cluster: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """H4 step 1: refit only the clustering on each subsample of the projected table;
+    (run, row_index, cluster_id).  The density model fits all runs in one job; ``cluster`` (L3) takes a
+    subsample and returns its (row_index, cluster_id)."""
+    from quorum.operators.splits import subsample_runs
+    from quorum.plans import refits
 
-    labs = _concurrently(one, range(n_runs if n_runs is not None else cfg.n_bootstrap), cfg.concurrent_fits)
-    out = labs[0]
-    for lab in labs[1:]:
-        out = out.unionByName(lab)
-    return out
+    n = n_runs if n_runs is not None else cfg.n_bootstrap
+    frac = frac or cfg.bootstrap_frac
+    if cluster is None:
+        return refits.run_labels(feats, cfg, n, frac)
+    runs = stored(subsample_runs(feats, frac=frac, n_runs=n, seed=cfg.seed), "runs")
+    labels = [cluster(runs.where(F.col("run") == r).drop("run")).select(F.lit(r).alias("run"), "row_index", "cluster_id") for r in range(n)]
+    return reduce(DataFrame.unionByName, labels)
 
 
 def pairwise_run_ari(runs: DataFrame) -> DataFrame:
@@ -296,7 +322,7 @@ def train(spark: SparkSession, df: DataFrame, cfg: TrainConfig | None = None, *,
     stab = pairs = None
     if run_stability and cfg.n_bootstrap > 1:
         try:
-            runs = cut_lineage(run_labels(train_tbl.select("row_index", "features"), cfg))
+            runs = stored(run_labels(train_tbl.select("row_index", "features"), cfg), "runs")
             pairs = pairwise_run_ari(runs)
             stab = stability_summary(pairs)
         except ValueError as exc:
