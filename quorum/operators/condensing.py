@@ -53,9 +53,10 @@ class _Part:
         return (0.0, self.kids) if self.kids > stability else (1.0, stability)
 
 
-def _joined(mcs: float, leaf: bool, step: int):
+def _joined(least: int | dict[int, int], leaf: bool, step: int):
     def run(key, edges: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         grp, out = int(key[0]), []
+        mcs = least if isinstance(least, int) else least[grp]
         if len(edges) == 0:
             return pd.DataFrame({"kind": [], "grp": [], "a": [], "b": [], "x": [], "members": []})
         edges = edges.sort_values(["w", "lo", "hi"])
@@ -119,17 +120,17 @@ def _joined(mcs: float, leaf: bool, step: int):
     return run
 
 
-def condense(tree: DataFrame, rows: DataFrame, min_cluster_size: int, *, method: str = "eom", run: int = RUN) -> tuple[DataFrame, DataFrame]:
+def condense(tree: DataFrame, rows: DataFrame, min_cluster_size: int | dict[int, int], *, method: str = "eom", run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """From the tree edges (grp, lo, hi, w) and the rows (grp, id):
 
     ((grp, id, node, lam): the condensed cluster that each row falls out of and when,
     (grp, node, parent, birth, size, direct, below, flag, root): every condensed cluster).
     """
-    if min_cluster_size < 2:
+    if (min_cluster_size if isinstance(min_cluster_size, int) else min(min_cluster_size.values())) < 2:
         raise ValueError("min_cluster_size must be 2 or more")
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     edges = tree.join(F.broadcast(sizes), "grp")
-    runs = max(1, -(-tree.count() // run))
+    runs = max(1, -(-rows.count() // run))
     cut = edges.repartitionByRange(runs, "grp", "w", "lo", "hi").withColumn("part", F.spark_partition_id())
     cut = stored(cut, "runs")
     first = cut.groupBy("grp").agg(F.min("part").alias("first"))
@@ -143,7 +144,7 @@ def condense(tree: DataFrame, rows: DataFrame, min_cluster_size: int, *, method:
         batch = edges.where(F.col("step") == step)
         touched = batch.select("grp", F.explode(F.array("ca", "cb")).alias("comp")).distinct()
         known = states.join(touched, ["grp", "comp"], "left_semi")
-        out = batch.groupBy("grp").cogroup(known.groupBy("grp")).applyInPandas(_joined(float(min_cluster_size), method == "leaf", step), _OUT)
+        out = batch.groupBy("grp").cogroup(known.groupBy("grp")).applyInPandas(_joined(min_cluster_size, method == "leaf", step), _OUT)
         out = stored(out, f"step-{step}")
         falls.append(out.where("kind = 'fall'"))
         clusters.append(out.where("kind = 'cluster'"))
@@ -177,6 +178,7 @@ def select(nodes: DataFrame, *, allow_single_cluster: bool = False) -> DataFrame
         known = stored(known, f"tops-{number}")
         if known.where("up IS NOT NULL").isEmpty():
             return nodes.join(known.select("grp", "node", "top"), ["grp", "node"])
-        above = known.select("grp", F.col("node").alias("up"), F.col("up").alias("further"), F.col("top").alias("higher"))
-        known = known.join(above, ["grp", "up"], "left").select("grp", "node", F.col("further").alias("up"), F.coalesce("higher", "top").alias("top"))
+        for _ in range(2):
+            above = known.select("grp", F.col("node").alias("up"), F.col("up").alias("further"), F.col("top").alias("higher"))
+            known = known.join(above, ["grp", "up"], "left").select("grp", "node", F.col("further").alias("up"), F.coalesce("higher", "top").alias("top"))
         number += 1

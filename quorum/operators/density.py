@@ -16,6 +16,7 @@ over the rows scores them; beyond it the same steps are joins.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -51,9 +52,9 @@ def mutual_reachability_edges(pts: DataFrame, min_samples: int, vec: str = "feat
                     F.greatest("distance", "core_distance", "nbr_core").alias("mreach"))
 
 
-def fit_groups(rows: DataFrame, min_cluster_size: int, min_samples: int, method: str = "eom", *, allow_single_cluster: bool = False,
-               ) -> tuple[DataFrame, DataFrame]:
-    """Fit every group of rows (grp, id, vec) by itself, in the same jobs:
+def fit_groups(rows: DataFrame, min_cluster_size: int | dict[int, int], min_samples: int | dict[int, int], method: str = "eom", *,
+               allow_single_cluster: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Fit every group of rows (grp, id, vec) by itself, in the same jobs, with settings of its own if they are maps:
 
     items (grp, id, vec, core, node, lam, cluster_id, prob, glosh), one per row, and
     nodes (grp, node, parent, birth, direct, below, root, top, cluster_id), one per condensed cluster;
@@ -62,15 +63,35 @@ def fit_groups(rows: DataFrame, min_cluster_size: int, min_samples: int, method:
     if method not in METHODS:
         raise ValueError(f"unknown selection method {method!r}, known are {METHODS}")
     rows = stored(rows.select("grp", "id", "vec"), "rows")
-    pts, edges = with_core(rows, max(1, min_samples))
-    tree = stored(spanning_tree(pts, edges), "tree")
-    falls, nodes = condense(tree, rows, min_cluster_size, method=method)
+    pts, edges = with_core(rows, min_samples)
+    return _clusters(pts, spanning_tree(pts, edges), min_cluster_size, method, allow_single_cluster)
+
+
+def fit_grid(df: DataFrame, min_cluster_sizes: Sequence[int], min_samples: Sequence[int], vec: str = "features") -> DataFrame:
+    """(min_cluster_size, min_samples, row_index, cluster_id, probability, outlier_score) of every setting (H6).
+
+    One spanning tree for each min_samples, condensed for each min_cluster_size.
+    """
+    wide = len(min_cluster_sizes)
+    several = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = df.select(F.col("row_index").cast("long").alias("id"), F.col(vec).alias("vec")).withColumn("grp", several(len(min_samples)))
+    rows = stored(rows.select("grp", "id", "vec"), "rows")
+    pts, edges = with_core(rows, dict(enumerate(min_samples)))
+    tree = spanning_tree(pts, edges)
+    spread = lambda t: t.withColumn("j", several(wide)).withColumn("grp", F.col("grp") * wide + F.col("j")).drop("j")
+    settings = [(i * wide + j, m, s) for i, s in enumerate(min_samples) for j, m in enumerate(min_cluster_sizes)]
+    items, _ = _clusters(stored(spread(pts), "grid"), spread(tree), {g: m for g, m, _ in settings})
+    names = df.sparkSession.createDataFrame(settings, "grp long, min_cluster_size int, min_samples int")
+    return labels_of(items).join(F.broadcast(names), "grp").drop("grp")
+
+
+def _clusters(pts: DataFrame, tree: DataFrame, min_cluster_size, method: str = "eom", allow_single_cluster: bool = False) -> tuple[DataFrame, DataFrame]:
+    falls, nodes = condense(tree, pts.select("grp", "id"), min_cluster_size, method=method)
     nodes = stored(select(nodes, allow_single_cluster=allow_single_cluster), "nodes")
-    falls = stored(falls, "falls")
     placed = falls.join(nodes.select("grp", "node", "top", "below"), ["grp", "node"])
     # one row per selected cluster in the window
     least = placed.where("top IS NOT NULL").groupBy("grp", "top").agg(F.min("id").alias("least"))
-    ids = stored(least.select("grp", "top", (F.row_number().over(Window.partitionBy("grp").orderBy("least")) - 1).alias("cluster_id")), "ids")
+    ids = least.select("grp", "top", (F.row_number().over(Window.partitionBy("grp").orderBy("least")) - 1).alias("cluster_id"))
     tops = nodes.select("grp", F.col("node").alias("top"), F.col("direct").alias("top_direct"))
     inf = float("inf")
     lam, direct, below = F.col("lam"), F.col("top_direct"), F.col("below")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorum.operators.knn import _mat
+from quorum.operators.nearest import cheapest_partner, distances
+from quorum.session import stored
 
 DEFAULT_MAX_BROADCAST_POINTS = 100_000
 
@@ -71,8 +73,8 @@ def noise_summary(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Noise fraction, number of clusters without noise, number of points."""
     return df.agg(
         F.coalesce(F.avg((F.col(cluster) == -1).cast("double")), F.lit(0.0)).alias("noise_fraction"),
-        F.count_distinct(F.when(F.col(cluster) != -1, F.col(cluster))).cast("int").alias("n_clusters"),
-        F.count(F.lit(1)).cast("int").alias("n_points"),
+        F.count_distinct(F.when(F.col(cluster) != -1, F.col(cluster))).alias("n_clusters"),
+        F.count(F.lit(1)).alias("n_points"),
     )
 
 
@@ -184,39 +186,37 @@ def silhouette_sq(df: DataFrame, vec: str = "features", cluster: str = "cluster_
     return ClusteringEvaluator(featuresCol="v", predictionCol="c", distanceMeasure="squaredEuclidean").evaluate(pts)
 
 
-def centroids(df: DataFrame, vec: str, cluster: str, width: int) -> DataFrame:
-    x = F.col(vec)
-    return df.groupBy(cluster).agg(F.array(*[F.avg(x[i]) for i in range(width)]).alias("centroid"), F.count(F.lit(1)).alias("n"))
+def _similarity(qv: np.ndarray, qx: np.ndarray, rv: np.ndarray, rx: np.ndarray) -> np.ndarray:
+    """Less the sum of both scatters over the distance of the centroids; 0 where those coincide."""
+    d = distances(qv, rv)
+    return -np.where(d > 0, (qx + rx[:, 0][None, :]) / np.where(d > 0, d, 1.0), 0.0)
 
 
-def davies_bouldin(df: DataFrame, vec: str = "features", cluster: str = "cluster_id",
-                   max_clusters: int = 20_000) -> float | None:
-    """E12 on non-noise rows: centroids and scatters are grouped aggregates; the
-    k x k ratio step runs on the (size-checked) centroid table."""
+def davies_bouldin_groups(rows: DataFrame, **kw) -> DataFrame:
+    """E12 of each group of (grp, cluster, vec), noise left out before: (grp, davies_bouldin).
+
+    Centroids and scatters are grouped aggregates; each cluster's worst partner is a join in blocks
+    of centroids, so the number of clusters isn't bounded.  0 if no cluster scatters.
+    """
     from quorum.functions.vectors import euclidean
-    from quorum.operators.features import vector_width
 
+    means = rows.select("grp", "cluster", F.posexplode("vec").alias("i", "x")).groupBy("grp", "cluster", "i").agg(F.avg("x").alias("x"))
+    centres = means.groupBy("grp", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
+    centres = stored(centres, "centres")
+    scatter = rows.join(centres, ["grp", "cluster"]).groupBy("grp", "cluster").agg(F.avg(euclidean(F.col("vec"), F.col("centre"))).alias("s"))
+    table = stored(centres.join(scatter, ["grp", "cluster"]).select("grp", F.col("cluster").alias("id"), F.col("centre").alias("vec"), F.array("s").alias("x")), "scatters")
+    worst = cheapest_partner(table, _similarity, **kw).groupBy("grp").agg(F.avg(-F.col("cost")).alias("davies_bouldin"))
+    still = table.groupBy("grp").agg(F.max(F.col("x")[0]).alias("most"))
+    return worst.join(still, "grp").select("grp", F.when(F.col("most") <= 1e-8, 0.0).otherwise(F.col("davies_bouldin")).alias("davies_bouldin"))
+
+
+def davies_bouldin(df: DataFrame, vec: str = "features", cluster: str = "cluster_id", **kw) -> float | None:
+    """E12 on non-noise rows; NULL with fewer than two clusters."""
     pts = df.where(F.col(cluster) != -1)
-    if pts.limit(1).count() == 0:
-        return None
-    w = vector_width(pts, vec)
-    cen = centroids(pts, vec, cluster, w)
-    k = cen.count()
-    if k < 2:
+    if pts.select(cluster).distinct().limit(2).count() < 2:
         return None
-    if k > max_clusters:
-        raise ValueError(f"{k} clusters exceed the centroid bound {max_clusters}")
-    scat = pts.join(F.broadcast(cen), cluster).groupBy(cluster).agg(F.avg(euclidean(F.col(vec), F.col("centroid"))).alias("s"))
-    t = cen.join(scat, cluster).toPandas()
-    c = _mat(t["centroid"])
-    s = t["s"].to_numpy()
-    dist = np.sqrt(((c[:, None, :] - c[None, :, :]) ** 2).sum(-1))
-    if np.allclose(s, 0) or np.allclose(dist, 0):
-        return 0.0
-    dist[dist == 0] = np.inf
-    r = (s[:, None] + s[None, :]) / dist
-    np.fill_diagonal(r, -np.inf)
-    return float(np.mean(r.max(axis=1)))
+    rows = pts.select(F.lit(0).cast("long").alias("grp"), F.col(cluster).cast("long").alias("cluster"), F.col(vec).alias("vec"))
+    return davies_bouldin_groups(rows, **kw).head()["davies_bouldin"]
 
 
 def internal_metrics(df: DataFrame, vec: str = "features", cluster: str = "cluster_id") -> DataFrame:
@@ -228,7 +228,7 @@ def internal_metrics(df: DataFrame, vec: str = "features", cluster: str = "clust
         db = davies_bouldin(df, vec, cluster)
     return df.sparkSession.createDataFrame(
         [(sil, db, float(ns["noise_fraction"]), int(ns["n_clusters"]), int(ns["n_points"]))],
-        "silhouette double, davies_bouldin double, noise_fraction double, n_clusters int, n_points int",
+        "silhouette double, davies_bouldin double, noise_fraction double, n_clusters long, n_points long",
     )
 
 

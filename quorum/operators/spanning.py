@@ -14,7 +14,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorum.operators.nearest import cheapest_partner, distances, k_nearest, row_bytes
@@ -24,12 +24,19 @@ from quorum.session import stored
 LISTED = 12
 
 
-def with_core(rows: DataFrame, min_samples: int, listed: int = LISTED, **kw) -> tuple[DataFrame, DataFrame]:
-    """((grp, id, vec, core, bound), (grp, a, b, w) of the lists, both directions)."""
-    k = max(listed, min_samples)
+def by_group(value: int | dict[int, int]) -> Column:
+    """A setting that is the same for all groups, or one for each."""
+    if isinstance(value, int):
+        return F.lit(value)
+    return F.element_at(F.create_map(*[F.lit(x) for pair in value.items() for x in pair]), F.col("grp").cast("int"))
+
+
+def with_core(rows: DataFrame, min_samples: int | dict[int, int], listed: int = LISTED, **kw) -> tuple[DataFrame, DataFrame]:
+    """((grp, id, vec, core, bound), (grp, a, b, w, distance) of the lists, both directions)."""
+    k = max(listed, *([min_samples] if isinstance(min_samples, int) else min_samples.values()))
     near = stored(k_nearest(rows, k, **kw), "near")
     ends = near.groupBy("grp", "id").agg(
-        F.max(F.when(F.col("rank") <= min_samples, F.col("distance"))).alias("core"),
+        F.max(F.when(F.col("rank") <= by_group(min_samples), F.col("distance"))).alias("core"),
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("end"))
     pts = rows.join(ends, ["grp", "id"], "left").select(
         "grp", "id", "vec", F.coalesce("core", F.lit(0.0)).alias("core"),
@@ -37,12 +44,12 @@ def with_core(rows: DataFrame, min_samples: int, listed: int = LISTED, **kw) ->
     pts = stored(pts, "points")
     core = pts.select("grp", F.col("id").alias("nbr"), F.col("core").alias("core_b"))
     listed_edges = near.join(pts.select("grp", "id", "core"), ["grp", "id"]).join(core, ["grp", "nbr"]).select(
-        "grp", F.col("id").alias("a"), F.col("nbr").alias("b"), F.greatest("distance", "core", "core_b").alias("w"))
+        "grp", F.col("id").alias("a"), F.col("nbr").alias("b"), F.greatest("distance", "core", "core_b").alias("w"), "distance")
     return pts, _both(listed_edges)
 
 
 def _both(edges: DataFrame) -> DataFrame:
-    return edges.union(edges.select("grp", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    return edges.union(edges.select("grp", F.col("b").alias("a"), F.col("a").alias("b"), *edges.columns[3:]))
 
 
 def outside(qv: np.ndarray, qx: np.ndarray, rv: np.ndarray, rx: np.ndarray) -> np.ndarray:
@@ -101,11 +108,10 @@ def _contract(comps: DataFrame, picks: DataFrame, number: int) -> DataFrame:
     step = 0
     while True:
         step += 1
-        jump = to
-        for _ in range(2):
-            jump = jump.join(jump.select("grp", F.col("comp").alias("to"), F.col("to").alias("next")), ["grp", "to"], "left").select(
-                "grp", "comp", F.coalesce("next", "to").alias("to"))
-        jump = stored(jump.join(to.withColumnRenamed("to", "was"), ["grp", "comp"]), f"roots-{number}-{step}")
-        to = jump.select("grp", "comp", "to")
-        if jump.where("to <> was").isEmpty():
+        for _ in range(3):  # each time a pointer reaches twice as far
+            ahead = to.select("grp", F.col("comp").alias("to"), F.col("to").alias("next"))
+            to = to.select("grp", "comp", "to").join(ahead, ["grp", "to"]).select("grp", "comp", F.col("next").alias("to"), F.col("to").alias("was"))
+        to = stored(to, f"roots-{number}-{step}")
+        if to.where("to <> was").isEmpty():
+            to = to.drop("was")
             return comps.join(to, ["grp", "comp"], "left").select("grp", "id", F.coalesce("to", "comp").alias("comp"))

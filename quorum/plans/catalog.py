@@ -568,7 +568,7 @@ def q_train_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
            cv["mean_ari"] if cv else None, cv["std_ari"] if cv else None, st["stability_mean_ari"] if st else None,
            st["n_pairs"] if st else 0)
     return round_doubles(spark.createDataFrame([row], "silhouette double, davies_bouldin double, noise_fraction double, "
-                                               "n_clusters int, n_points int, cv_mean_ari double, cv_std_ari double, "
+                                               "n_clusters long, n_points long, cv_mean_ari double, cv_std_ari double, "
                                                "stability_mean_ari double, n_pairs int"))
 
 
@@ -719,6 +719,25 @@ def q_knn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(knn_proba_features(_scaled_blobs(spark, sf_dir), 3, 3.0).select("row_index", "features"))
 
 
+@register("knn_feature_sweep")
+def q_knn_feature_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C13 + I21: density clustering after appending kNN class probabilities, k in {1, 3, 5} and weight in {1, 3, 10}."""
+    from functools import reduce
+
+    from quorum.operators.density import fit_groups, labels_of
+    from quorum.operators.fit_scores import score_fits
+    from quorum.operators.transforms import knn_proba_features
+    from quorum.session import stored
+
+    f = stored(_scaled_blobs(spark, sf_dir), "features")
+    settings = [(i * 3 + j, k, w) for i, k in enumerate((1, 3, 5)) for j, w in enumerate((1.0, 3.0, 10.0))]
+    views = stored(reduce(DataFrame.unionByName, [knn_proba_features(f, k, w).select(
+        F.lit(g).cast("long").alias("grp"), F.col("row_index").cast("long").alias("row_index"), "label", "features") for g, k, w in settings]), "views")
+    items, _ = fit_groups(views.select("grp", F.col("row_index").alias("id"), F.col("features").alias("vec")), 8, 3)
+    names = spark.createDataFrame(settings, "grp long, k int, weight double")
+    return round_doubles(score_fits(labels_of(items), views).join(F.broadcast(names), "grp").drop("grp"))
+
+
 @register("quantile_features")
 def q_quantile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C10 on the readings."""
@@ -788,27 +807,79 @@ def q_iforest_glosh_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("algorithm_comparison")
 def q_algorithm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M10 on the standardised blobs: k-means, mixtures, bisecting k-means, spectral, DBSCAN, density."""
+    """M10 on the standardised blobs: k-means, mixtures, Ward, spectral, DBSCAN and density over their whole grids."""
     from quorum.operators import models
-
-    f = _scaled_blobs(spark, sf_dir)
-    fits = {
-        "kmeans_k2": lambda d: models.kmeans(d, 2), "kmeans_k5": lambda d: models.kmeans(d, 5),
-        "gmm_k2": lambda d: models.gaussian_mixture(d, 2), "gmm_k5": lambda d: models.gaussian_mixture(d, 5),
-        "bisecting_k5": lambda d: models.bisecting_kmeans(d, 5), "spectral_k5": lambda d: models.spectral(d, 5),
-        "dbscan_eps2": lambda d: models.dbscan(d, 2.0, 5),
-    }
-    fits.update(models.density_grid(f, [8, 10], [3, 5]))
+    from quorum.operators.agglomerate import ward
+    from quorum.operators.spectral import spectral
+    from quorum.session import stored
+
+    f = stored(_scaled_blobs(spark, sf_dir), "features")
+    fits = {f"kmeans_k{k}": models.kmeans(f, k) for k in (2, 3, 4, 5, 8, 10)}
+    fits |= {f"gmm_k{k}": models.gaussian_mixture(f, k) for k in (2, 3, 5, 8)}
+    fits |= {f"ward_k{k}": lab for k, lab in ward(f, (3, 5, 8)).items()}
+    fits |= {f"spectral_k{k}": lab for k, lab in spectral(f, (3, 5, 8)).items()}
+    sweep = stored(models.dbscan_sweep(f, EPS), "dbscan")
+    fits |= {f"dbscan_eps{e}": sweep.where(F.col("eps") == e) for e in EPS}
+    fits |= models.density_grid(f, [5, 8, 15, 30], [3, 5])
     return round_doubles(models.compare(f, fits))
 
 
+#: The radii of the DBSCAN sweep.
+EPS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0)
+
+
+@register("ward_labels")
+def q_ward_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I18 on the blobs: (k, row_index, cluster_id) for 3, 5 and 8 clusters of one tree."""
+    from quorum.operators.agglomerate import ward
+    from quorum.session import stored
+
+    f = stored(_features(si.blobs(spark, sf_dir)).select("row_index", "features"), "features")
+    parts = [lab.select(F.lit(k).alias("k"), "row_index", "cluster_id") for k, lab in ward(f, (3, 5, 8)).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("spectral_embedding")
+def q_spectral_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I17 on the standardised blobs: the eight leading eigenvalues of the 15-NN graph's normalised affinity."""
+    from quorum.operators.spectral import spectral_embedding
+    from quorum.session import stored
+
+    _, values, _ = spectral_embedding(stored(_scaled_blobs(spark, sf_dir), "features"), 8)
+    return round_doubles(spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(values)], "component int, eigenvalue double"))
+
+
+@register("dbscan_sweep")
+def q_dbscan_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I15 + H6 on the blobs: labels at six radii from one spanning tree."""
+    from quorum.operators.models import dbscan_sweep
+
+    return dbscan_sweep(_features(si.blobs(spark, sf_dir)), EPS)
+
+
+@register("density_grid")
+def q_density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6 + F8: the density grid (7 sizes x 3 min_samples) on the standardised blobs, scored, the best below 80 % noise marked."""
+    from quorum.operators import models
+    from quorum.session import stored
+
+    f = stored(_scaled_blobs(spark, sf_dir), "features")
+    table = stored(models.compare(f, models.density_grid(f, [3, 5, 8, 10, 15, 20, 30], [1, 3, 5])), "scores")
+    best = models.best_constrained(table).select("name", F.lit(True).alias("is_best"))
+    return round_doubles(table.join(F.broadcast(best), "name", "left").withColumn("is_best", F.coalesce("is_best", F.lit(False))))
+
+
 @register("pca_sweep")
 def q_pca_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C8 on the standardised readings: k in {2, 5, 10, 17}."""
+    """C8 on the standardised readings: every size of PCA_SIZES."""
     from quorum.operators.transforms import pca_sweep
 
     s = scaled(spark, si.readings(spark, sf_dir))
-    return round_doubles(pca_sweep(s, [2, 5, 10, 17], min_cluster_size=8, min_samples=3))
+    return round_doubles(pca_sweep(s, PCA_SIZES, min_cluster_size=8, min_samples=3))
+
+
+#: Component counts of the sweep.
+PCA_SIZES = (2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 17, 19)
 
 
 @register("feature_comparison")
@@ -842,35 +913,36 @@ def q_bayes_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quorum.operators import models
 
     f = _scaled_blobs(spark, sf_dir)
-    fits = {f"bayes_gmm_prior_{p}": (lambda d, p=p: models.bayesian_gaussian_mixture(d, weight_concentration_prior=p))
-            for p in (1e-3, 1e-1)}
+    fits = {f"bayes_gmm_prior_{p}": models.bayesian_gaussian_mixture(f, weight_concentration_prior=p) for p in (1e-3, 1e-1)}
     return round_doubles(models.compare(f, fits))
 
 
 @register("nca_density")
 def q_nca_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C12 + I21: NCA projections (3 and 5 dims) learned on labelled rows, then density clustering."""
-    from quorum.operators.density import DensityModel
-    from quorum.operators.models import score_row
+    """C12 + I21: NCA projections (3, 5, 10 and 19 dims) learned on labelled rows, then density clustering."""
+    from functools import reduce
+
+    from quorum.operators.density import fit_groups, labels_of
+    from quorum.operators.fit_scores import score_fits
     from quorum.operators.transforms import NeighborhoodComponents
+    from quorum.session import stored
 
-    f = _scaled_blobs(spark, sf_dir)
-    rows = []
-    for dim in (3, 5):
-        warped = NeighborhoodComponents(n_components=dim).fit(f).transform(f)
-        for mcs in (5, 8):
-            lab = DensityModel(min_cluster_size=mcs, min_samples=3).fit(warped).labels
-            rows.append((dim, mcs, *score_row(f"nca{dim}_mcs{mcs}", lab, warped)[1:]))
-    return round_doubles(spark.createDataFrame(rows, "nca_dim int, mcs int, n_clusters int, noise_frac double, "
-                                                     "ari_labeled double, silhouette double, davies_bouldin double"))
+    f = stored(_scaled_blobs(spark, sf_dir), "features")
+    settings = [(i * 3 + j, dim, mcs) for i, dim in enumerate((3, 5, 10, 19)) for j, mcs in enumerate((5, 8, 15))]
+    warped = {dim: stored(NeighborhoodComponents(n_components=dim).fit(f).transform(f), f"nca-{dim}") for dim in (3, 5, 10, 19)}
+    views = stored(reduce(DataFrame.unionByName, [warped[dim].select(F.lit(g).cast("long").alias("grp"), F.col("row_index").cast("long").alias("row_index"), "label", "features")
+                                                  for g, dim, _ in settings]), "views")
+    items, _ = fit_groups(views.select("grp", F.col("row_index").alias("id"), F.col("features").alias("vec")), {g: mcs for g, _, mcs in settings}, 3)
+    names = spark.createDataFrame(settings, "grp long, nca_dim int, mcs int")
+    return round_doubles(score_fits(labels_of(items), views).join(F.broadcast(names), "grp").drop("grp"))
 
 
 @register("rbf_sweep")
 def q_rbf_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C11 + F9: kNN-LOO accuracy for gamma in {0.01, 0.1, 1}; first best flagged."""
+    """C11 + F9: kNN-LOO accuracy for gamma in {0.01, 0.05, 0.1, 0.5, 1}; first best flagged."""
     from quorum.operators.transforms import rbf_sweep
 
-    return round_doubles(rbf_sweep(_scaled_blobs(spark, sf_dir), [0.01, 0.1, 1.0]))
+    return round_doubles(rbf_sweep(_scaled_blobs(spark, sf_dir), [0.01, 0.05, 0.1, 0.5, 1.0]))
 
 
 @register("cv_seeded")
