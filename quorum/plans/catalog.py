@@ -814,7 +814,7 @@ def q_algorithm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quorum.session import stored
 
     f = stored(_scaled_blobs(spark, sf_dir), "features")
-    fits = {f"kmeans_k{k}": models.kmeans(f, k) for k in (2, 3, 4, 5, 8, 10)}
+    fits = {f"kmeans_k{k}": lab for k, lab in models.kmeans_sweep(f, (2, 3, 4, 5, 8, 10)).items()}
     fits |= {f"gmm_k{k}": models.gaussian_mixture(f, k) for k in (2, 3, 5, 8)}
     fits |= {f"ward_k{k}": lab for k, lab in ward(f, (3, 5, 8)).items()}
     fits |= {f"spectral_k{k}": lab for k, lab in spectral(f, (3, 5, 8)).items()}
