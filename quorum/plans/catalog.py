@@ -320,8 +320,9 @@ def _label_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return si.label_clusters(spark, sf_dir)
 
 
-_LM_SQL = f"""
-    WITH s AS ({_LC_SQL}),
+def label_map_sql(src: str) -> str:
+    return f"""
+    WITH s AS ({src}),
     tot AS (SELECT cluster_id, count(*) AS n_total FROM s GROUP BY cluster_id),
     cc AS (SELECT label, count(*) AS class_n FROM s WHERE label IS NOT NULL GROUP BY label),
     per AS (SELECT cluster_id, label, count(*) AS n FROM s WHERE label IS NOT NULL GROUP BY cluster_id, label),
@@ -345,6 +346,9 @@ _LM_SQL = f"""
     FROM tot t LEFT JOIN st USING (cluster_id) LEFT JOIN win USING (cluster_id)"""
 
 
+_LM_SQL = label_map_sql(_LC_SQL)
+
+
 @register("label_map", _LM_SQL)
 def q_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quorum.functions.names import map_text
@@ -609,23 +613,14 @@ def q_score_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(score_payloads(res.pipeline, ok))
 
 
-def _run_stream(spark: SparkSession, sf_dir: str, amplified: bool):
-    from quorum.streaming.score_stream import embeddings_stream, score_stream
-
-    res = _trained(spark, sf_dir)
-    src = embeddings_stream(spark, sf_dir)
-    if amplified:
-        src = src.withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(si.AMPLIFY)))
-    q, ok, bad = score_stream(spark, res.pipeline, si.blobs_from(src).drop("label") if not amplified else
-                              si.readings_from(src).drop("label"))
-    q.awaitTermination()
-    return ok, bad
-
-
 @register("stream_score")
 def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: embeddings streamed as files -> blobs readings -> scored -> parquet sink."""
-    ok, _ = _run_stream(spark, sf_dir, amplified=False)
+    from quorum.streaming.score_stream import embeddings_stream, score_stream
+
+    src = si.blobs_from(embeddings_stream(spark, sf_dir)).drop("label")
+    query, ok, _ = score_stream(spark, _trained(spark, sf_dir).pipeline, src)
+    query.awaitTermination()
     return round_doubles(spark.read.parquet(ok).drop("batch_id"))
 
 
@@ -637,8 +632,12 @@ def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     HAVING bool_or(NOT (x BETWEEN -1.05 AND 1.05)) AND NOT bool_or(isnan(x) OR isinf(x))""")
 def q_stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: the same stream at 2.5x scale; rows leaving the payload band go to the reject sink."""
-    _, bad = _run_stream(spark, sf_dir, amplified=True)
-    return spark.read.parquet(bad).drop("batch_id")
+    from quorum.streaming.score_stream import committed, divide_stream, embeddings_stream
+
+    src = embeddings_stream(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(si.AMPLIFY)))
+    query, sinks = divide_stream(spark, si.readings_from(src).drop("label"), si.N_SENSORS, lambda good: good.select("row_index"))
+    query.awaitTermination()
+    return committed(spark, sinks, rejected=True).drop("batch_id")
 
 
 # Phase 9-10: feature views and comparison models ------------------------------------------
@@ -738,7 +737,19 @@ def q_knn_feature_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(score_fits(labels_of(items), views).join(F.broadcast(names), "grp").drop("grp"))
 
 
-@register("quantile_features")
+_QUANTILE_SQL = f"""
+    WITH long AS ({_long_sql(si.readings_sql())}),
+    s AS (SELECT i, list(x ORDER BY x) AS s, count(*) AS n, least(1000, count(*)) AS nq FROM long GROUP BY i),
+    h AS (SELECT i, s, nq, unnest(generate_series(0, nq - 1)) AS k, (n - 1) * unnest(generate_series(0, nq - 1)) / CAST(nq - 1 AS DOUBLE) AS h FROM s),
+    q AS (SELECT i, any_value(nq) AS nq, list(s[CAST(floor(h) AS BIGINT) + 1] + (h - floor(h)) * (s[CAST(ceil(h) AS BIGINT) + 1] - s[CAST(floor(h) AS BIGINT) + 1]) ORDER BY k) AS q
+          FROM h GROUP BY i),
+    p AS (SELECT l.row_index, l.i, l.x, q.q, q.nq, len(list_filter(q.q, lambda v: v <= l.x)) AS a, len(list_filter(q.q, lambda v: v < l.x)) AS b FROM long l JOIN q USING (i)),
+    r AS (SELECT row_index, i, CASE WHEN x <= q[1] THEN 0 WHEN x >= q[nq] THEN 1 WHEN a > b THEN (a - 1 + b) / 2.0 / (nq - 1)
+                                    ELSE (a - 1 + (x - q[a]) / (q[a + 1] - q[a])) / (nq - 1) END AS z FROM p)
+    SELECT row_index, list({sql_r6('z')} ORDER BY i) AS features FROM r GROUP BY row_index"""
+
+
+@register("quantile_features", _QUANTILE_SQL)
 def q_quantile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C10 on the readings."""
     from quorum.operators.transforms import QuantileRank
@@ -964,3 +975,5 @@ def q_spread_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = "density_scores"
+
+from quorum.plans import contested  # noqa: E402,F401  (registers its queries in the same tables)

@@ -69,6 +69,7 @@ class ClusterPipeline:
     top_neighbors: int = 3
     trained_at: str = field(default_factory=lambda: datetime.now(UTC).isoformat())
     model_version: str = "0.1.0"
+    purity_warning: float = 0.6
 
     def project(self, df: DataFrame, col: str = "sensors") -> DataFrame:
         s = self.preprocessor.transform(df, col, out="scaled")
@@ -156,7 +157,7 @@ def fit_pipeline(df: DataFrame, cfg: TrainConfig, *, col: str = "sensors", clust
     lm = build_label_map(train_tbl, weighted=cfg.weighted_votes)
     refs = feats.where(F.col("label").isNotNull()).select("row_index", "features", "label")
     pipe = ClusterPipeline(pre, red, model, _lm_pandas(lm), refs, cfg.glosh_threshold, cfg.top_neighbors,
-                           model_version=cfg.model_version)
+                           model_version=cfg.model_version, purity_warning=cfg.purity_warning)
     return pipe, train_tbl
 
 
@@ -344,12 +345,15 @@ def train(spark: SparkSession, df: DataFrame, cfg: TrainConfig | None = None, *,
 
 
 def score_files(spark: SparkSession, pipeline: ClusterPipeline, input_path: str, output_path: str | None = None, *,
-                require_label: bool = True) -> DataFrame:
-    """M3: load + validate, score, write parquet/CSV; returns the prediction table."""
+                require_label: bool = True, **layout) -> DataFrame:
+    """M3: load + validate, score, write parquet/CSV; returns the prediction table.
+
+    ``layout`` (prefix, n_sensors, label_column, ...) goes to ``load_readings``.
+    """
     from quorum.sources.readers import load_readings
     from quorum.sources.sinks import write_predictions
 
-    df = load_readings(spark, input_path, require_label=require_label)
+    df = load_readings(spark, input_path, require_label=require_label, **layout)
     pred = pipeline.score(df)
     if output_path:
         write_predictions(pred, output_path)

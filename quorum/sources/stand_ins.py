@@ -133,3 +133,37 @@ def label_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("label") - 1).cast("int").alias("cluster_id"),
         _sparse_label(F.col("vec_id"), F.col("label")).alias("label"),
     )
+
+
+# ---------------------------------------------------------------- contested votes and missing values
+
+#: Modulus that makes a row noise, class that no cluster may name, gaps in the readings.
+MIXED_NOISE_EVERY = 11
+UNLABELLED_CLASS = 9
+GAP_EVERY = 13
+
+
+def mixed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clustering whose clusters hold several classes: contested votes, low purity, an unlabelled cluster, noise with labels."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    cluster = (F.when(vec_id % MIXED_NOISE_EVERY == 0, -1).when(label == UNLABELLED_CLASS, 7)
+               .otherwise((label * 3 + vec_id % 4) % 7).cast("int"))
+    return embeddings(spark, sf_dir).select(vec_id.alias("row_index"), cluster.alias("cluster_id"), _sparse_label(vec_id, label).alias("label"))
+
+
+def mixed_clusters_sql() -> str:
+    return (f"SELECT vec_id AS row_index, CAST(CASE WHEN vec_id % {MIXED_NOISE_EVERY} = 0 THEN -1 WHEN label = {UNLABELLED_CLASS} THEN 7 "
+            f"ELSE (label * 3 + vec_id % 4) % 7 END AS INTEGER) AS cluster_id, {_sql_label()} AS label FROM embeddings")
+
+
+def gappy_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``readings`` without every 13th value along the diagonals: half of the gaps NULL, half NaN."""
+    gap = lambda x, i: (F.when((F.col("row_index") + i) % (2 * GAP_EVERY) == 0, F.lit(None).cast("double"))
+                        .when((F.col("row_index") + i) % (2 * GAP_EVERY) == GAP_EVERY, F.lit(float("nan"))).otherwise(x))
+    return readings(spark, sf_dir).withColumn("sensors", F.transform("sensors", gap))
+
+
+def gappy_long_sql() -> str:
+    """(row_index, i, x) of ``gappy_readings`` with both kinds of gaps as NULL."""
+    return (f"SELECT row_index, i, CASE WHEN (row_index + i) % {GAP_EVERY} <> 0 THEN x END AS x FROM (SELECT row_index, unnest(sensors) AS x, "
+            f"unnest(generate_series(0, len(sensors) - 1)::INTEGER[]) AS i FROM ({readings_sql()}))")

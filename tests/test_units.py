@@ -223,3 +223,35 @@ def test_pair_distance_medians_match_numpy(spark, bcast):
         w = d[np.ix_(i, i)][~np.eye(len(i), dtype=bool)]
         assert abs(got[c]["within_median"] - np.median(w)) < 1e-12
         assert abs(got[c]["between_median"] - np.median(d[np.ix_(i, o)])) < 1e-12
+
+
+def test_sensor_columns_by_prefix_and_number(spark):
+    from quorum.sources.readers import columns_by_prefix
+
+    df = spark.createDataFrame([(1, 2, 3, 4, 5)], "`Sensor 10` int, `Sensor 2` int, `Sensor note` int, other int, `Sensor 0` int")
+    assert columns_by_prefix(df) == ["Sensor 0", "Sensor 2", "Sensor 10"] and columns_by_prefix(df, "none") == []
+
+
+def test_label_map_document_keeps_the_purity_limit(spark, tmp_path):
+    import pandas as pd
+
+    from quorum.sources.bundle import label_map_document, load_label_map, purity_warning_from_document, save_label_map
+
+    lm = pd.DataFrame([(0, "CLASS_1", True, False, 0.7, 3, 9, {"1.0": 3}), (-1, "NOISE", False, True, None, 0, 2, {})],
+                      columns=["cluster_id", "name", "is_known", "is_noise", "purity", "n_labeled", "n_total", "label_distribution"])
+    save_label_map(spark, lm, str(tmp_path / "lm"), 0.75)
+    back, limit = load_label_map(spark, str(tmp_path / "lm"))
+    assert limit == 0.75 and list(back.cluster_id) == [-1, 0]
+    assert purity_warning_from_document(label_map_document(lm).replace('"purity_warning": 0.6, ', "")) == 0.6
+
+
+def test_missing_report_is_told_from_other_errors(spark, tmp_path):
+    from quorum.plans.report import read_report
+
+    with pytest.raises(FileNotFoundError):
+        read_report(spark, str(tmp_path), "internal")
+    (tmp_path / "report_internal").mkdir()
+    (tmp_path / "report_internal" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception) as err:  # noqa: PT011
+        read_report(spark, str(tmp_path), "internal").collect()
+    assert not isinstance(err.value, FileNotFoundError)
