@@ -1,22 +1,27 @@
 """Personal data by patterns, and terms that reveal it by corpus co-occurrence; DataFrame functions only.
 
-Base spans (e-mail, IP, card, phone) come from patterns.  Positions are running sums over the pieces
-between matches and the matches, so no Python is needed.  Each valid match is a protected entity.
-
-A term near an entity (within ``REACH`` code points) may reveal it.  With document frequencies over
-the whole corpus, PMI(term; entity) = log2(N n_te / (n_t n_e)) is how much of the entity's
-information content IC(entity) = log2(N / n_e) the term gives away.  A term that is seen near the
-entity in at least ``SUPPORT`` documents and whose share PMI / IC reaches ``DISCLOSURE`` is a span of
-kind ``term`` wherever it stands near that entity.  Sanitising replaces base spans by their kind and
-generalises terms: to NUMBER, NAME or TERM.
+Base spans (e-mail, IP, card, phone) come from patterns.  Positions are running sums over the exploded
+gaps and matches of a text, so no Python is needed and the work is linear in them.  Each valid match
+is a protected entity.
+
+A term in a document that holds an entity may reveal it.  With document frequencies over the whole
+corpus, PMI(term; entity) = log2(N n_te / ((n_t + ``SMOOTH``) n_e)) is how much of the entity's
+information content IC(entity) = log2(N / n_e) the term gives away; n_te counts the documents that
+hold both, wherever they stand.  The smoothing is one document more with the term than were seen, so
+what stands once isn't taken for certain.  Where the share PMI / IC reaches ``DISCLOSURE``, the
+term is a span of kind ``term`` wherever it stands, outside base spans, in a document with that entity.
+Rare entities, of one document too, are judged alike.  Sanitising replaces base spans by their kind
+and generalises terms: to NUMBER, NAME (with a capital) or TERM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorum.llm.common import WHITE, stage_table, texts, with_row_key
+from quorum.llm.common import stage_table, texts, with_row_key
 
 #: Kinds in the contract's order.  The patterns are the contract's, written so that a
 #: search doesn't go back: a match begins where a run of its characters begins or at the last match's
@@ -32,10 +37,12 @@ PATTERNS = {
 SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": r"\+[0-9]"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-#: code points before and after an entity in which terms count as near
-REACH = 64
-SUPPORT = 3
+TERM = r"[\p{L}\p{N}]+"
+
+SMOOTH = 1
 DISCLOSURE = 0.9
+#: code points of a block in which a text is cut up to replace spans
+BLOCK = 4096
 
 
 def _luhn(digits: Column) -> Column:
@@ -65,24 +72,27 @@ def _entity(kind: str, match: Column) -> Column:
 
 
 _SPAN = "array<struct<start:int,order:int,end:int,kind:string,entity:string>>"
+_PIECES = "array<struct<gap:int,match:string>>"
 
 
-def _found(kind: str, text: Column) -> Column:
-    """Valid spans of one kind, in order."""
-    pattern = PATTERNS[kind]
-    pairs = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    order = KINDS.index(kind)
+def _pieces(text: Column, pattern: str) -> Column:
+    """The matches of ``pattern`` in order, each with the length of the gap before it."""
+    return F.arrays_zip(F.transform(F.split(text, pattern), F.length).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(F.coalesce(x["match"], F.lit("")))
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("entity"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    spans = F.filter(F.aggregate(pairs, begin, step, lambda acc: acc["spans"]), lambda s: _valid(kind, s["entity"]))
-    named = F.transform(spans, lambda s: F.struct(s["start"], s["order"], s["end"], s["kind"], _entity(kind, s["entity"]).alias("entity")))
-    return F.when(text.rlike(SIGNS[kind]), named).otherwise(F.array().cast(_SPAN))
+def _positions(rows: DataFrame, pieces: str, by: list[str]) -> DataFrame:
+    """``by``, start, end and match of every piece: running sums over the exploded pieces, linear in their number."""
+    each = rows.select(*by, F.posexplode(pieces).alias("i", "p")).select(*by, "i", "p.gap", "p.match").where("match is not null")
+    width = F.length("match")
+    end = F.sum(F.col("gap") + width).over(Window.partitionBy(*by).orderBy("i")).cast("int")
+    return each.select(*by, (end - width).alias("start"), end.alias("end"), "match")
+
+
+def _valid_pieces(kind: str, text: Column) -> Column:
+    """The pieces of one kind if any match is valid, else none."""
+    pattern = PATTERNS[kind]
+    some = F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _valid(kind, m))
+    return F.when(text.rlike(SIGNS[kind]) & some, _pieces(text, pattern).cast(_PIECES)).otherwise(F.array().cast(_PIECES))
 
 
 def _written(spans: Column) -> Column:
@@ -90,68 +100,90 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def base_spans(rows: DataFrame) -> DataFrame:
-    """Add ``base``, all valid base spans of ``text`` by start, then kind."""
-    rows = rows.select("*", *(_found(k, F.col("text")).alias(f"_{k}") for k in KINDS))
-    return rows.withColumn("base", F.array_sort(F.concat(*(f"_{k}" for k in KINDS)))).drop(*(f"_{k}" for k in KINDS))
-
-
-def _near(rows: DataFrame) -> DataFrame:
-    """(row, entity, term, start, end): each whole word near a base span and outside all base spans of the text."""
-    spans = rows.select("row", "text", "base", F.explode("base").alias("s")).select("row", "text", "base", "s.*")
-    left = F.greatest(F.lit(0), F.col("start") - REACH)
-    sides = F.array(
-        F.struct(left.alias("at"), F.expr(f"substring(text, greatest(0, start - {REACH}) + 1, start - greatest(0, start - {REACH}))").alias("side"),
-                 (left > 0).alias("cut_first"), F.lit(False).alias("cut_last")),
-        F.struct(F.col("end").alias("at"), F.expr(f"substring(text, end + 1, {REACH})").alias("side"),
-                 F.lit(False).alias("cut_first"), (F.length("text") > F.col("end") + REACH).alias("cut_last")))
-    parts = spans.select("row", "entity", "base", F.explode(sides).alias("p")).select("row", "entity", "base", "p.*")
-    # a word at the edge of the reach may go on outside it, and so isn't taken
-    words = parts.select("row", "entity", "base", "at", "cut_first", "cut_last", F.arrays_zip(
-        F.split("side", r"[\p{L}\p{N}]+").alias("gap"), F.regexp_extract_all("side", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("word")).alias("pairs"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(F.coalesce(x["word"], F.lit("")))).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), x["word"].alias("word")))).alias("out"))
-    begin = F.struct(F.col("at").alias("at"), F.array().cast("array<struct<start:int,word:string>>").alias("out"))
-    words = words.withColumn("out", F.filter(F.aggregate("pairs", begin, step, lambda acc: acc["out"]), lambda w: w["word"].isNotNull()))
-    edge = words.withColumn("out", F.filter("out", lambda w: ~(F.col("cut_first") & (w["start"] == F.col("at")))))
-    last = F.expr("aggregate(pairs, 0, (a, x) -> a + length(x.gap) + length(coalesce(x.word, '')))") + F.col("at")
-    edge = edge.withColumn("last", last)
-    edge = edge.withColumn("out", F.filter("out", lambda w: ~(F.col("cut_last") & (w["start"] + F.length(w["word"]) == F.col("last")))))
-    found = edge.select("row", "entity", "base", F.explode("out").alias("w")).select(
-        "row", "entity", "base", F.lower("w.word").alias("term"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"))
-    inside = F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    return found.where(~inside).select("row", "entity", "term", "start", "end")
-
-
-def spans_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(row, doc_id, h, base, terms): the base spans and the disclosing terms' spans of each row of ``docs``.
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _base_spans(rows: DataFrame) -> DataFrame:
+    """(row, start, order, end, kind, entity): the valid base spans of all texts."""
+    found = [_positions(rows.where(F.size(kind) > 0), kind, ["row"]).where(_valid(kind, F.col("match"))).select(
+        "row", "start", F.lit(i).alias("order"), "end", F.lit(kind).alias("kind"), _entity(kind, F.col("match")).alias("entity")) for i, kind in enumerate(KINDS)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _class(rows: DataFrame, name: str, *extra: Column) -> DataFrame:
+    """One row per ``name`` with its number of rows ``n`` and a fingerprint ``f`` of the set of its rows.
+
+    Entities, and terms, that stand in the same documents have the same counts with everything else, so
+    one pair stands for all of them: a document of 100 000 addresses is one class, not 100 000.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "row")) for seed in (1, 2)]
+    return rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(marks)], *extra)
+
+
+def disclosing_terms(held: DataFrame, words: DataFrame, frequency: DataFrame, total: float, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(row, term): the terms of each document that disclose an entity of the same document.
+
+    ``held`` has distinct (row, entity), ``words`` distinct (row, term) of the same documents, ``frequency``
+    (term, n_t) over the whole corpus.  As n_te is at most n_t and n_e, only terms in at most
+    N^(1 - d) n_e^d documents can reach the share d; the others go before any pair is made.
+    """
+    entity = _class(held, "entity").where(F.col("n") < total).select(
+        "entity", F.col("n").alias("n_e"), F.xxhash64("n", "m0", "m1").alias("ec"))
+    held = stage_table(held.join(entity, "entity").select("row", "n_e", "ec").distinct(), "entity-classes")
+    bound = F.pow(F.lit(total), F.lit(1 - disclosure)) * F.pow(F.max("n_e"), F.lit(disclosure))
+    rare = words.join(held.groupBy("row").agg(bound.alias("bound")), "row").join(frequency, "term").where("n_t <= bound + 1e-9")
+    rare = stage_table(rare.select("row", "term", "n_t"), "rare-terms")
+    kinds = _class(rare, "term", F.first("n_t").alias("n_t")).select("term", "n_t", F.xxhash64("n_t", "n", "m0", "m1").alias("tc"))
+    member = stage_table(rare.select("row", "term").join(kinds, "term"), "term-classes")
+    pairs = member.select("row", "n_t", "tc").distinct().join(held, "row")
+    both = pairs.groupBy("tc", "ec").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    ic = F.log2(F.lit(total) / F.col("n_e"))
+    pmi = F.log2(F.lit(total) * F.col("n_te") / ((F.col("n_t") + SMOOTH) * F.col("n_e")))
+    told = both.where(pmi >= disclosure * ic).select("tc", "ec")
+    return member.join(pairs.select("row", "tc", "ec").join(told, ["tc", "ec"]).select("row", "tc").distinct(), ["row", "tc"]).select("row", "term")
+
+
+def spans_long(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, h) of each row of ``docs``, and (row, start, order, end, kind, entity) of all spans, base and terms.
 
     Null text is empty and has no spans.  Repeated rows count as documents of their own.  An empty
     table gives no rows; other columns of ``docs`` aren't read.
     """
     whole = with_row_key(texts(docs, id_col, text_col))
-    rows = base_spans(whole)
-    around = F.when(F.size("base") > 0, F.col("text"))
-    rows = stage_table(rows.select("doc_id", "h", "base", around.alias("text")).withColumn("row", F.monotonically_increasing_id()), "base")
-    some = rows.where("text is not null")
-    near = stage_table(_near(some.select("row", "text", "base")), "near")
-
-    seen = near.select("row", "term", "entity").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
-    seen = stage_table(seen, "seen")
-    entities = some.select("row", F.explode("base.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    # document frequencies over the whole corpus: partial counts go out, then only the seen terms stay
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    frequency = whole.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    rows = whole.select("doc_id", "h", "text", *(_valid_pieces(k, F.col("text")).alias(k) for k in KINDS))
+    some = reduce(lambda a, b: a | b, [F.size(k) > 0 for k in KINDS])
+    rows = stage_table(rows.select("doc_id", "h", *KINDS, F.when(some, F.col("text")).alias("text")).withColumn("row", F.monotonically_increasing_id()), "matches")
+    base = stage_table(_base_spans(rows), "base")
+    hold = rows.where("text is not null").select("row", "text")
+    words = hold.select("row", F.explode(_words(F.col("text"))).alias("term"))
+    # document frequencies over the whole corpus: partial counts go out before the exchange
+    frequency = whole.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = float(rows.count())
-    joined = seen.join(entities, "entity").join(frequency, "term")
-    ic = F.log2(F.lit(total) / F.col("n_e"))
-    pmi = F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    flagged = joined.where((ic > 0) & (pmi >= disclosure * ic)).select("term", "entity")
-    flagged = near.join(flagged, ["term", "entity"]).select("row", "start", "end", "term").distinct()
-    span = F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit("term").alias("kind"), F.col("term").alias("entity"))
-    terms = flagged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("terms"))
-    return rows.drop("text").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_SPAN)))
+    told = stage_table(disclosing_terms(base.select("row", "entity").distinct(), words, frequency, max(total, 1.0), disclosure), "told")
+    # where the terms stand: all words of the documents concerned, with positions
+    places = _positions(hold.join(told.select("row").distinct(), "row").withColumn("pieces", _pieces(F.col("text"), TERM)), "pieces", ["row"])
+    places = places.withColumn("term", F.lower("match")).join(told, ["row", "term"])
+    ends = base.select("row", "start", "end").withColumn("base", F.lit(True))
+    mixed = places.select("row", "start", "end", "match", F.lit(False).alias("base")).unionByName(ends, allowMissingColumns=True)
+    # a word that overlaps a base span isn't a term: the furthest base end before it, the nearest base start after
+    ahead = Window.partitionBy("row").orderBy("start", F.col("base").desc())
+    behind = Window.partitionBy("row").orderBy(F.col("start").desc(), "base")
+    mixed = mixed.withColumn("before", F.max(F.when(F.col("base"), F.col("end"))).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    mixed = mixed.withColumn("after", F.min(F.when(F.col("base"), F.col("start"))).over(behind.rowsBetween(Window.unboundedPreceding, 0)))
+    free = ~F.col("base") & (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
+    terms = mixed.where(free).select("row", "start", F.lit(len(KINDS)).alias("order"), "end", F.lit("term").alias("kind"), F.col("match").alias("entity"))
+    return rows.select("row", "doc_id", "h"), stage_table(base.unionByName(terms), "spans")
+
+
+def spans_table(docs: DataFrame, **options) -> DataFrame:
+    """(row, doc_id, h, base, terms): the base spans and the disclosing terms' spans of each row of ``docs``."""
+    rows, spans = spans_long(docs, **options)
+    span = F.struct("start", "order", "end", "kind", "entity")
+    lists = spans.groupBy("row").agg(*(F.array_sort(F.collect_list(F.when(which, span))).alias(name)
+                                       for name, which in (("base", F.col("kind") != "term"), ("terms", F.col("kind") == "term"))))
+    rows = rows.join(lists, "row", "left")
+    return rows.select("row", "doc_id", "h", *(F.coalesce(c, F.array().cast(_SPAN)).alias(c) for c in ("base", "terms")))
 
 
 def _of(kind: str):
@@ -167,33 +199,44 @@ def find_private(docs: DataFrame, **options) -> DataFrame:
         _written(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
 
-def _replaced(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by a tag."""
-    def tag(s: Column) -> Column:
-        general = F.when(s["entity"].rlike("^[0-9]+$"), "NUMBER").when(F.substring(s["entity"], 1, 1).rlike(r"\p{Lu}"), "NAME").otherwise("TERM")
-        return F.concat(F.lit("<"), F.when(s["kind"] == "term", general).otherwise(F.upper(s["kind"])), F.lit(">"))
+def _cut(blocks: Column, begin: Column, end: Column) -> Column:
+    """Code points ``begin`` to ``end`` of a text in blocks of ``BLOCK``: only the blocks between are read."""
+    first = F.floor(begin / BLOCK).cast("int")
+    n = F.greatest(F.lit(0), F.ceil(end / BLOCK).cast("int") - first)
+    return F.substring(F.array_join(F.slice(blocks, first + 1, n), ""), begin - first * BLOCK + 1, end - begin)
+
+
+def _replaced(text: Column, tags: Column, last: Column) -> Column:
+    """The text with its spans replaced: the gap before each tag, the tag, and what follows the last span."""
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), tag(s))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+    def written(cut: Column) -> Column:
+        return F.concat(F.array_join(F.transform(tags, lambda s: F.concat(_cut(cut, s["begin"], s["start"]), s["tag"])), ""), _cut(cut, last, F.length(text)))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(spans, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    # a variable of an outer function: an expression inside the inner one would be worked out again for each span
+    return F.element_at(F.transform(F.array(blocks), written), 1)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in ``text``; ``n_chars``, if there is one, follows the text.
 
-    Texts without spans, null texts and all other columns stay as they are.  Only rows with spans
-    come out of the search; rows that repeat (doc_id, text) have the same spans and are joined once.
+    A run of overlapping spans becomes the tag of its first.  Texts without spans, null texts and all other
+    columns stay as they are.  Only rows with spans come out of the search; rows that repeat (doc_id, text)
+    have the same spans and are joined once.
     """
-    spans = spans_table(docs).withColumn("_spans", F.array_sort(F.concat("base", "terms"))).where(F.size("_spans") > 0)
-    spans = spans.groupBy("doc_id", "h").agg(F.first("_spans").alias("_spans")).withColumnRenamed("doc_id", "_id")
-    rows = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    rows = rows.join(spans, rows["doc_id"].eqNullSafe(spans["_id"]) & (rows["_key"] == spans["h"]), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("_spans")))
-    out = rows.withColumn("_new", text)
+    rows, spans = spans_long(docs)
+    at = Window.partitionBy("row").orderBy("start", "order", "end")
+    begin = F.coalesce(F.max("end").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    general = F.when(F.col("entity").rlike("^[0-9]+$"), "NUMBER").when(F.col("entity").rlike(r"^\p{Lu}"), "NAME").otherwise("TERM")
+    tag = F.concat(F.lit("<"), F.when(F.col("kind") == "term", general).otherwise(F.upper("kind")), F.lit(">"))
+    spans = spans.withColumn("begin", begin).withColumn("tag", tag)
+    fresh = F.when(F.col("start") >= F.col("begin"), F.struct("start", "begin", "tag"))
+    spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(fresh)).alias("_tags"), F.max("end").alias("_last"))
+    spans = spans.join(rows, "row").groupBy(F.col("doc_id").alias("_id"), "h").agg(F.first(F.struct("_tags", "_last")).alias("_spans"))
+    out = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    out = out.join(spans, out["doc_id"].eqNullSafe(spans["_id"]) & (out["_key"] == spans["h"]), "left")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("_spans._tags"), F.col("_spans._last")))
+    out = out.withColumn("_new", text)
     length = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_new")) if "n_chars" in docs.columns else None
     return out.select(*(F.col("_new").alias(c) if c == "text" else length.cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
