@@ -29,6 +29,8 @@ COMMON = {
 FREQUENT = 20
 #: what can be one: a letter, and no characters but letters, marks, digits, apostrophes and hyphens
 PLAIN = r"^[\p{L}\p{M}\p{N}'\x{2019}-]*\p{L}[\p{L}\p{M}\p{N}'\x{2019}-]*$"
+#: the most frequent characters, small letters and white space; the others are a small part of a text
+USUAL = r"[a-z\x20\x09-\x0D]++"
 #: character classes as the characters that don't belong to them; small letters are the rest
 OTHERS = {"upper": "[^A-Z]+", "digit": "[^0-9]+", "stop": "[^.,;:!?]+", "symbol": r"[A-Za-z0-9\x20\x09-\x0D.,;:!?]+|[^\x00-\x7F]+", "beyond": r"[\x00-\x7F]+"}
 
@@ -61,10 +63,15 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: lis
     return _fixed(rows, rows.columns, [words.alias("words")])
 
 
+def _unusual(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``unusual``, the text without its ``USUAL`` characters: the only search through a whole text, the classes are counted in what it leaves."""
+    return rows.withColumn("unusual", F.regexp_replace("text", USUAL, ""))
+
+
 def _histogram() -> list[Column]:
     """n_words, word_chars, n_chars and the counts of character classes."""
-    return [F.size("words").cast("long").alias("n_words"), _left(F.col("text"), WHITE).alias("word_chars"),
-            F.length("text").cast("long").alias("n_chars"), *(_left(F.col("text"), p).alias(f"c_{c}") for c, p in OTHERS.items())]
+    return [F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+            F.length("text").cast("long").alias("n_chars"), *(_left(F.col("unusual"), p).alias(f"c_{c}") for c, p in OTHERS.items())]
 
 
 def _character_counts() -> Column:
@@ -121,7 +128,7 @@ def _distance(counts: Column, reference: Column) -> Column:
 def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, own_words, own_chars, own_shares, own_limit): per language its frequent words, the mean shares of character classes and of those words and the rest, and the limit of the latter's distance."""
     rows = _texts(docs.where(F.col(lang_col).isNotNull()), id_col, text_col, lang_col, []).where(F.size("words") >= COMPARED_WORDS)
-    counted = _fixed(rows, ["lang"], _histogram())
+    counted = _fixed(_unusual(rows), ["lang"], _histogram())
     counted = _fixed(counted, ["lang"], [F.transform(_character_counts(), lambda x: F.floor(x * _PARTS / F.col("n_chars"))).alias("parts")])
     chars = counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("parts")[i]).alias(f"c{i}") for i in range(len(OTHERS) + 2)))
     whole = F.aggregate(F.array(*(f"c{i}" for i in range(len(OTHERS) + 2))), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -160,8 +167,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     longest = F.coalesce(F.array_max(F.transform("own_words", F.length)), F.lit(0))
     small = F.transform(F.array(longest), lambda n: F.transform(F.filter("words", lambda w: F.length(w) <= n), F.lower))[0]
     common = F.when(F.col("own_words").isNull(), F.array().cast("array<string>")).otherwise(F.filter(small, lambda w: F.array_contains(F.col("own_words"), w)))
-    rows = _fixed(rows, [*names, "doc_id", *own], [
-        *_histogram(), common.alias("common"), _left(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"),
+    rows = _fixed(_unusual(rows), [*names, "doc_id", *own], [
+        *_histogram(), common.alias("common"), _left(F.col("unusual"), r"[^#*$%&|<>]+").alias("n_symbols"),
         doubled.cast("long").alias("n_dup_lines"), _repeated(F.col("words")).alias("n_repeat_words")])
     rows = _fixed(rows, [*names, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *own], [
         _character_counts().alias("chars"), _word_counts().alias("counts")])
