@@ -12,7 +12,7 @@ most frequent pairs, at most ``SENT`` of them, are sent to every task as sorted
 the other pairs leave as (row, pair, how often) and are joined.
 
 Both tokenizers cut a text where a space follows something that isn't white, so the units between
-such spaces are encoded once per worker and remembered.
+such spaces are encoded once per worker and remembered.  A text's first space begins its first unit.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ SPACE_MARK = "▁"
 #: id pairs are one number: A's id in the upper bits
 SHIFT = 32
 
-_UNIT = re.compile(r"(?<!\s) (?=[^ ])")
+#: not at a text's start: side B's own space joins the one that stands there
+_UNIT = re.compile(r"(?<=\S) (?=[^ ])")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 

@@ -86,6 +86,17 @@ def test_report_equals_a_plain_loop(spark, sent):
     assert sum(r[0] == 0 for r in got.values()) < 8
 
 
+EDGES = [" b", " \x0b", " \n", "  b", " a b  c ", "\tb", "\n b", " \u0301x", " \x85K*", " ▁a", "▁ ▁", "\u00a0 b \u3000 c", " 8 ", "b "]
+
+
+def test_texts_that_begin_with_white_space(spark):
+    """Side B's own space and a text's first one are encoded together."""
+    df = spark.createDataFrame(list(enumerate(EDGES)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r[c] for c in NAMES) for r in al.link_report(df).collect()}
+    assert got == dict(enumerate(brute(EDGES)))
+    assert all(got[i][0] > 0 for i in (0, 1, 2, 3, 4, 7))
+
+
 def test_units_equal_whole_texts(spark):
     """Encoding by units gives the libraries' ids of the whole text."""
     texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + [t or "" for t in TEXTS]
