@@ -31,8 +31,10 @@ FREQUENT = 20
 PLAIN = r"^[\p{L}\p{M}\p{N}'\x{2019}-]*\p{L}[\p{L}\p{M}\p{N}'\x{2019}-]*$"
 #: the most frequent characters, small letters and white space; the others are a small part of a text
 USUAL = r"[a-z\x20\x09-\x0D]++"
-#: character classes as the characters that don't belong to them; small letters are the rest
-OTHERS = {"upper": "[^A-Z]+", "digit": "[^0-9]+", "stop": "[^.,;:!?]+", "symbol": r"[A-Za-z0-9\x20\x09-\x0D.,;:!?]+|[^\x00-\x7F]+", "beyond": r"[\x00-\x7F]+"}
+#: character classes in the order in which they are taken out of the others; small letters are what ``USUAL`` takes, symbols are left
+PEELED = {"stop": "[.,;:!?]++", "upper": "[A-Z]++", "digit": "[0-9]++", "beyond": r"[^\x00-\x7F]++"}
+#: the classes of a histogram after small letters and white space
+CLASSES = ("upper", "digit", "stop", "symbol", "beyond")
 
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
@@ -64,28 +66,29 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: lis
 
 
 def _unusual(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``unusual``, the text without its ``USUAL`` characters: the only search through a whole text, the classes are counted in what it leaves."""
-    return rows.withColumn("unusual", F.regexp_replace("text", USUAL, ""))
+    """``rows`` with ``unusual``, the text without its ``USUAL`` characters, and what is left of that after each class of ``PEELED``: the only search through a whole text."""
+    rows, rest = rows.withColumn("unusual", F.regexp_replace("text", USUAL, "")), "unusual"
+    for c, pattern in PEELED.items():
+        rows, rest = rows.withColumn(f"after_{c}", F.regexp_replace(rest, pattern, "")), f"after_{c}"
+    return rows.withColumnRenamed(rest, "symbols")
 
 
 def _histogram() -> list[Column]:
-    """n_words, word_chars, n_chars and the counts of character classes."""
-    return [F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-            F.length("text").cast("long").alias("n_chars"), *(_left(F.col("unusual"), p).alias(f"c_{c}") for c, p in OTHERS.items())]
+    """n_words, word_chars, n_chars, n_unusual and the counts of character classes."""
+    size = lambda c: F.length(c).cast("long")
+    rests = ["unusual", *(f"after_{c}" for c in list(PEELED)[:-1]), "symbols"]
+    taken = [(size(x) - size(y)).alias(f"c_{c}") for c, x, y in zip(PEELED, rests[:-1], rests[1:], strict=True)]
+    return [F.size("words").cast("long").alias("n_words"), size(F.array_join("words", "")).alias("word_chars"), size("text").alias("n_chars"),
+            size("unusual").alias("n_unusual"), *taken, size("symbols").alias("c_symbol")]
 
 
 def _character_counts() -> Column:
-    white = F.col("n_chars") - F.col("word_chars")
-    known = [F.col(f"c_{c}") for c in OTHERS]
-    small = F.col("word_chars")
-    for c in known:
-        small = small - c
-    return F.array(small, white, *known)
+    return F.array(F.col("word_chars") - F.col("n_unusual"), F.col("n_chars") - F.col("word_chars"), *(F.col(f"c_{c}") for c in CLASSES))
 
 
 def _word_counts() -> Column:
-    """How often each of the reference's words stands in ``common``, and the other words."""
-    found = [F.coalesce(F.size("common") - F.size(F.array_remove("common", F.get("own_words", F.lit(i)))), F.lit(0)) for i in range(FREQUENT)]
+    """How often each place of the reference's words stands in ``common``, and the other words."""
+    found = [F.size("common") - F.size(F.array_remove("common", F.lit(i + 1).cast("long"))) for i in range(FREQUENT)]
     return F.array(*(c.cast("long") for c in found), F.col("n_words") - F.size("common"))
 
 
@@ -93,13 +96,13 @@ def _repeated(words: Column) -> Column:
     """Words in 3-word windows that are found twice or more, by the windows' 64-bit hashes."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     windows = F.transform(F.array(hashes), lambda h: F.transform(
-        F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))))[0]
+        F.slice(h, F.lit(1), F.size(h) - 2), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))))[0]
 
     def covered(ordered: Column) -> Column:
         def twin(x: Column, k: Column) -> Column:
             return ((k > 0) & (F.get(ordered, k - 1)["v"] == x["v"])) | (F.get(ordered, k + 1)["v"].eqNullSafe(x["v"]))
 
-        starts = F.array_sort(F.transform(F.filter(ordered, twin), lambda x: x["i"]))
+        starts = F.sort_array(F.transform(F.filter(ordered, twin), lambda x: x["i"]))
         return F.aggregate(
             starts, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
             lambda acc, s: F.struct((acc["n"] + F.least(F.lit(3), s - acc["last"])).alias("n"), s.alias("last")), lambda acc: acc["n"])
@@ -107,7 +110,7 @@ def _repeated(words: Column) -> Column:
     def count(w: Column) -> Column:
         pairs = F.transform(w, lambda x, i: F.struct(x.alias("v"), i.alias("i")))
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(
-            F.transform(F.array(F.array_sort(pairs)), covered)[0])
+            F.transform(F.array(F.sort_array(pairs)), covered)[0])
 
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(F.transform(F.array(windows), count)[0]).cast("long")
 
@@ -130,9 +133,9 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _texts(docs.where(F.col(lang_col).isNotNull()), id_col, text_col, lang_col, []).where(F.size("words") >= COMPARED_WORDS)
     counted = _fixed(_unusual(rows), ["lang"], _histogram())
     counted = _fixed(counted, ["lang"], [F.transform(_character_counts(), lambda x: F.floor(x * _PARTS / F.col("n_chars"))).alias("parts")])
-    chars = counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("parts")[i]).alias(f"c{i}") for i in range(len(OTHERS) + 2)))
-    whole = F.aggregate(F.array(*(f"c{i}" for i in range(len(OTHERS) + 2))), F.lit(0).cast("long"), lambda a, x: a + x)
-    chars = chars.select("lang", "n", F.array(*(F.col(f"c{i}") / whole for i in range(len(OTHERS) + 2))).alias("own_chars"))
+    chars = counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("parts")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 2)))
+    whole = F.aggregate(F.array(*(f"c{i}" for i in range(len(CLASSES) + 2))), F.lit(0).cast("long"), lambda a, x: a + x)
+    chars = chars.select("lang", "n", F.array(*(F.col(f"c{i}") / whole for i in range(len(CLASSES) + 2))).alias("own_chars"))
     # a word's mean share: each time it stands it adds its document's 1 / n_words
     each = rows.select("lang", F.floor(F.lit(_WORD_PARTS) / F.size("words")).alias("part"), F.explode("words").alias("word"))
     each = each.groupBy("lang", F.lower("word").alias("word")).agg(F.sum("part").alias("part")).where(F.col("word").rlike(PLAIN))
@@ -165,10 +168,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     doubled = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
     own = ["own_words", "own_chars", "own_shares", "own_limit"]
     longest = F.coalesce(F.array_max(F.transform("own_words", F.length)), F.lit(0))
-    small = F.transform(F.array(longest), lambda n: F.transform(F.filter("words", lambda w: F.length(w) <= n), F.lower))[0]
-    common = F.when(F.col("own_words").isNull(), F.array().cast("array<string>")).otherwise(F.filter(small, lambda w: F.array_contains(F.col("own_words"), w)))
+    short = F.transform(F.array(longest), lambda n: F.filter("words", lambda w: F.length(w) <= n))[0]
+    places = F.filter(F.transform(short, lambda w: F.array_position(F.col("own_words"), F.lower(w))), lambda x: x > 0)
+    common = F.when(F.col("own_words").isNull(), F.array().cast("array<bigint>")).otherwise(places)
     rows = _fixed(_unusual(rows), [*names, "doc_id", *own], [
-        *_histogram(), common.alias("common"), _left(F.col("unusual"), r"[^#*$%&|<>]+").alias("n_symbols"),
+        *_histogram(), common.alias("common"), _left(F.col("symbols"), r"[^#*$%&|<>]++").alias("n_symbols"),
         doubled.cast("long").alias("n_dup_lines"), _repeated(F.col("words")).alias("n_repeat_words")])
     rows = _fixed(rows, [*names, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *own], [
         _character_counts().alias("chars"), _word_counts().alias("counts")])

@@ -147,6 +147,21 @@ def tokenizer(name):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
+def test_quality_counts_each_class_and_repeats_in_one_reduced_text(spark):
+    texts = ["Ab1, c.D;é 日\t#x*_\x01?  Z9", "plain words only", "A.B.C!", "", "a b c a b c d a b c", "x " * 40, "no repeat in these few words", "1 2 1 2 1 2"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    made = quality._unusual(quality._texts(df, "doc_id", "text", "lang", [])).select("doc_id", *quality._histogram(), quality._repeated(quality.F.col("words")).alias("rep"))
+    made = {r["doc_id"]: (list(r["chars"]), r["rep"]) for r in made.select("doc_id", "rep", quality._character_counts().alias("chars")).collect()}
+    for i, t in enumerate(texts):
+        white = sum(c in " \t\n\x0b\x0c\r" for c in t)
+        known = [sum("A" <= c <= "Z" for c in t), sum("0" <= c <= "9" for c in t), sum(c in ".,;:!?" for c in t)]
+        beyond, small = sum(c > "\x7f" for c in t), sum("a" <= c <= "z" for c in t)
+        w = WORD.findall(t)
+        windows = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {k + j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        assert made[i] == ([small, white, *known, len(t) - white - small - sum(known) - beyond, beyond], len(covered))
+
+
 def test_bpe_equals_the_library(docs, rows):
     t = tokenizer("byte_bpe_50k.json")
     rng = random.Random(2)
