@@ -91,16 +91,20 @@ def topk_block(qv: np.ndarray, qids: np.ndarray, rv: np.ndarray, rids: np.ndarra
     widest = np.sqrt(rn.max())
     error = 8 * (rv.shape[1] + 8) * np.finfo(np.float64).eps
     found = []
-    rows = max(1, _BLOCK_BYTES // (8 * nr))
+    rows = max(1, _BLOCK_BYTES // (16 * nr))
     for s in range(0, nq, rows):
         qc = qv[s:s + rows] - centre
         qn = np.einsum("ij,ij->i", qc, qc)
-        d2 = qn[:, None] + rn[None, :] - 2.0 * (qc @ rc.T)
+        d2 = qc @ rc.T  # in place: one matrix of this size and its partitioned copy
+        d2 *= -2.0
+        d2 += qn[:, None]
+        d2 += rn[None, :]
         if exclude_self:
             d2[rids[None, :] == qids[s:s + rows, None]] = np.inf
         kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if k < nr else np.full(len(qc), np.inf)
         limit = kth + error * (np.sqrt(qn) + widest) ** 2
-        qi, ri = np.nonzero((d2 <= limit[:, None]) & (d2 < np.inf))
+        np.minimum(limit, np.finfo(np.float64).max, out=limit)  # infinite ones are out
+        qi, ri = np.nonzero(d2 <= limit[:, None])
         dist = _pair_dist(qv, rv, qi + s, ri)
         order = np.lexsort((rids[ri], dist, qi))
         qi, ri, dist = qi[order], ri[order], dist[order]
