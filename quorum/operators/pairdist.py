@@ -22,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.operators.knn import _mat
+from quorum.operators.knn import _exact_dist, _mat
 
 _LEAF = 50_000
 _BUCKETS = 4096
+#: bytes of the distances of one run of rows
+_PAIR_BYTES = 8 << 20
 
 
 def _pairs_block(q: pd.DataFrame, r: pd.DataFrame):
@@ -33,11 +35,12 @@ def _pairs_block(q: pd.DataFrame, r: pd.DataFrame):
     qx, rx = _mat(q["v"]), _mat(r["v"])
     qi, ri = q["row_index"].to_numpy(), r["row_index"].to_numpy()
     qc, rc = q["c"].to_numpy(), r["c"].to_numpy()
-    for s in range(0, len(qx), 256):
-        d = np.sqrt(np.maximum(((qx[s:s + 256, None, :] - rx[None, :, :]) ** 2).sum(-1), 0))
-        keep = qi[s:s + 256, None] != ri[None, :]
-        same = qc[s:s + 256, None] == rc[None, :]
-        cls = np.broadcast_to(qc[s:s + 256, None], d.shape)
+    step = max(1, _PAIR_BYTES // (8 * len(rx)))
+    for s in range(0, len(qx), step):
+        d = _exact_dist(qx[s:s + step], rx)
+        keep = qi[s:s + step, None] != ri[None, :]
+        same = qc[s:s + step, None] == rc[None, :]
+        cls = np.broadcast_to(qc[s:s + step, None], d.shape)
         yield cls[keep], same[keep], d[keep]
 
 
@@ -74,7 +77,7 @@ def pair_distance_quantiles(df: DataFrame, probs=(0.5,), *, vec: str = "features
     def stats(q, r):
         acc = {}
         for cls, same, d in _pairs_block(q, r):
-            for key in set(zip(cls.tolist(), same.tolist())):
+            for key in [(c, b) for c in np.unique(cls).tolist() for b in (False, True)]:
                 m = (cls == key[0]) & (same == key[1])
                 dd = d[m]
                 if len(dd):
@@ -104,7 +107,7 @@ def pair_distance_quantiles(df: DataFrame, probs=(0.5,), *, vec: str = "features
         table = dict(small)
 
         def hist(q, r, table=table, nbk=nbk):
-            rows = []
+            found = {}  # per interval: count, least and largest value of each bucket
             for cls, same, d in _pairs_block(q, r):
                 for iid, (key, lo, hi) in table.items():
                     m = (cls == key[0]) & (same == key[1]) & (d >= lo) & (d <= hi)
@@ -113,12 +116,17 @@ def pair_distance_quantiles(df: DataFrame, probs=(0.5,), *, vec: str = "features
                         continue
                     w = (hi - lo) / nbk
                     b = np.minimum(np.floor((dd - lo) / w), nbk - 1).astype(int) if w > 0 else np.zeros(len(dd), int)
-                    g = pd.DataFrame({"b": b, "d": dd}).groupby("b")["d"].agg(["count", "min", "max"]).reset_index()
-                    g["tid"] = iid
-                    rows.append(g)
-            if not rows:
-                return pd.DataFrame({"tid": [], "b": [], "count": [], "min": [], "max": []})
-            return pd.concat(rows)[["tid", "b", "count", "min", "max"]]
+                    if iid not in found:
+                        found[iid] = np.zeros(nbk, np.int64), np.full(nbk, np.inf), np.full(nbk, -np.inf)
+                    count, least, most = found[iid]
+                    count += np.bincount(b, minlength=nbk)
+                    np.minimum.at(least, b, dd)
+                    np.maximum.at(most, b, dd)
+            rows = [pd.DataFrame({"tid": [], "b": [], "count": [], "min": [], "max": []})]
+            for iid, (count, least, most) in found.items():
+                at = np.flatnonzero(count)
+                rows.append(pd.DataFrame({"tid": iid, "b": at, "count": count[at], "min": least[at], "max": most[at]}))
+            return pd.concat(rows[1:] or rows)
 
         h = (_run(lab, hist, "tid long, b long, count long, min double, max double", max_broadcast_rows, block_rows)
              .groupBy("tid", "b").agg(F.sum("count").alias("cnt"), F.min("min").alias("bmin"), F.max("max").alias("bmax"))
