@@ -1,6 +1,10 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 
+from quorum.operators import metrics, pairdist
 from quorum.operators.knn import knn, radius_neighbors, topk_block
 from quorum.sources import stand_ins as si
 
@@ -69,3 +73,82 @@ def test_equal_points_give_the_smallest_ids(spark):
     for strategy in ("broadcast", "pivot"):
         got = knn(df, df, 3, strategy=strategy, block_rows=7, n_pivots=3).where("row_index = 11").orderBy("rank").collect()
         assert [r.nbr_index for r in got] == [0, 1, 2]
+
+
+class Local:
+    """Stands for a table and its session: gives a fixed frame and the mapper itself."""
+
+    def __init__(self, frame):
+        self.frame = frame
+        self.sparkSession = self.sparkContext = self
+
+    def select(self, *columns):
+        return self
+
+    def toPandas(self):
+        return self.frame
+
+    def broadcast(self, value):
+        return type("Shared", (), {"value": value})
+
+    def mapInPandas(self, run, schema):
+        return run
+
+
+def peak(run):
+    """(MB that ``run`` held at most beyond what there was, its result)."""
+    tracemalloc.start()
+    try:
+        out = run()
+        return tracemalloc.get_traced_memory()[1] / 2**20, out
+    finally:
+        tracemalloc.stop()
+
+
+def wide(n):
+    rng = np.random.default_rng(1)
+    return pd.DataFrame({"row_index": np.arange(n), "cluster_id": rng.integers(0, 3, n), "features": list(rng.normal(size=(n, 64)))})
+
+
+def test_silhouette_holds_a_bounded_block():
+    frame = wide(3000)
+    x, lab = np.stack(frame["features"]), frame["cluster_id"].to_numpy()
+    run = metrics._silhouette_rows_broadcast(Local(frame), "features", "cluster_id")
+    used, out = peak(lambda: pd.concat(run(iter([frame.iloc[:300]]))))
+    d = np.sqrt(((x[:300, None, :] - x[None, :, :]) ** 2).sum(-1))
+    means = np.stack([d[:, lab == c].sum(axis=1) / ((lab == c).sum() - (lab[:300] == c)) for c in range(3)], 1)
+    a = means[np.arange(300), lab[:300]]
+    means[np.arange(300), lab[:300]] = np.inf
+    assert np.allclose(out["s"], (means.min(axis=1) - a) / np.maximum(a, means.min(axis=1)))
+    assert used < 150
+
+
+def test_pair_distances_hold_a_bounded_block():
+    frame = wide(3000).rename(columns={"cluster_id": "c", "features": "v"})
+    used, n = peak(lambda: sum(len(d) for _, _, d in pairdist._pairs_block(frame.iloc[:300], frame)))
+    assert n == 300 * 2999 and used < 150
+
+
+def test_top_k_holds_one_matrix_and_a_copy():
+    rng = np.random.default_rng(2)
+    rv, ids = rng.normal(size=(20_000, 8)), np.arange(20_000)
+    used, (qi, ri, d) = peak(lambda: topk_block(rv[:300], ids[:300], rv, ids, 3, True))
+    assert used < 60 and len(qi) == 900
+    for i in (0, 7, 299):
+        own = np.sqrt(((rv - rv[i]) ** 2).sum(axis=1))
+        own[i] = np.inf
+        assert ri[qi == i].tolist() == np.argsort(own)[:3].tolist() and np.allclose(d[qi == i], np.sort(own)[:3])
+
+
+@pytest.mark.parametrize("bound", [20_000, 10])
+def test_pair_quantiles_equal_all_pairs(spark, bound, monkeypatch):
+    monkeypatch.setattr(pairdist, "_PAIR_BYTES", 400)
+    rng = np.random.default_rng(4)
+    x, c = rng.normal(size=(40, 3)), rng.integers(1, 3, 40)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], float(c[i])) for i in range(40)], "row_index long, features array<double>, label double")
+    got = pairdist.pair_distance_quantiles(df, (0.25, 0.5), max_broadcast_rows=bound, block_rows=9).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert len(got) == 8
+    for r in got:
+        i, j = np.nonzero((c[:, None] == r["class"]) & ((c[:, None] == c[None]) == r["same"]) & ~np.eye(40, dtype=bool))
+        assert r["n_pairs"] == len(i) and abs(r["distance"] - np.quantile(d[i, j], r["prob"])) < 1e-9
