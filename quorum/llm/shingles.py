@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text that are worked on at a time; a longer text is worked on alone
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

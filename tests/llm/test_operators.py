@@ -199,6 +199,43 @@ def test_id_files(spark, docs, rows, tmp_path):
     assert id_files.digests(spark, f"{path}-none").count() == 0
 
 
+def test_chunks_of_later_batches_get_the_librarys_ids():
+    """Places follow the order in which chunks are met, over batches and after the cache is emptied."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quorum.llm import word_ids
+
+    cache = word_ids.ChunkCache(packing.tokenizer_text(None))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for texts in (["The cat, sat. . ! Straße?", "", "the CAT"], ["a cat; 12:30 ! naïve", "The mat"], ["new words only", "a cat"]):
+        ids, begins = cache.encode(texts)
+        for text, i, j in zip(texts, begins[:-1], begins[1:], strict=True):
+            assert ids[i:j].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert list(cache.index.values()) == list(range(len(cache.index)))
+    cache._forget()
+    assert cache.encode(["The cat"])[0].tolist() == library.encode("The cat", add_special_tokens=False).ids
+
+
+def test_signatures_work_on_bounded_runs_of_bytes():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quorum.llm import shingles
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefg ") for _ in range(4000)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(range(1000)), pa.array(texts)], ["doc_id", "h", "text"])
+    bands, length = minhash.band_shape(80)
+    shingles._powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+    tracemalloc.start()
+    out = list(minhash._sign(5, minhash.SLOTS, bands, length)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 1000 and peak < 120
+
+
 def test_packing(docs, rows):
     got = packing.pack(docs, length=256, group=8).collect()
     want = Counter((r[0], len(e), zlib.crc32(e[s : s + 256].tobytes()), s) for r, e in zip(rows, encoded(rows), strict=True) for s in range(0, len(e), 256))
