@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes.
 
-Both tokenizers read the same bytes, so each token is a byte range.  Per batch and keyed by document,
-``pandas.merge_asof`` finds for each token start the other side's covering token; the union of both
+Both tokenizers read the same bytes, so each token is a byte range.  Per batch, keyed by the place in all its
+documents, ``pandas.merge_asof`` finds for each token start the other side's covering token; the union of both
 directions is every overlap, because of two overlapping ranges the later start lies in the other.
 Places where both sides end a token cut the document into groups.
 
@@ -49,9 +49,19 @@ SHIFT = 32
 
 #: not at a text's start: side B's own space joins the one that stands there
 _UNIT = re.compile(r"(?<=\S) (?=[^ ])")
+#: white space before a space, for which a plain split at spaces wouldn't do
+_SPACED = tuple(c + " " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
+_WIDE_SPACED = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+def _units(text: str) -> list[str]:
+    """The text cut at ``_UNIT``; where each space stands alone, a plain split is the same."""
+    if text[:1] == " " or text[-1:] == " " or any(x in text for x in _SPACED) or not text.isascii() and _WIDE_SPACED.search(text):
+        return _UNIT.split(text)
+    return text.split(" ")
+
+
 class _Index(dict):
     """Unit -> place; an unknown unit gets the next place and is noted."""
 
@@ -149,9 +159,9 @@ class Sides(tuple):
             self.index = _Index()
             for side in self:
                 side.forget()
-        get, split, places = self.index.__getitem__, _UNIT.split, []
+        get, places = self.index.__getitem__, []
         for text in docs:
-            units = split(text)
+            units = _units(text)
             places.append(np.fromiter(map(get, units), np.int64, len(units)))
         new, self.index.new = self.index.new, []
         place, upto = np.concatenate(places), np.cumsum([0, *map(len, places)])
@@ -207,32 +217,37 @@ class Aligned:
 
     def _link(self) -> None:
         """Every overlap as (place in A, place in B), by A's place and then B's."""
-        a, b = (pd.DataFrame({"doc": d, "start": s, name: np.arange(len(s))}) for d, s, name in zip(self.doc, self.start, "ab", strict=True))
-        one = pd.merge_asof(a, b, on="start", by="doc")
+        # starts ascend through all documents, and each document begins a token on both sides: the start is its key too
+        a, b = (pd.DataFrame({"start": s, name: np.arange(len(s))}) for s, name in zip(self.start, "ab", strict=True))
+        one = pd.merge_asof(a, b, on="start")
         # a B token that begins with an A token is found in the first direction already
-        two = pd.merge_asof(b, a, on="start", by="doc")
+        two = pd.merge_asof(b, a, on="start")
         at_a, at_b = two["a"].to_numpy(np.int64), two["b"].to_numpy(np.int64)
         new = self.start[0][at_a] < self.start[1][at_b]
         left = np.concatenate([one["a"].to_numpy(np.int64), at_a[new]])
         right = np.concatenate([one["b"].to_numpy(np.int64), at_b[new]])
-        order = np.lexsort((right, left))
+        # an overlap begins at the later start; in that order both places ascend, and both runs are in order already
+        order = np.argsort(np.concatenate([self.start[0], self.start[1][new]]), kind="stable")
         self.left, self.right = left[order], right[order]
         self.pair = (self.ids[0][self.left] << SHIFT) | self.ids[1][self.right]
         self.n_links = np.bincount(self.doc[0][self.left], minlength=len(self.counts[0]))
 
     def _group(self) -> None:
         """For each token the number of its group in all documents, and how many groups a document has."""
-        cut = np.intersect1d(*self.end, assume_unique=True)
-        self.group = [np.searchsorted(cut, e) for e in self.end]
-        self.closes = [np.isin(e, cut, assume_unique=True) for e in self.end]
+        total = max((int(e[-1]) for e in self.end if len(e)), default=0)
+        ends = np.zeros((2, total + 1), bool)
+        for marks, e in zip(ends, self.end, strict=True):
+            marks[e] = True
+        self.closes = [ends[1 - side][e] for side, e in enumerate(self.end)]
+        self.group = [np.cumsum(c) - c for c in self.closes]
         self.n_groups = np.bincount(self.doc[0][self.closes[0]], minlength=len(self.counts[0]))
 
     def group_texts(self, sides: Sides) -> list[str]:
         """a1,a2|b1;a3|b2,b3 of each document."""
         parts = np.empty(2 * (len(self.ids[0]) + len(self.ids[1])), object)
         # a token's place: all tokens of earlier groups, A's of the own group before B's
-        n_a = np.searchsorted(self.group[0], self.group[1], "right")
-        n_b = np.searchsorted(self.group[1], self.group[0], "left")
+        upto = [np.concatenate([[0], np.cumsum(np.bincount(g))]) for g in self.group]
+        n_a, n_b = upto[0][self.group[1] + 1], upto[1][self.group[0]]
         place = [np.arange(len(n_b)) + n_b, np.arange(len(n_a)) + n_a]
         for side, where, ids, closes, mark in zip(sides, place, self.ids, self.closes, "|;", strict=True):
             parts[2 * where] = side.names[ids]

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -138,3 +139,26 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "one two"), (5, "one two"), (5, "one two"), (6, None)], "doc_id long, text string")
     got = sorted((tuple(r) for r in al.link_report(df).collect()), key=str)
     assert len(got) == 4 and got[0][1:] == got[1][1:] and got[0][6] == 3 * got[0][4]
+
+
+def test_units_of_a_plain_split_and_links_by_place_alone():
+    """Units are those of the pattern whatever white space stands where; links by the start alone stay in their documents."""
+    import itertools
+
+    for parts in itertools.product([" ", "a", "\n", "\u00a0", "\u3000", "\x1f", "é"], repeat=4):
+        assert al._units("".join(parts)) == al._UNIT.split("".join(parts))
+
+    class Pieces:
+        length = np.array([1, 2, 3])
+
+    class Twice(al.Aligned):
+        _whole = staticmethod(lambda sides, docs, found: np.array([True, False, True, True]))
+
+    class Both(tuple):
+        def encode(self, docs):
+            return [(np.array([0, 1, 1, 2]), np.array([2, 0, 1, 1])), (np.array([2, 1, 1, 0]), np.array([1, 0, 1, 2]))]
+
+    found = Twice(Both((Pieces, Pieces)), ["abc", None, "ab", "abc"])
+    assert list(zip(found.left.tolist(), found.right.tolist(), strict=True)) == [(0, 0), (1, 0), (2, 1), (3, 2), (3, 3)]
+    assert found.n_links.tolist() == [2, 0, 1, 2] and found.n_groups.tolist() == [1, 0, 1, 1]
+    assert [g.tolist() for g in found.group] == [[0, 0, 1, 2], [0, 1, 2, 2]]
