@@ -51,8 +51,10 @@ def train_dictionary(docs: DataFrame, shared, end_id: int = END_ID) -> bytes:
     """Shared dictionary from at most SAMPLE documents, chosen by hash; empty if they are too few or too alike to train on."""
     import zstandard
 
+    hashed = docs.select(F.xxhash64("doc_id").alias("h"))  # reads no text
+    last = hashed.orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
     start = F.substring("text", 1, SAMPLE_CHARS)
-    some = docs.select(F.xxhash64("doc_id").alias("h"), start.alias("text")).orderBy("h").limit(SAMPLE).select("text")
+    some = docs.where(F.xxhash64("doc_id") <= F.lit(last)).select(F.xxhash64("doc_id").alias("h"), start.alias("text")).orderBy("h").limit(SAMPLE).select("text")
     samples = [bytes(r[0]) for r in some.mapInArrow(_serialized(shared, end_id), "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
