@@ -1,11 +1,15 @@
+import time
 import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from quorum.operators import knn as knn_module
 from quorum.operators import metrics, pairdist
-from quorum.operators.knn import knn, radius_neighbors, topk_block
+from quorum.operators.knn import _exact_dist, knn, radius_neighbors, topk_block, within_block
+from quorum.operators.nearest import k_nearest
 from quorum.sources import stand_ins as si
 
 from conftest import SF_SMALL
@@ -152,3 +156,61 @@ def test_pair_quantiles_equal_all_pairs(spark, bound, monkeypatch):
     for r in got:
         i, j = np.nonzero((c[:, None] == r["class"]) & ((c[:, None] == c[None]) == r["same"]) & ~np.eye(40, dtype=bool))
         assert r["n_pairs"] == len(i) and abs(r["distance"] - np.quantile(d[i, j], r["prob"])) < 1e-9
+
+
+def test_counts_and_pairs_within_a_radius_are_bounded_and_exact():
+    rng = np.random.default_rng(8)
+    far = 1e6 + 1e-3 * rng.standard_normal((300, 4))
+    mixed = np.vstack([np.ones((40, 4)), 1 + 1e-9 * rng.standard_normal((60, 4)), np.full((1, 4), 1e5), [[np.nan, 1, 1, 1]], [[np.inf, 1, 1, 1]]])
+    huge = np.vstack([np.full((5, 4), 1e200), np.full((5, 4), -1e200), np.zeros((5, 4))])
+    grid = np.stack(np.meshgrid(*[np.arange(6.0)] * 3), -1).reshape(-1, 3) / 10
+    for x, radii in ((far, (0.0, 2e-3, 5.0)), (mixed, (0.0, 1e-9, 1.0, 1e9, np.inf)), (huge, (0.0, 1.0)), (grid, (0.1, 0.2, np.sqrt(0.02), -1.0))):
+        with np.errstate(all="ignore"):
+            d = np.sqrt(np.einsum("ijk,ijk->ij", x[:, None] - x[None], x[:, None] - x[None]))
+            for eps in radii:
+                assert within_block(x, x, eps, True).tolist() == (d <= eps).sum(axis=1).tolist()
+                qi, ri, dist = within_block(x, x, eps)
+                assert sorted(zip(qi, ri)) == list(zip(*np.nonzero(d <= eps))) and np.array_equal(dist, d[qi, ri])
+    wide_rows = rng.normal(size=(20_000, 64))
+    start = time.process_time()
+    used, n = peak(lambda: within_block(wide_rows[:1000], wide_rows, 9.0, True))
+    spent = time.process_time() - start
+    start = time.process_time()
+    assert n[:100].tolist() == (_exact_dist(wide_rows[:100], wide_rows) <= 9.0).sum(axis=1).tolist()
+    assert used < 60 and spent < 5 * (time.process_time() - start)
+
+
+def test_many_equal_distances_are_kept_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(knn_module, "_KEPT", 1000)
+    rng = np.random.default_rng(3)
+    x = rng.permutation(np.repeat(rng.normal(size=(4, 5)), 2500, axis=0))
+    ids = rng.permutation(len(x))
+    used, (qi, ri, d) = peak(lambda: topk_block(x[:200], ids[:200], x, ids, 3, True))
+    assert used < 60 and len(qi) == 600 and not d.any()
+    for i in range(0, 200, 40):
+        same = np.sort(ids[(x == x[i]).all(axis=1) & (ids != ids[i])])
+        assert ids[ri[qi == i]].tolist() == same[:3].tolist()
+
+
+def test_rows_of_one_part_are_dealt_to_many_tasks(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"row_index": np.arange(3000), "features": list(rng.normal(size=(3000, 2)))})
+    df = spark.createDataFrame(pdf).coalesce(1)
+    for out in (radius_neighbors(df, df, 0.3, count_only=True), knn(df, df, 2),
+                k_nearest(df.selectExpr("0L AS grp", "row_index AS id", "features AS vec"), 2)):
+        assert out.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_blocks_where_pivots_prune_nothing(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 16))
+    df = spark.createDataFrame(pd.DataFrame({"row_index": np.arange(200), "features": list(x)}))
+    want = _brute(x, np.arange(200), x, np.arange(200), 3, True)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for strategy in ("groups", "blocks"):
+        got = knn(df, df, 3, exclude_self=True, strategy=strategy, block_rows=30, n_pivots=9).orderBy("row_index", "rank").toPandas()
+        assert got["nbr_index"].tolist() == [w[0] for i in range(200) for w in want[i]]
+        n = radius_neighbors(df, df, 4.0, count_only=True, strategy=strategy, block_rows=30, n_pivots=9).orderBy("row_index").toPandas()
+        assert n["n_within"].tolist() == (d <= 4.0).sum(axis=1).tolist()
+    q, _ = knn_module._meeting(*[df.selectExpr(f"row_index AS {a}id", f"features AS {a}vec") for a in ("__q", "__r")], 50, 4, "groups", 4, None)
+    assert q.count() == 200 and q.select("cell").distinct().count() == 1
