@@ -9,9 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quorum.llm import bpe, exact_dedup, html_extract, id_files, lm, minhash, packing, pii, quality, sharding
+from quorum.llm import attention, bpe, exact_dedup, html_extract, id_files, lm, minhash, packing, pii, quality, sharding
+from quorum.llm.packing import tokenizer_text
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -391,3 +393,43 @@ def test_html_no_single_page_decides_the_template(spark):
 def test_json_is_not_needed_for_merges():
     known = json.loads(packing.tokenizer_text(None, "byte_bpe_50k.json"))
     assert len({a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in known["model"]["merges"])}) == len(known["model"]["merges"])  # one merge for each product
+
+
+def test_counted_words_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(lm, "RUN", 500)
+    docs = [(i, " ".join(f"{'Ab'[j % 2]}{i}x{j}" for j in range(700))) for i in range(8)] + [(8, None), (9, "a a A")]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([t or "" for _, t in docs])], ["doc_id", "text"])
+    shared = type("Shared", (), {"value": tokenizer_text(None)})
+    out = list(lm._encode(shared)(iter([batch])))
+    words, rows = Counter(), []
+    for part in out:
+        counted = [(w, n) for w, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if w is not None and w[:1] != b" "]
+        assert len(counted) <= 500
+        for w, n in counted:
+            words[w] += n
+        rows += [d for d, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist()) if t is not None]
+    learns = [t or "" for d, t in docs if not lm.held_out(d)]
+    want = Counter(w for t in learns for w in t.lower().encode().split())
+    want[b""] = len(learns)
+    assert words == want and sorted(rows) == list(range(10))
+
+
+def test_gradient_equals_differences_of_the_loss():
+    rng = np.random.default_rng(2)
+    model = attention.Attention(np.log(rng.dirichlet(np.ones(attention.CLASSES), attention.CLASSES) + 1e-6))
+    model.flat[:] = rng.normal(size=len(model.flat)) * 0.2
+    begins = np.array([0, 30, 31, 90])
+    tokens = rng.integers(0, attention.CLASSES, 90)
+    before = np.concatenate([[5], tokens[:-1]])
+    at, wanted = attention.windows(begins)
+    args = before[at], tokens[at], wanted
+    g = model.gradient(*args)
+    for _ in range(12):
+        way = rng.normal(size=len(g)).astype(np.float32) * 1e-3
+        start = model.flat.copy()
+        model.flat[:] = start + way
+        up = -model.score(*args).mean()
+        model.flat[:] = start - way
+        down = -model.score(*args).mean()
+        model.flat[:] = start
+        assert np.isclose((up - down) / 2, g @ way, rtol=0.05, atol=2e-4)
