@@ -397,6 +397,8 @@ def test_json_is_not_needed_for_merges():
 
 def test_counted_words_leave_in_bounded_batches(monkeypatch):
     monkeypatch.setattr(lm, "RUN", 500)
+    monkeypatch.setattr(lm, "ROWS", 2)
+    monkeypatch.setattr(lm, "REMEMBERED", 1000)
     docs = [(i, " ".join(f"{'Ab'[j % 2]}{i}x{j}" for j in range(700))) for i in range(8)] + [(8, None), (9, "a a A")]
     batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([t or "" for _, t in docs])], ["doc_id", "text"])
     shared = type("Shared", (), {"value": tokenizer_text(None)})
@@ -412,6 +414,8 @@ def test_counted_words_leave_in_bounded_batches(monkeypatch):
     want = Counter(w for t in learns for w in t.lower().encode().split())
     want[b""] = len(learns)
     assert words == want and sorted(rows) == list(range(10))
+    cache = lm.chunk_cache(shared.value)
+    assert len(cache.index) <= 2400 and cache.forgotten > 1
 
 
 def test_gradient_equals_differences_of_the_loss():
