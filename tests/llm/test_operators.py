@@ -437,3 +437,26 @@ def test_gradient_equals_differences_of_the_loss():
         down = -model.score(*args).mean()
         model.flat[:] = start
         assert np.isclose((up - down) / 2, g @ way, rtol=0.05, atol=2e-4)
+
+
+def test_texts_come_in_small_batches(spark, docs, monkeypatch):
+    """Packing and the language model run their Python steps on bounded batches; the session's own bound holds again afterwards."""
+    from quorum.llm import common
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    own, stage_table = spark.conf.get(name), common.stage_table
+    for module in (packing, lm):
+        monkeypatch.setattr(module, "stage_table", lambda df, to: seen.setdefault(to, spark.conf.get(name)) and stage_table(df, to))
+    packing.pack(docs)
+    lm.score_texts(docs)
+    assert {seen[to] for to in ("tokens", "encoded", "followed", "scored")} == {str(common.BATCH_ROWS)}
+    assert spark.conf.get(name) == own
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows = spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long")
+    with common.small_batches(spark, 700):
+        assert [r.n for r in rows.collect()] == [700, 700, 700, 400]
+    assert spark.conf.get(name) == own
