@@ -116,3 +116,26 @@ def test_single_cluster_and_wrong_settings(spark):
         DensityModel(cluster_selection_method="other").fit(_df(spark, x))
     with pytest.raises(ValueError):
         DensityModel().fit(_df(spark, x).limit(0))
+
+
+def test_links_shrink_and_repeated_rows_dont_multiply(spark, monkeypatch):
+    from quorum.operators import spanning
+
+    sizes, stored = {}, spanning.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    x = _points("noise")
+    once = _df(spark, x).selectExpr("0L AS grp", "row_index AS id", "features AS vec")
+    rows = once.union(once)
+    pts, edges = with_core(rows, 2, 3)
+    monkeypatch.setattr(spanning, "stored", counted)
+    tree = spanning_tree(pts, edges)
+    assert tree.count() == len(x) - 1
+    of = lambda kind: [n for name, n in sizes.items() if name.rsplit("-", 1)[0] == kind]
+    assert of("asking") and max(of("asking")) <= 2 * len(x) and set(of("components")) == {2 * len(x)}
+    links = of("links")
+    assert links == sorted(set(links), reverse=True) and links[-1] == 0
