@@ -41,3 +41,24 @@ def test_payload_scoring(spark, blobs_df):
     out = score_payloads(pipe, payloads).toPandas()
     assert len(out) == 3 and set(out.row_index) == {0, 1, 2}
     assert out.confidence.between(0, 1).all() and out.novelty_score.between(0, 1).all()
+
+
+def test_cv_runs_beside_the_fit(spark, blobs_df, monkeypatch):
+    import threading
+
+    from quorum.plans import train as jobs
+
+    begun, fit = threading.Event(), jobs.fit_pipeline
+
+    def no_folds(df, cfg):
+        begun.set()
+        raise ValueError("no folds")
+
+    def late(df, cfg):
+        assert begun.wait(30)
+        return fit(df, cfg)
+
+    monkeypatch.setattr(jobs, "cv_evaluate", no_folds)
+    monkeypatch.setattr(jobs, "fit_pipeline", late)
+    res = train(spark, blobs_df, TrainConfig(min_samples=3), run_stability=False)
+    assert res.cv is None and res.stability is None and "CV skipped: no folds" in res.warnings
