@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quorum.functions.names import name_to_code
 from quorum.operators.features import PCAReducer, Preprocessor
 from quorum.operators.labelmap import build_label_map, low_purity_warnings
-from quorum.operators.metrics import ari_value, internal_metrics, silhouette
+from quorum.operators.metrics import ari_value, internal_metrics, silhouette, silhouette_rows
 from quorum.operators.quantiles import exact_quantiles, order_statistics
 from quorum.operators.splits import labeled_stratified_kfold, subsample
 from quorum.operators.validate import DataValidationError, payload_rejects
@@ -255,3 +255,52 @@ def test_missing_report_is_told_from_other_errors(spark, tmp_path):
     with pytest.raises(Exception) as err:  # noqa: PT011
         read_report(spark, str(tmp_path), "internal").collect()
     assert not isinstance(err.value, FileNotFoundError)
+
+
+def test_silhouette_in_runs_of_a_joined_table(spark):
+    """Beyond the bound the two sides of a table made by a join were ambiguous."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(3 * c, 1, (n, 3)) for c, n in enumerate((30, 9, 1, 5, 17))])
+    x[31] = x[30]
+    cl = np.repeat([4, 2, 9, 0, 7], [30, 9, 1, 5, 17])
+    rows = spark.createDataFrame([(int(i) // 2, int(i), [float(v) for v in x[i]], int(cl[i])) for i in range(len(x))],
+                                 "row_index long, i long, features array<double>, cluster_id int")
+    joined = rows.select("row_index", "i", "features").join(rows.select("i", "cluster_id"), "i")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = []
+    for i in range(len(x)):
+        own = cl == cl[i]
+        a, b = d[i, own].sum() / max(own.sum() - 1, 1), min(d[i, cl == c].mean() for c in set(cl) if c != cl[i])
+        want.append(0.0 if own.sum() == 1 else (b - a) / max(a, b))
+    for kw in ({}, {"strategy": "blocked", "block_rows": 7}, {"strategy": "blocked", "block_rows": 20}, {"max_broadcast_points": 12}):
+        got = sorted(r["s"] for r in silhouette_rows(joined, **kw).collect())  # row_index repeats
+        assert np.allclose(got, sorted(want), atol=1e-9), kw
+
+
+def test_silhouettes_of_views_in_runs(spark):
+    from quorum.operators.fit_scores import score_fits
+
+    rng = np.random.default_rng(9)
+    data = [(g, i, None, [float(v) for v in rng.normal(4 * (i % 2), 1, 2 + g)], i % 2 if i else -1) for g in range(4) for i in range(40)]
+    t = spark.createDataFrame(data, "grp long, row_index long, label double, features array<double>, cluster_id int")
+    labels, views = t.select("grp", "row_index", "cluster_id"), t.select("grp", "row_index", "label", "features")
+    whole, runs, single = (sorted((r["grp"], round(r["silhouette"], 9)) for r in score_fits(labels, views, broadcast_bytes=b).collect())
+                           for b in (1 << 20, 6000, 0))
+    assert whole == runs == single and len(whole) == 4
+
+
+def test_distances_of_a_product_are_those_of_differences():
+    from quorum.operators.nearest import ClusterSums, distances
+
+    rng = np.random.default_rng(10)
+    for scale, away in ((1.0, 0.0), (1e-4, 1e5), (1e200, 0.0)):
+        x = rng.normal(0, scale, (500, 5)) + away
+        x[7], x[8, 2] = x[6], np.nan
+        cluster = rng.integers(-1, 90, 500)
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = distances(x[:40], x)
+            for k in (90, 3):
+                own = np.where(cluster < k, cluster, -1)
+                got, = ClusterSums(x, [(own, k)]).of(x[:40])
+                want = np.stack([d[:, own == c].sum(axis=1) for c in range(k)], axis=1)
+                assert np.allclose(got, want, rtol=1e-9, equal_nan=True)
